@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import sys
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import duckdb
@@ -34,9 +35,9 @@ from .pretokens import batches_by_size, pieces
 from .vocab import SharedFile
 
 #: Words whose tokens a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Steps of one recursive query, and token-position rows that one query starts with at most (a longer word stands alone).
-STEPS, ROWS = 64, 1_000_000
+STEPS, ROWS = 64, 500_000
 
 #: Short words.  Rows know their right neighbour: its position and token, -1 at the end of a word.
 CONTRACT_ONE = f"""
@@ -94,24 +95,30 @@ class Codec:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.put("v", id=pa.array(list(ranks.values()), pa.int32()), s=pa.array([t.decode("latin-1") for t in ranks]))
+        self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
+        self.known: dict[str, bytes] = {}  # the tokens of a word as 32-bit integers
+
+    @cached_property
+    def merges(self) -> int:
+        """Makes the merge table, when first needed; gives its size."""
         left, right, made = [], [], []
-        for token, rank in ranks.items():
+        for token, rank in self.ranks.items():
             for k in range(1, len(token)):
-                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
                     left.append(a)
                     right.append(b)
                     made.append(rank)
         l, r, m = (np.array(x, np.int32) for x in (left, right, made))
-        low = np.full(max(ranks.values()) + 1, np.iinfo(np.int32).max)
+        low = np.full(max(self.ranks.values()) + 1, np.iinfo(np.int32).max)
         np.minimum.at(low, l, m)
         np.minimum.at(low, r, m)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.put("m", l=pa.array(l), r=pa.array(r), id=pa.array(m), together=pa.array(low[m] > m))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
-        self.put("v", id=pa.array(list(ranks.values()), pa.int32()), s=pa.array([t.decode("latin-1") for t in ranks]))
-        self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
-        self.known: dict[str, bytes] = {}  # the tokens of a word as 32-bit integers
+        self.db.unregister("m")
+        return len(m)
 
     def put(self, name: str, **columns: pa.Array) -> None:
         self.db.register(name, pa.table(columns))
@@ -123,6 +130,7 @@ class Codec:
         pos = (np.arange(len(w)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         out = [b""] * len(words)
+        assert self.merges
         query = CONTRACT_ONE if lens.max(initial=0) <= STEPS else CONTRACT_ALL
         while len(w):
             self.put("start_rows", w=pa.array(w), pos=pa.array(pos), tok=pa.array(tok))
@@ -170,9 +178,9 @@ class Codec:
         counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         begin = 0
         upto, flat = np.cumsum(counts), ids.flatten()
-        while begin < len(ids):  # about a million tokens at a time; a longer row stands alone
+        while begin < len(ids):  # about half a million tokens at a time; a longer row stands alone
             base = int(upto[begin - 1]) if begin else 0
-            end = max(begin + 1, int(np.searchsorted(upto, base + 1_000_000, "right")))
+            end = max(begin + 1, int(np.searchsorted(upto, base + 500_000, "right")))
             rows = np.repeat(np.arange(begin, end, dtype=np.int32), counts[begin:end])
             tok = flat.slice(base, len(rows))
             self.put("coded", r=pa.array(rows), pos=pa.array(np.arange(len(rows), dtype=np.int32)), tok=tok)
@@ -193,7 +201,7 @@ def bpe_encoder(spark: SparkSession, vocab_path: str):
         codec = shared.built(Codec)
         for batch in batches:
             texts = [t or "" for t in batch.to_pylist()]
-            found = [codec.encode(texts[a:b]) for a, b in batches_by_size(texts)]
+            found = [codec.encode(texts[a:b]) for a, b in batches_by_size(texts, 1_000_000)]
             ids = np.concatenate([np.empty(0, np.int32), *(f[0] for f in found)])
             counts = np.concatenate([np.empty(0, np.int64), *(f[1] for f in found)])
             yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids))
