@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, neighbours, simhash, token_counts, toxicity, warc
+from . import bpe, decontaminate, language, neighbours, pii, simhash, token_counts, toxicity, warc
 from .tables import fold, table
 
 
@@ -34,6 +34,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_of(F.col("base_pii"), k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    base = F.sha2(pii.spans_text(F.col("base_pii")).cast("binary"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.spans_text(F.col("pii")).alias("spans"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -96,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
+    "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op8_warc": op8_warc,
