@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, neighbours, pii, simhash, token_counts, toxicity, warc
+from . import bpe, chat, decontaminate, language, neighbours, pii, simhash, token_counts, toxicity, warc
 from .tables import fold, table
 
 
@@ -34,6 +34,23 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+     c AS (SELECT conv_id, count(*) AS n, list([role, text] ORDER BY turn NULLS FIRST, role, text) AS l,
+             string_agg('<|im_start|>' || replace(role, '<|', '<\\|') || chr(10) || replace(text, '<|', '<\\|') || '<|im_end|>' || chr(10),
+                        '' ORDER BY turn NULLS FIRST, role, text) AS rendered
+           FROM d GROUP BY conv_id)
+SELECT conv_id, n AS n_turns, rendered FROM c
+WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.n > c.n AND o.l[1:c.n] = c.l)
+  AND NOT EXISTS (SELECT 1 FROM c o WHERE o.n = c.n AND o.l = c.l AND o.conv_id < c.conv_id)
+"""
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [pii.count_of(F.col("base_pii"), k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
@@ -103,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
+    "op4_chat": op4_chat,
     "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_decontaminate": op7_decontaminate,
@@ -111,4 +129,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": op10_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op8_warc": OP8_SQL}
