@@ -34,6 +34,8 @@ from .tables import cut_lineage, own_name
 BUDGET = 3
 #: Fingerprints of a leaf of the top trie, at most, while that gives no more than some thousands of leaves.
 CAP = 4096
+#: The top trie goes at least this deep, so that the units of any table are many and small.
+LEAST_DEPTH = 6
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -94,7 +96,7 @@ def top_leaves(fps: DataFrame, cap: int = CAP) -> tuple[np.ndarray, np.ndarray]:
         n = sum(below.get(p, 0) for p in range(low, high))
         if not n:
             return
-        if n <= cap or depth == 64:
+        if n <= cap and depth >= LEAST_DEPTH or depth == 64:
             leaves.append((prefix << (64 - depth), depth))
         elif depth == base:
             crowded.append(prefix)
@@ -145,31 +147,31 @@ def partner_leaves(starts: np.ndarray, depths: np.ndarray, leaf: int, budget: in
 
 
 def _units(starts: np.ndarray, depths: np.ndarray, budget: int):
-    """For mapInArrow: each fingerprint once for every unit (pair of leaves) that it takes part in."""
+    """For mapInArrow: the fingerprints of a batch once for every unit (pair of leaves) that they take part in.
+
+    Fingerprints of one leaf are packed in one row per unit and batch.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partners: dict[int, np.ndarray] = {}
         for batch in batches:
-            for begin in range(0, batch.num_rows, 4096):
-                fp = np.sort(batch.slice(begin, 4096).column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-                leaf = np.searchsorted(starts, fp, "right") - 1
-                cut = np.flatnonzero(np.diff(leaf, prepend=-1))
-                left, right, value = [], [], []
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(fp)], strict=True):
-                    own = int(leaf[a])
-                    if own not in partners:
-                        partners[own] = np.array(partner_leaves(starts, depths, own, budget), np.int32)
-                    with_leaf = partners[own]
-                    left.append(np.repeat(np.minimum(own, with_leaf), b - a))
-                    right.append(np.repeat(np.maximum(own, with_leaf), b - a))
-                    value.append(np.tile(fp[a:b], len(with_leaf)))
+            fp = np.sort(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            leaf = np.searchsorted(starts, fp, "right") - 1
+            cut = np.flatnonzero(np.diff(leaf, prepend=-1))
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(fp)], strict=True):
+                own = int(leaf[a])
+                if own not in partners:
+                    partners[own] = np.array(partner_leaves(starts, depths, own, budget), np.int32)
+                with_leaf = partners[own]
+                values = pa.array(np.tile(fp[a:b], len(with_leaf)).view(np.int64))
+                offsets = pa.array(np.arange(len(with_leaf) + 1, dtype=np.int32) * np.int32(b - a))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(left).astype(np.int32)),
-                        pa.array(np.concatenate(right).astype(np.int32)),
-                        pa.array(np.concatenate(value).view(np.int64)),
+                        pa.array(np.minimum(own, with_leaf).astype(np.int32)),
+                        pa.array(np.maximum(own, with_leaf).astype(np.int32)),
+                        pa.ListArray.from_arrays(offsets, values),
                     ],
-                    ["a", "b", "fp"],
+                    ["a", "b", "fps"],
                 )
 
     return emit
@@ -261,7 +263,7 @@ class Forest:
 
 def _join_unit(starts: np.ndarray, budget: int):
     def join(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        values = np.unique(rows.column("fp").to_numpy().view(np.uint64))
+        values = np.unique(rows.column("fps").combine_chunks().flatten().to_numpy().view(np.uint64))
         first, second = key[0].as_py(), key[1].as_py()
         if first == second:
             a = b = values
@@ -286,7 +288,7 @@ def _join_unit(starts: np.ndarray, budget: int):
 def fingerprint_links(fps: DataFrame, *, budget: int = BUDGET, cap: int = CAP) -> DataFrame:
     """Links (u, v) that connect the distinct fingerprints of column fp as all near pairs would."""
     starts, depths = top_leaves(fps, cap)
-    units = fps.select("fp").mapInArrow(_units(starts, depths, budget), "a int, b int, fp long")
+    units = fps.select("fp").mapInArrow(_units(starts, depths, budget), "a int, b int, fps array<long>")
     return units.groupBy("a", "b").applyInArrow(_join_unit(starts, budget), "u long, v long")
 
 
