@@ -44,11 +44,12 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The identifiers of each text, and the text that they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, path), path)
-    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded")]
-    return coded.select(
-        *rest, F.decode("decoded", "UTF-8").alias("text"), "ids", F.size("ids").cast("long").alias("n_tokens")
-    )
+    into = own_name(docs, "_coded")
+    coded = bpe.round_trip(docs, path, into=into)
+    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
+    ids = F.col(f"{into}.ids")
+    text = F.decode(F.col(f"{into}.decoded"), "UTF-8")
+    return coded.select(*rest, text.alias("text"), ids.alias("ids"), F.size(ids).cast("long").alias("n_tokens"))
 
 
 STAGES = [

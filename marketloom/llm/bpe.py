@@ -22,22 +22,22 @@ import base64
 import sys
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import chain
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from .pretokens import batches_by_size, pieces
 from .vocab import SharedFile
 
-#: Words whose tokens a worker remembers before it starts anew.
-MEMORY = 250_000
+#: Words whose tokens a worker remembers; then it forgets the younger half (frequent words are met early).
+MEMORY = 300_000
 #: Steps of one recursive query, and token-position rows that one query starts with at most (a longer word stands alone).
-STEPS, ROWS = 64, 500_000
+STEPS, ROWS = 64, 200_000
 
 #: Short words.  Rows know their right neighbour: its position and token, -1 at the end of a word.
 CONTRACT_ONE = f"""
@@ -170,7 +170,7 @@ class Codec:
             self.learn(fresh)
         parts = [b"".join(map(known.__getitem__, own)) for own in split]
         if len(known) > MEMORY:
-            known.clear()
+            self.known = dict(islice(known.items(), MEMORY // 2))
         return np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
@@ -178,9 +178,9 @@ class Codec:
         counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         begin = 0
         upto, flat = np.cumsum(counts), ids.flatten()
-        while begin < len(ids):  # about half a million tokens at a time; a longer row stands alone
+        while begin < len(ids):  # about 300,000 tokens at a time; a longer row stands alone
             base = int(upto[begin - 1]) if begin else 0
-            end = max(begin + 1, int(np.searchsorted(upto, base + 500_000, "right")))
+            end = max(begin + 1, int(np.searchsorted(upto, base + 300_000, "right")))
             rows = np.repeat(np.arange(begin, end, dtype=np.int32), counts[begin:end])
             tok = flat.slice(base, len(rows))
             self.put("coded", r=pa.array(rows), pos=pa.array(np.arange(len(rows), dtype=np.int32)), tok=tok)
@@ -192,6 +192,19 @@ class Codec:
         return out
 
 
+def _coded(codec: Codec, texts: pa.Array) -> Iterator[pa.ListArray]:
+    """The identifiers of the texts, in slices of bounded size."""
+    for begin in range(0, len(texts), 512):
+        part = [t or "" for t in texts.slice(begin, 512).to_pylist()]
+        for a, b in batches_by_size(part, 500_000):
+            ids, counts = codec.encode(part[a:b])
+            yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids))
+
+
+def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def bpe_encoder(spark: SparkSession, vocab_path: str):
     """A function of a text column that gives its identifiers."""
     shared = SharedFile(spark, vocab_path)
@@ -200,11 +213,7 @@ def bpe_encoder(spark: SparkSession, vocab_path: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = shared.built(Codec)
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            found = [codec.encode(texts[a:b]) for a, b in batches_by_size(texts, 1_000_000)]
-            ids = np.concatenate([np.empty(0, np.int32), *(f[0] for f in found)])
-            counts = np.concatenate([np.empty(0, np.int64), *(f[1] for f in found)])
-            yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids))
+            yield _joined(list(_coded(codec, batch)), pa.list_(pa.int32()))
 
     return encode
 
@@ -222,9 +231,33 @@ def bpe_decoder(spark: SparkSession, vocab_path: str):
     return decode
 
 
+def bpe_round_trip(spark: SparkSession, vocab_path: str):
+    """A function of a text column that gives a struct of ids and of the bytes they decode to, in one pass of Python."""
+    shared = SharedFile(spark, vocab_path)
+    both = StructType([StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
+
+    @F.arrow_udf(both)
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = shared.built(Codec)
+        for batch in batches:
+            ids, decoded = [], []
+            for part in _coded(codec, batch):
+                ids.append(part)
+                decoded.append(pa.array(codec.decode(part), pa.binary()))
+            columns = [_joined(ids, pa.list_(pa.int32())), _joined(decoded, pa.binary())]
+            yield pa.StructArray.from_arrays(columns, names=["ids", "decoded"])
+
+    return code
+
+
 def encode(docs: DataFrame, vocab_path: str, *, text: str = "text", into: str = "ids") -> DataFrame:
     return docs.withColumn(into, bpe_encoder(docs.sparkSession, vocab_path)(docs[text]))
 
 
 def decode(docs: DataFrame, vocab_path: str, *, ids: str = "ids", into: str = "decoded") -> DataFrame:
     return docs.withColumn(into, bpe_decoder(docs.sparkSession, vocab_path)(docs[ids]))
+
+
+def round_trip(docs: DataFrame, vocab_path: str, *, text: str = "text", into: str = "coded") -> DataFrame:
+    """``docs`` with a struct of ids and decoded."""
+    return docs.withColumn(into, bpe_round_trip(docs.sparkSession, vocab_path)(docs[text]))

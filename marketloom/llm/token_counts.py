@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import pyarrow as pa
 import regex
@@ -26,7 +26,7 @@ from pyspark.sql.types import LongType
 from .pretokens import batches_by_size, pieces
 from .vocab import SharedFile
 
-#: Distinct pieces whose counts a worker remembers before it starts anew.
+#: Distinct pieces whose counts a worker remembers; then it forgets the younger half (frequent ones are met early).
 MEMORY = 800_000
 
 
@@ -112,7 +112,7 @@ class MergeCounter:
                         known[p] = self.piece(p)
                 special[i] += sum(map(known.__getitem__, own))
         if len(known) > MEMORY:
-            known.clear()
+            self.known = dict(islice(known.items(), MEMORY // 2))
         return special
 
 
