@@ -1,3 +1,3 @@
 """Registered queries, a module per family; importing this package registers them all."""
 
-from . import admin, facts, filters, search, technical  # noqa: F401
+from . import admin, backtest, facts, filters, pairs, search, technical  # noqa: F401
