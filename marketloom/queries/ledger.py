@@ -45,9 +45,9 @@ def before_exit(spark: SparkSession, d: str) -> DataFrame:
     return with_reasons(spark, d).withColumn("closed", F.coalesce(closed, F.lit(False))).where("NOT closed").groupBy("trade").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("latest_mark", f"WITH {MARKS_SQL} SELECT trade, max(seq) AS seq, round(arg_max(price, seq), 6) AS price FROM marks GROUP BY 1")
+@query("latest_mark", f"WITH {MARKS_SQL} SELECT trade, max(seq) AS seq, arg_max(price, seq) AS price FROM marks GROUP BY 1")
 def latest_mark(spark: SparkSession, d: str) -> DataFrame:
-    return latest_per_key(marks(spark, d).select("trade", "seq", "price"), ["trade"], "seq").select("trade", "seq", F.round("price", 6).alias("price"))
+    return latest_per_key(marks(spark, d).select("trade", "seq", "price"), ["trade"], "seq").select("trade", "seq", "price")
 
 
 @query("portfolio_rollup", f"""WITH {MARKS_SQL}, l AS (SELECT trade, arg_max(price, seq) / any_value(entry) - 1 AS unrealised, any_value(entry) AS entry FROM marks GROUP BY 1),
