@@ -213,15 +213,14 @@ def find_pii(docs: DataFrame, *, text: str = "text", base: str = "base_pii", int
     )
     spans = spans.join(good, "value").select("h1", "h2", F.struct("start", "kind", "end").alias("s"))
     found = cut_lineage(spans.groupBy("h1", "h2").agg(F.collect_set("s").alias("more")))
-    found = found.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("more").alias("_more"))
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    met = (F.xxhash64(docs[text]) == F.col("_h1")) & (F.xxhash64(F.lit(7), docs[text]) == F.col("_h2"))
-    out = with_base_spans(docs.join(found, met, "left"), text, base)
-    out = out.withColumn(base, F.transform(base, lambda b: F.struct(b["start"], b["kind"], b["end"])))
-    none = F.slice(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("end"))), 1, 0)
-    both = F.array_sort(F.concat(F.col(base), F.coalesce("_more", none)))
-    return out.withColumn(into, both).drop("_h1", "_h2", "_more")
+    # the rows' own columns travel in a struct, so that none of their names can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("t"), *mark)
+    out = with_base_spans(rows.join(found, ["h1", "h2"], "left"), "t", "b")
+    bare = F.transform("b", lambda b: F.struct(b["start"], b["kind"], b["end"]))
+    out = out.withColumn("bare", bare).withColumn("every", F.array_sort(F.when(F.col("more").isNull(), F.col("bare")).otherwise(F.concat("bare", "more"))))
+    return out.select("row.*", F.col("bare").alias(base), F.col("every").alias(into))
 
 
 def spans_text(spans: Column) -> Column:

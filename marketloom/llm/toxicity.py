@@ -3,8 +3,8 @@
 Training takes at most ``MAX_ROWS`` labelled documents per class (those with the least hashes).  For each hashed
 n-gram the documents of each class that contain it are counted; its log-count ratio is
 r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)).  A feature is the presence of an n-gram, scaled by
-r; n-grams whose ratio can't be told from zero (less than ``SIGMAS`` standard errors) have none.  A
-logistic regression with an L2 penalty is fitted on these features, with rows weighted so that the
+r; n-grams whose ratio can't be told from zero (less than ``SIGMAS`` standard errors) or is less than ``LEAST_RATIO``
+either way (long documents contain more of everything) have none.  A logistic regression with an L2 penalty is fitted on these features, with rows weighted so that the
 classes count as they do among all labelled rows.
 
 Defined results: null and empty texts score by the intercept alone; without labelled rows of both
@@ -27,8 +27,8 @@ from .ngrams import batches
 LENGTHS = (3, 4, 5)
 BITS = 20
 MAX_ROWS = 8000
-SIGMAS = 4.0
-PENALTY = 1e-3
+SIGMAS, LEAST_RATIO = 3.0, 1.0
+PENALTY = 1e-4
 
 
 def features(texts: list[str | None], wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Cl
         .agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
         .withColumn("r", F.log(rate("p", big_p)) - F.log(rate("q", big_q)))
         .withColumn("e", F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1)))
-        .where(F.abs("r") >= SIGMAS * F.col("e"))
+        .where((F.abs("r") >= SIGMAS * F.col("e")) & (F.abs("r") >= LEAST_RATIO))
         .select("bucket", "r")
         .toPandas()  # at most 2 ** BITS rows
         .sort_values("bucket")
@@ -137,9 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Cl
             for a, owner, bucket in features(rb.column("text").to_pylist(), shared.value):
                 for i, b in zip((a + owner).tolist(), bucket.tolist(), strict=True):
                     found[i].append(b)
-            yield pa.RecordBatch.from_arrays([rb.column("toxic"), pa.array(found, pa.list_(pa.int64()))], ["toxic", "on"])
+            yield pa.RecordBatch.from_arrays([rb.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "on"])
 
-    kept = sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(sparse, "toxic int, on array<long>")
+    kept = sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(sparse, "toxic int, on array<int>")
     rows = kept.toPandas()
     y = rows.toxic.to_numpy(np.float64)
     size = rows.on.map(len).to_numpy()
