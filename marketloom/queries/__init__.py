@@ -1,3 +1,3 @@
 """Registered queries, a module per family; importing this package registers them all."""
 
-from . import admin, backtest, facts, filters, ledger, options, pairs, search, streams, technical, text  # noqa: F401
+from . import admin, backtest, facts, filters, ledger, models, options, pairs, search, streams, technical, text  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import norm_cdf, norm_cdf_sql, ratio
+from ..operators.fdr import benjamini_hochberg
 from ..registry import query
 from ..sources.tables import MONTHLY_SQL, monthly_prices, table
 
@@ -123,15 +124,6 @@ def kss(spark: SparkSession, d: str) -> DataFrame:
     return two_regressor_t(k, "dv", "c1", "d1", "a", "b").select("a", "b", F.round("t", 5).alias("kss"), (F.col("t") <= -5.04).alias("stationary"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, key: list[str]) -> DataFrame:
-    """Adjusted q values; ranks need one order over all tests, and the tests are the screen's admitted pairs."""
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    up = F.row_number().over(Window.orderBy(p, *key))
-    df = df.withColumn("raw", F.col(p) * m / up)
-    down = Window.orderBy(F.desc(p), *[F.desc(k) for k in key]).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("q", F.least(F.lit(1.0), F.min("raw").over(down))).drop("raw")
-
-
 FDR_SQL = f"""{ADF_SQL}, pv AS (SELECT a, b, {P_SQL} AS p FROM adf), raw AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, a, b) AS raw FROM pv),
 fdr AS (SELECT a, b, p, least(1.0, min(raw) OVER (ORDER BY p DESC, a DESC, b DESC ROWS UNBOUNDED PRECEDING)) AS q FROM raw)"""
 
