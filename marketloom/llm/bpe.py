@@ -35,9 +35,9 @@ from .pretokens import batches_by_size, pieces
 from .vocab import SharedFile
 
 #: Words whose tokens a worker remembers; then it forgets the younger half (frequent words are met early).
-MEMORY = 300_000
+MEMORY = 200_000
 #: Steps of one recursive query, and token-position rows that one query starts with at most (a longer word stands alone).
-STEPS, ROWS = 64, 200_000
+STEPS, ROWS = 64, 100_000
 
 #: Short words.  Rows know their right neighbour: its position and token, -1 at the end of a word.
 CONTRACT_ONE = f"""
@@ -60,14 +60,17 @@ WITH RECURSIVE state(w, pos, tok, npos, ntok, step, done) AS (
 SELECT w, pos, tok, done FROM state WHERE done OR step = {STEPS} ORDER BY w, pos
 """
 
-#: Long words: all occurrences of a word's pair of minimum rank in one step, where that is safe.
-CONTRACT_ALL = f"""
+#: Rows that the steps of one query over long words keep together, about: longer words take fewer steps a query.
+KEPT_ROWS = 2_000_000
+
+#: Long words: all occurrences of a word's pair of minimum rank in one step, where that is safe; takes the number of steps.
+CONTRACT_ALL = """
 WITH RECURSIVE state(w, pos, tok, step, done) AS (
   SELECT w, pos, tok, 0, false FROM start_rows
   UNION ALL
   (WITH live AS (
      SELECT w, pos, tok, step, lead(tok) OVER word AS nxt, lead(pos) OVER word AS npos
-     FROM state WHERE NOT done AND step < {STEPS} WINDOW word AS (PARTITION BY w ORDER BY pos)),
+     FROM state WHERE NOT done AND step < $steps WINDOW word AS (PARTITION BY w ORDER BY pos)),
    pairs AS (SELECT l.w, l.pos, l.npos, m.id, m.together FROM live l JOIN merges m ON l.tok = m.l AND l.nxt = m.r),
    low AS (SELECT w, min(id) AS id FROM pairs GROUP BY w),
    hits AS (SELECT p.*, lag(p.npos) OVER (PARTITION BY p.w ORDER BY p.pos) AS before
@@ -79,7 +82,7 @@ WITH RECURSIVE state(w, pos, tok, step, done) AS (
    FROM live l LEFT JOIN low ON l.w = low.w LEFT JOIN chosen c ON l.w = c.w AND l.pos = c.pos
    WHERE NOT EXISTS (SELECT 1 FROM chosen g WHERE g.w = l.w AND g.npos = l.pos))
 )
-SELECT w, pos, tok, done FROM state WHERE done OR step = {STEPS} ORDER BY w, pos
+SELECT w, pos, tok, done FROM state WHERE done OR step = $steps ORDER BY w, pos
 """
 
 DECODE = """
@@ -95,7 +98,7 @@ class Codec:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         self.put("v", id=pa.array(list(ranks.values()), pa.int32()), s=pa.array([t.decode("latin-1") for t in ranks]))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
         self.known: dict[str, bytes] = {}  # the tokens of a word as 32-bit integers
@@ -131,10 +134,11 @@ class Codec:
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         out = [b""] * len(words)
         assert self.merges
-        query = CONTRACT_ONE if lens.max(initial=0) <= STEPS else CONTRACT_ALL
+        long = lens.max(initial=0) > STEPS
         while len(w):
             self.put("start_rows", w=pa.array(w), pos=pa.array(pos), tok=pa.array(tok))
-            got = self.db.execute(query).fetchnumpy()
+            steps = {"steps": max(1, min(STEPS, KEPT_ROWS // len(w)))}
+            got = (self.db.execute(CONTRACT_ALL, steps) if long else self.db.execute(CONTRACT_ONE)).fetchnumpy()
             w, pos, tok, done = (np.asarray(got[c]) for c in ("w", "pos", "tok", "done"))
             cut = np.flatnonzero(np.diff(w, prepend=-1))
             ends, values = np.append(cut[1:], len(w)) * 4, tok.astype(np.int32).tobytes()
@@ -178,9 +182,9 @@ class Codec:
         counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         begin = 0
         upto, flat = np.cumsum(counts), ids.flatten()
-        while begin < len(ids):  # about 300,000 tokens at a time; a longer row stands alone
+        while begin < len(ids):  # about 150,000 tokens at a time; a longer row stands alone
             base = int(upto[begin - 1]) if begin else 0
-            end = max(begin + 1, int(np.searchsorted(upto, base + 300_000, "right")))
+            end = max(begin + 1, int(np.searchsorted(upto, base + 150_000, "right")))
             rows = np.repeat(np.arange(begin, end, dtype=np.int32), counts[begin:end])
             tok = flat.slice(base, len(rows))
             self.put("coded", r=pa.array(rows), pos=pa.array(np.arange(len(rows), dtype=np.int32)), tok=tok)

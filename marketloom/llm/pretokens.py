@@ -25,11 +25,11 @@ LETTER, NUMBER, OTHER, SPACE, BLANK, EDGE = 0, 1, 2, 3, 4, 5
 def class_table() -> np.ndarray:
     """Class of each code point: letter, number, white space, the blank U+0020, or other."""
     table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF)
-    for name, value in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
-        for m in regex.finditer(name, every):
-            a, b = m.span()
-            table[[ord(c) for c in every[a:b]]] = value
+    for low in range(0, len(table), 8192):  # block by block, so that few characters exist at a time
+        block = "".join(chr(c) for c in range(low, min(low + 8192, len(table))) if not 0xD800 <= c <= 0xDFFF)
+        for name, value in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+            for m in regex.finditer(name, block):
+                table[[ord(c) for c in m.group()]] = value
     table[0x20] = BLANK
     return table
 
