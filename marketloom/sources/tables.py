@@ -108,11 +108,10 @@ def daily_price(spark: SparkSession, d: str) -> DataFrame:
 DAILY_SQL = """daily AS (SELECT o_orderdate::DATE AS d, avg(o_totalprice) AS price FROM orders GROUP BY 1)"""
 
 
-def monthly_prices(spark: SparkSession, d: str, most: int = 10) -> DataFrame:
-    """Monthly mean unit price per supplier (the first ``most`` suppliers): the closes of the pair screens."""
+def monthly_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly mean unit price of every supplier: the closes of the pair screens."""
     return (
         table(spark, d, "lineitem")
-        .where(F.col("l_suppkey") <= most)
         .groupBy(F.col("l_suppkey").alias("ticker"), F.trunc("l_shipdate", "month").alias("d"))
         .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
     )
