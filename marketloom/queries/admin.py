@@ -103,7 +103,7 @@ def difference(spark: SparkSession, d: str) -> DataFrame:
   JOIN (SELECT DISTINCT l_suppkey, date_trunc('month', l_shipdate)::DATE AS e FROM lineitem WHERE l_suppkey <= 5) b ON a.e = b.e AND a.l_suppkey < b.l_suppkey
   WHERE a.e >= DATE '1996-01-01' GROUP BY 1, 2""")
 def common_expiry(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "lineitem").where("l_suppkey <= 5").select("l_suppkey", F.trunc("l_shipdate", "month").alias("e")).distinct().where("e >= DATE '1996-01-01'")
+    e = table(spark, d, "lineitem").select("l_suppkey", F.trunc("l_shipdate", "month").alias("e")).distinct().where("e >= DATE '1996-01-01'")
     a, b = e.withColumnRenamed("l_suppkey", "left_id"), e.withColumnRenamed("l_suppkey", "right_id")
     return a.join(b, "e").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.min("e").alias("expiry"))
 

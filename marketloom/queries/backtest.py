@@ -189,17 +189,19 @@ f AS (SELECT list_reduce(list_transform(x, lambda v: {{'m': v, 'c': 0.0::DOUBLE,
   'c': (1 - {2 / 22}) * (s.c + pow({2 / 22} * (v.m - s.m), 2)) + {2 / 22} * pow((1 - {2 / 22}) * (v.m - s.m), 2), 's': pow(1 - {2 / 22}, 2) * s.s + pow({2 / 22}, 2)}}) AS r FROM a)
 SELECT round(sqrt(r.c / (1 - r.s)), 6) AS ewm_std FROM f""")
 def ewm_std(spark: SparkSession, d: str) -> DataFrame:
+    """The rolling deviation of every day, as a fold over one symbol's days; the first 20 days have none."""
     a = 2 / 22
-    first = prices(spark, d).orderBy("d").limit(200)
-    x = first.agg(F.sort_array(F.collect_list(F.struct("d", F.ln("price").alias("x"))))["x"].alias("x"))
+    days = prices(spark, d).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("d", F.ln("price").alias("x")))).alias("v"))
 
     def step(s, v):
         off = v - s["m"]
         c = (1 - a) * (s["c"] + F.pow(a * off, F.lit(2.0))) + a * F.pow((1 - a) * off, F.lit(2.0))
-        return F.struct((s["m"] + a * off).alias("m"), c.alias("c"), ((1 - a) ** 2 * s["s"] + a * a).alias("s"))
+        return F.struct((s["m"] + a * off).alias("m"), c.alias("c"), ((1 - a) ** 2 * s["s"] + a * a).alias("s"), (s["n"] + 1).alias("n"))
 
-    zero = F.struct(F.get("x", F.lit(0)).alias("m"), F.lit(0.0).alias("c"), F.lit(1.0).alias("s"))
-    return x.select(F.round(F.aggregate(F.slice("x", 2, F.size("x")), zero, step, lambda s: F.sqrt(s["c"] / (1 - s["s"]))), 6).alias("ewm_std"))
+    zero = F.struct(F.get("v.x", F.lit(0)).alias("m"), F.lit(0.0).alias("c"), F.lit(1.0).alias("s"), F.lit(1).alias("n"))
+    folded = F.aggregate(F.slice("v.x", 2, F.size("v")), F.array(zero), lambda ss, v: F.concat(ss, F.array(step(F.element_at(ss, -1), v))))
+    rows = days.select(F.inline(F.arrays_zip(F.col("v.d").alias("d"), folded.alias("s"))))
+    return rows.select("d", F.round(F.when(F.col("s.n") >= LENGTH, F.sqrt(F.col("s.c") / (1 - F.col("s.s")))), 6).alias("ewm_std"))
 
 
 @query("direct_horizon_features", f"""WITH {PRICES_SQL} SELECT d, round(ln(price / lag(price) OVER w), 6) AS r1, round(ln(price / avg(price) OVER (ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), 6) AS vs_mean,

@@ -109,7 +109,7 @@ b AS (SELECT symbol, x0, max(x) FILTER (x <= x0) AS a, arg_max(y, x) FILTER (x <
 SELECT symbol, x0, round(CASE WHEN a IS NULL THEN yb WHEN b IS NULL THEN ya ELSE ya + (yb - ya) * (x0 - a) / (b - a) END, 6) AS y FROM b""")
 def interpolation(spark: SparkSession, d: str) -> DataFrame:
     """Piecewise-linear values at four tenors, clamped at the ends."""
-    k = table(spark, d, "lineitem").where("l_suppkey <= 20").groupBy(F.col("l_suppkey").alias("symbol"), F.month("l_shipdate").alias("x")).agg(F.avg("l_discount").alias("y"))
+    k = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("symbol"), F.month("l_shipdate").alias("x")).agg(F.avg("l_discount").alias("y"))
     rows = k.withColumn("x0", F.explode(F.array(*map(F.lit, (0.5, 4.5, 8.25, 13.0)))))
     low, high = F.when(F.col("x") <= F.col("x0"), F.col("x")), F.when(F.col("x") > F.col("x0"), F.col("x"))
     g = rows.groupBy("symbol", "x0").agg(F.max(low).alias("a"), F.max_by("y", low).alias("ya"), F.min(high).alias("b"), F.min_by("y", high).alias("yb"))
@@ -135,7 +135,7 @@ def isotonic_decreasing(df: DataFrame, key: str, order: str, value: str) -> Data
 o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY x) AS i FROM v), m AS (SELECT a.symbol, a.i AS j, b.i AS k, avg(c.y) AS m FROM o a JOIN o b ON a.symbol = b.symbol AND a.i <= b.i JOIN o c ON c.symbol = a.symbol AND c.i BETWEEN a.i AND b.i GROUP BY 1, 2, 3)
 SELECT symbol, x, round(min(best), 6) AS fitted FROM (SELECT o.symbol, o.x, m.j, max(m.m) AS best FROM o JOIN m ON m.symbol = o.symbol AND m.j <= o.i AND m.k >= o.i GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def isotonic(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "part").where("p_size <= 15").groupBy(F.col("p_brand").alias("symbol"), F.col("p_size").alias("x")).agg(F.avg((F.col("p_partkey") % 97) / 97.0).alias("y"))
+    v = table(spark, d, "part").groupBy(F.col("p_brand").alias("symbol"), F.col("p_size").alias("x")).agg(F.avg((F.col("p_partkey") % 97) / 97.0).alias("y"))
     return isotonic_decreasing(v, "symbol", "x", "y").select("symbol", "x", F.round("fitted", 6).alias("fitted"))
 
 
@@ -143,7 +143,7 @@ LEGS_SQL = """legs AS (SELECT l_orderkey AS trade, l_linenumber AS leg, CASE WHE
 
 
 def legs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_orderkey <= 200").select(
+    return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("trade"), F.col("l_linenumber").alias("leg"), F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1).alias("side"),
         (80 + 5.0 * (F.col("l_partkey") % 9)).alias("strike"), (F.col("l_partkey") % 2 == 0).alias("is_call"), (1 + F.col("l_quantity") % 5).alias("premium"),
     )

@@ -202,7 +202,7 @@ g AS (SELECT x.k AS a, y.k AS b, m, n, m + n AS contracts, abs(m * x.lot * x.pri
  round(coalesce(arg_min(error, (contracts, error, m)) FILTER (error <= 0.15), min(error)), 6) AS error FROM g GROUP BY 1, 2""")
 def hedge_lots(spark: SparkSession, d: str) -> DataFrame:
     """Whole lots of two legs up to 12 each: fewest contracts within 15 % imbalance, else least imbalance."""
-    p = table(spark, d, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("price"), (25 * (1 + F.col("p_partkey") % 8)).alias("lot"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("price"), (25 * (1 + F.col("p_partkey") % 8)).alias("lot"))
     x, y = p.select(*[F.col(c).alias(f"x_{c}") for c in p.columns]), p.select(*[F.col(c).alias(f"y_{c}") for c in p.columns])
     legs = x.join(y, F.col("y_k") == F.col("x_k") + 1)
     grid = legs.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(12))))

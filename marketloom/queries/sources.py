@@ -81,14 +81,14 @@ def strike_lookup(spark: SparkSession, d: str) -> DataFrame:
     k = F.round(F.col("p_retailprice") / 3, 4)
     parts = table(spark, d, "part")
     quotes = parts.groupBy(k.alias("k")).agg(F.min("p_partkey").alias("quote"))
-    return parts.where("p_partkey <= 500").select(F.col("p_partkey").alias("id"), k.alias("k")).join(quotes, "k").select("id", "quote")
+    return parts.select(F.col("p_partkey").alias("id"), k.alias("k")).join(quotes, "k").select("id", "quote")
 
 
 @query("two_leg_quotes", """WITH q AS (SELECT l_suppkey AS ticker, date_trunc('month', l_shipdate)::DATE AS expiry, avg(l_extendedprice / l_quantity) AS price FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2)
 SELECT a.ticker, a.expiry, round(a.price - b.price, 6) AS spread FROM q a JOIN q b ON b.ticker = a.ticker + 1 AND b.expiry = a.expiry""")
 def two_leg(spark: SparkSession, d: str) -> DataFrame:
     price = F.avg(F.col("l_extendedprice") / F.col("l_quantity"))
-    q = table(spark, d, "lineitem").where("l_suppkey <= 20").groupBy(F.col("l_suppkey").alias("ticker"), F.trunc("l_shipdate", "month").alias("expiry")).agg(price.alias("price"))
+    q = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("ticker"), F.trunc("l_shipdate", "month").alias("expiry")).agg(price.alias("price"))
     b = q.select((F.col("ticker") - 1).alias("ticker"), "expiry", F.col("price").alias("other"))
     return q.join(b, ["ticker", "expiry"]).select("ticker", "expiry", F.round(F.col("price") - F.col("other"), 6).alias("spread"))
 
@@ -138,7 +138,7 @@ def throughput(spark: SparkSession, d: str) -> DataFrame:
 def business_days(spark: SparkSession, d: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     ahead = F.filter(F.array(*[F.date_add(day, k) for k in (1, 2, 3)]), lambda x: F.weekday(x) < 5)
-    return table(spark, d, "orders").where("o_orderkey <= 2000").select("o_orderkey", F.array_min(ahead).alias("next_day"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_min(ahead).alias("next_day"))
 
 
 @query("adaptive_lookback_z", """WITH e AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v, 10 + user_id % 30 AS n FROM events GROUP BY 1), t AS (SELECT user_id, v[-least(n, len(v)):] AS w FROM e)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import pytest
 
@@ -35,3 +36,48 @@ def test_ticker_queries_cover_all_tickers(spark, suppliers, name):
 
 def test_cross_market_counts_all_tickers(spark, suppliers):
     assert QUERIES["cross_market_summary"](spark, suppliers).first().n == N
+
+
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    """60 suppliers, 450 orders from 1,900 on, and 601 parts of sizes 1 to 45."""
+    d = str(tmp_path_factory.mktemp("whole"))
+    days = [dt.date(1992 + k // 12, k % 12 + 1, 5) for k in range(60)]
+    items = [(1900 + s, 1 + k % 5, s + 1, s, day, 100.0 + s, 1.0 + k % 5, 0.01 * (k % 9)) for s in range(1, 61) for k, day in enumerate(days)]
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_extendedprice double, l_quantity double, l_discount double"
+    spark.createDataFrame(items, kinds).write.parquet(f"{d}/lineitem.parquet")
+    parts = [(k, f"Brand#{k % 3}", 1 + k % 45, 900.0 + k) for k in range(1, 602)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{d}/part.parquet")
+    orders = [(1900 + k, dt.date(1992, 1, 1) + dt.timedelta(days=k), 100.0 + k % 7) for k in range(450)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate date, o_totalprice double").write.parquet(f"{d}/orders.parquet")
+    return d
+
+
+@pytest.mark.parametrize(
+    ("name", "key", "n"),
+    [
+        ("payoff_grid", "trade", 60),
+        ("strategy_extremes", "trade", 60),
+        ("strategy_mark", "trade", 60),
+        ("hedge_lots", "a", 600),
+        ("fpca_forecast", "symbol", 60),
+        ("strike_lookup_rounded", "id", 601),
+        ("two_leg_quotes", "ticker", 59),
+        ("business_days_ahead", "o_orderkey", 450),
+        ("tenor_interpolation", "symbol", 60),
+        ("expiry_common_nearest", "left_id", 59),
+        ("isotonic_exceedance", "x", 45),
+        ("yeo_johnson_walk", "d", 450 - 1 - 60),
+        ("ewm_std_21", "d", 450),
+    ],
+)
+def test_no_key_is_left_out(spark, whole, name, key, n):
+    assert len({r[key] for r in QUERIES[name](spark, whole).select(key).collect()}) == n
+
+
+def test_ewm_std_of_every_day_equals_its_definition(spark, whole):
+    pd = pytest.importorskip("pandas")
+    x = pd.Series([math.log(100.0 + k % 7) for k in range(450)])
+    got = [r.ewm_std for r in QUERIES["ewm_std_21"](spark, whole).orderBy("d").collect()]
+    want = x.ewm(span=21, adjust=False, min_periods=21).std().tolist()
+    assert got[:20] == [None] * 20 and got[20:] == pytest.approx(want[20:], abs=2e-6)
