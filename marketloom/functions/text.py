@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space of any script, listed since engines and versions differ in what \s means.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
 
 def count_of(text: Column, term: str) -> Column:
     """How often a term occurs (without overlaps)."""
@@ -50,5 +53,5 @@ def normal_title(text: Column) -> Column:
 
 def first_words(text: Column, n: int) -> Column:
     """The first n words, with an ellipsis if there are more."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
     return F.concat(F.array_join(F.slice(words, 1, n), " "), F.when(F.size(words) > n, "…").otherwise(""))

@@ -68,8 +68,7 @@ def category(spark: SparkSession, d: str) -> DataFrame:
 
 @query("clip_words", r"SELECT doc_id, md5(array_to_string(w[1:24], ' ') || CASE WHEN len(w) > 24 THEN '…' ELSE '' END) AS clip FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE regexp_matches(text, '^[\x20-\x7E]*$'))")
 def clip(spark: SparkSession, d: str) -> DataFrame:
-    plain = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x20-\x7E]*$"))
-    return plain.select("doc_id", F.md5(tx.first_words(F.col("text"), 24)).alias("clip"))
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.first_words(F.col("text"), 24)).alias("clip"))
 
 
 @query("distinct_evidence", "SELECT md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS k, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
@@ -146,9 +145,8 @@ def relevance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("query_cache_key", r"SELECT doc_id, left(sha256(trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g'))), 32) AS cache_key FROM documents WHERE regexp_matches(text, '^[\x0A\x20-\x7E]*$')")
 def cache_key(spark: SparkSession, d: str) -> DataFrame:
-    plain = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x0A\x20-\x7E]*$"))
-    norm = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\r\n]+", " "))
-    return plain.select("doc_id", F.left(F.sha2(norm.cast("binary"), 256), F.lit(32)).alias("cache_key"))
+    norm = F.trim(F.regexp_replace(F.lower("text"), tx.SPACE, " "))
+    return table(spark, d, "documents").select("doc_id", F.left(F.sha2(norm.cast("binary"), 256), F.lit(32)).alias("cache_key"))
 
 
 @query("evidence_chunks_top2", "SELECT source, doc_id FROM (SELECT source, doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS score FROM documents) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 2")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 
 import pytest
@@ -81,3 +82,14 @@ def test_ewm_std_of_every_day_equals_its_definition(spark, whole):
     got = [r.ewm_std for r in QUERIES["ewm_std_21"](spark, whole).orderBy("d").collect()]
     want = x.ewm(span=21, adjust=False, min_periods=21).std().tolist()
     assert got[:20] == [None] * 20 and got[20:] == pytest.approx(want[20:], abs=2e-6)
+
+
+def test_texts_of_any_script_are_clipped_and_keyed(spark, tmp_path):
+    """Every document, split where Python's str.split() splits."""
+    spaces = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
+    texts = ["plain words", "two\nlines\tand\r\nmore", "Größe ÄÖ", "слово " * 30, "\u3000東京\u00a0都 ", spaces.join(map(str, range(30))), "", spaces, *(f"a{c}b" for c in spaces)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    clip = {i: hashlib.md5((" ".join(t.split()[:24]) + "…" * (len(t.split()) > 24)).encode()).hexdigest() for i, t in enumerate(texts)}
+    key = {i: hashlib.sha256(" ".join(t.lower().split()).encode()).hexdigest()[:32] for i, t in enumerate(texts)}
+    assert {r.doc_id: r.clip for r in QUERIES["clip_words"](spark, str(tmp_path)).collect()} == clip
+    assert {r.doc_id: r.cache_key for r in QUERIES["query_cache_key"](spark, str(tmp_path)).collect()} == key
