@@ -17,7 +17,7 @@ from marketloom.llm.tables import own_name, shared_dir, table
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no known language (``und``); lang becomes the language found."""
+    """Drop null texts and texts without letters (``und``); lang becomes the language found."""
     found = own_name(docs, "_found")
     named = language.identify(docs, language.train(docs), into=found)
     kept = named.where(F.col(f"{found}.lang") != language.UNKNOWN)

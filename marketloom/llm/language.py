@@ -12,9 +12,9 @@ filter's false-positive rate for that language; the count is corrected for that
 of the language's own n-grams that the filter covers.  The largest count decides; the score is its
 share of all counts.
 
-Defined results: null texts and texts without letters give ``und`` and score 0; a text of which no n-gram is
-known, and any text when there are no learned languages, gives ``und`` too; ties go to the
-language that sorts first; rows with null lang or doc_id aren't learned from; other columns pass through.
+Defined results: null texts and texts without letters give ``und`` and score 0, as does any text when there are
+no learned languages; a text with letters of which no n-gram is known gives the language with the most labelled
+documents and score 0; ties go to the language that sorts first; rows with null lang or doc_id aren't learned from; other columns pass through.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ LENGTHS = (2, 3, 4)
 MAX_DOCS = 4000
 LEAST, SHARE = 2e-5, 0.2
 HASHES = 3
+#: Languages of one filter word.
+WORD = 64
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 FOUND = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
@@ -67,19 +69,23 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 
 class LanguageFilter:
-    """A bit-sliced Bloom filter over (gram, language) pairs."""
+    """A bit-sliced Bloom filter over (gram, language) pairs, in as many planes of words as the languages need.
 
-    def __init__(self, langs: list[str], grams: list[np.ndarray], covers: np.ndarray):
-        self.langs, self.covers = langs, covers
+    ``usual`` is the language of a text that tells nothing.
+    """
+
+    def __init__(self, langs: list[str], grams: list[np.ndarray], covers: np.ndarray, usual: int = 0):
+        self.langs, self.covers, self.usual = langs, covers, usual
         most = max(map(len, grams), default=0)
         self.bits = max(12, int(most * HASHES * 4 or 1).bit_length())
-        kind = next(k for k, room in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= room)
-        self.words = np.zeros(1 << self.bits, kind)
+        kind = next(k for k, room in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(len(langs), WORD) <= room)
+        self.planes = [np.zeros(1 << self.bits, kind) for _ in range(max(1, -(-len(langs) // WORD)))]
         fill = []
         for i, own in enumerate(grams):
+            words, bit = self.planes[i // WORD], kind(1 << i % WORD)
             for at in self.positions(own):
-                self.words[at] |= kind(1 << i)
-            fill.append(np.count_nonzero(self.words & kind(1 << i)) / len(self.words))
+                words[at] |= bit
+            fill.append(np.count_nonzero(words & bit) / len(words))
         self.chance = np.array(fill) ** HASHES
 
     def positions(self, gram: np.ndarray) -> Iterator[np.ndarray]:
@@ -89,11 +95,11 @@ class LanguageFilter:
             yield mixed >> step
             mixed = mixed * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
 
-    def languages_of(self, gram: np.ndarray) -> np.ndarray:
-        """The bitmask of the languages that contain each n-gram."""
+    def languages_of(self, gram: np.ndarray, plane: int = 0) -> np.ndarray:
+        """The bitmask of the languages of a plane that contain each n-gram."""
         found = None
         for at in self.positions(gram):
-            word = self.words[at]
+            word = self.planes[plane][at]
             found = word if found is None else found & word
         return found
 
@@ -105,14 +111,14 @@ class LanguageFilter:
             total = np.zeros(b - a)
             for n in LENGTHS:
                 gram, owner = batch.grams(n)
-                mask = self.languages_of(gram)
                 size = np.bincount(owner, minlength=b - a)
                 total += size
                 begin = np.cumsum(size) - size
                 some = size > 0
-                for i in range(len(self.langs)):
-                    if some.any():
-                        bit = (mask >> mask.dtype.type(i) & mask.dtype.type(1)).astype(np.int32)
+                for plane in range(len(self.planes)) if some.any() else ():
+                    mask = self.languages_of(gram, plane)
+                    for i in range(plane * WORD, min((plane + 1) * WORD, len(self.langs))):
+                        bit = (mask >> mask.dtype.type(i % WORD) & mask.dtype.type(1)).astype(np.int32)
                         hits[some, i] += np.add.reduceat(bit, begin[some])
             out[a:b] = (hits - total[:, None] * self.chance) / (1 - self.chance) / self.covers
         return np.maximum(out, 0)
@@ -122,9 +128,9 @@ class LanguageFilter:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         counts = self.counts(texts)
         total = counts.sum(axis=1)
-        lettered = np.array([bool(t and _LETTER.search(t)) for t in texts], bool) & (total > 0)
-        best = counts.argmax(axis=1)
-        score = np.where(lettered, counts.max(axis=1) / np.where(total > 0, total, 1), 0.0)
+        lettered = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
+        best = np.where(total > 0, counts.argmax(axis=1), self.usual)
+        score = np.where(lettered & (total > 0), counts.max(axis=1) / np.where(total > 0, total, 1), 0.0)
         return [self.langs[i] if ok else UNKNOWN for i, ok in zip(best, lettered, strict=True)], score
 
 
@@ -133,24 +139,23 @@ def train(labelled: DataFrame, *, max_docs: int = MAX_DOCS) -> LanguageFilter:
     rows = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
-    if len(langs) > 64:
-        raise ValueError(f"{len(langs)} languages; a filter word has 64 bits")
     if not langs:
         return LanguageFilter([], [], np.zeros(0))
     limit = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1, max_docs / sizes[lang]) * 1e6))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit[F.col("lang")])
     counts = gram_counts(sample)
     totals = {(r["lang"], r["length"]): r["n"] for r in counts.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()}
-    size = F.create_map(*[F.lit(x) for (a, b), n in sorted(totals.items()) for x in (f"{a} {b}", float(n))]) if totals else None
-    if size is None:
-        return LanguageFilter([], [], np.zeros(0))
+    usual = langs.index(max(langs, key=sizes.get))
+    if not totals:
+        return LanguageFilter(langs, [np.zeros(0, np.uint64)] * len(langs), np.ones(len(langs)), usual)
+    size = F.create_map(*[F.lit(x) for (a, b), n in sorted(totals.items()) for x in (f"{a} {b}", float(n))])
     part = counts.withColumn("p", F.col("n") / size[F.concat_ws(" ", "lang", "length")]).where(F.col("p") >= LEAST)
     best = part.groupBy("length", "gram").agg(F.max("p").alias("most"))
     chosen = part.join(best, ["length", "gram"]).where(F.col("p") >= SHARE * F.col("most"))
     got = chosen.select("lang", "gram", "p").toPandas()
     grams = [got.gram[got.lang == lang].to_numpy().view(np.uint64) for lang in langs]
     covers = np.array([max(got.p[got.lang == lang].sum() / len(LENGTHS), 1e-6) for lang in langs])
-    return LanguageFilter(langs, grams, covers)
+    return LanguageFilter(langs, grams, covers, usual)
 
 
 def identify(docs: DataFrame, model: LanguageFilter, *, text: str = "text", into: str = "found") -> DataFrame:
