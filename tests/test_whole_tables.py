@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import math
+import random
 
 import pytest
 
@@ -93,3 +94,33 @@ def test_texts_of_any_script_are_clipped_and_keyed(spark, tmp_path):
     key = {i: hashlib.sha256(" ".join(t.lower().split()).encode()).hexdigest()[:32] for i, t in enumerate(texts)}
     assert {r.doc_id: r.clip for r in QUERIES["clip_words"](spark, str(tmp_path)).collect()} == clip
     assert {r.doc_id: r.cache_key for r in QUERIES["query_cache_key"](spark, str(tmp_path)).collect()} == key
+
+
+def distance(s: str, t: str) -> int:
+    row = list(range(len(t) + 1))
+    for i, c in enumerate(s, 1):
+        last, row[0] = row[0], i
+        for j, e in enumerate(t, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+    return row[-1]
+
+
+def test_near_titles_equal_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    titles = ["market report for the week", "a market report for the week", "Xarket report for the week", "short", "shorty", "größere märkte im mai", "größere märkte im maj"]
+    for _ in range(40):
+        t = "".join(rng.choice("abcd ") for _ in range(rng.randrange(8, 40))).strip() or "x"
+        titles.append(t)
+        for _ in range(3):
+            for _ in range(rng.randrange(1, 6)):
+                at = rng.randrange(len(t))
+                t = t[:at] + rng.choice(["", "b", "cd"]) + t[at + rng.randrange(2) :] or "x"
+            titles.append(t.strip() or "x")
+    pages = [(i, f"<title>{t}</title>") for i, t in enumerate(titles)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    first = {}
+    for i, t in enumerate(titles):
+        first.setdefault(t.lower(), i)
+    want = {tuple(sorted((i, j))) for s, i in first.items() for t, j in first.items() if i < j and 1 - distance(s, t) / max(len(s), len(t)) >= 0.88}
+    got = [(r.a, r.b) for r in QUERIES["title_near_copies"](spark, str(tmp_path)).collect()]
+    assert (0, 2) in want and len(got) == len(set(got)) and set(got) == want
