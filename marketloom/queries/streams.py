@@ -24,7 +24,7 @@ def _ticks(df: DataFrame) -> DataFrame:
 
 def stream(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    return tk.valid_ticks(_ticks(tk.tick_stream(spark, f"{d}/events.parquet*", events.schema)))
+    return tk.valid_ticks(_ticks(tk.tick_stream(spark, f"{d}/events.parquet*", events.schema, files_per_trigger=None)))
 
 
 TICKS_SQL = "t AS (SELECT event_type AS symbol, ts, value AS price, coalesce((props->>'$.k')::DOUBLE, 0.0) AS volume, event_id FROM events WHERE value > 0)"
