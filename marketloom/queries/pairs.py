@@ -149,7 +149,7 @@ def topn_union(spark: SparkSession, d: str) -> DataFrame:
     cuts = F.explode(F.filter(F.array(*map(F.lit, CUTS)), lambda c: F.col("p") <= c)).alias("cut")
     rows = engle_granger(spark, d).select("a", "b", "p", cuts)
     k = F.row_number().over(Window.partitionBy("cut").orderBy("p", "a", "b"))
-    return rows.withColumn("k", k).where("k <= 5").select("a", "b", F.round("p", 6).alias("p")).distinct()
+    return rows.withColumn("k", k).where("k <= 200").select("a", "b", F.round("p", 6).alias("p")).distinct()
 
 
 @query("pair_entry_events", f"""WITH {PAIR_SQL}, z AS (SELECT a, b, t, (s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0) AS z, count(s) OVER w AS n FROM spread WINDOW w AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),

@@ -124,3 +124,16 @@ def test_near_titles_equal_brute_force(spark, tmp_path):
     want = {tuple(sorted((i, j))) for s, i in first.items() for t, j in first.items() if i < j and 1 - distance(s, t) / max(len(s), len(t)) >= 0.88}
     got = [(r.a, r.b) for r in QUERIES["title_near_copies"](spark, str(tmp_path)).collect()]
     assert (0, 2) in want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_prior_closes_reach_back_251(spark, tmp_path):
+    rows = [(k, u, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k // 10), float(k)) for u, n in ((1, 60), (2, 300)) for k in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: (r.n, r["mean"]) for r in QUERIES["prior_closes_251"](spark, str(tmp_path)).collect()}
+    assert got == {1: (60, 29.5), 2: (251, (49 + 299) / 2)}
+
+
+def test_top_pairs_of_a_threshold_are_not_five(spark, suppliers):
+    near = {(r.a, r.b) for r in QUERIES["pair_adf_t"](spark, suppliers).collect() if r.p <= 0.5}
+    assert 20 < len(near) <= 200
+    assert {(r.a, r.b) for r in QUERIES["threshold_topn_union"](spark, suppliers).collect()} == near
