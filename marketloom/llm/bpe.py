@@ -13,7 +13,8 @@ an aggregation over the rows in order of position joins their bytes (one thread,
 
 Defined results: null text encodes as the empty text (no identifiers); null identifiers decode to
 empty bytes; an identifier outside the vocabulary raises; special tokens are never emitted; rows
-are independent, so ties and repeated rows do not matter; other columns pass through.
+are independent, so ties and repeated rows do not matter; other columns pass through (one that is called like
+the result as ``_<name>``).
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from .pretokens import batches_by_size, pieces
+from .tables import with_result
 from .vocab import SharedFile
 
 #: Words whose tokens a worker remembers; then it forgets the younger half (frequent words are met early).
@@ -219,7 +221,7 @@ def bpe_encoder(spark: SparkSession, vocab_path: str):
         for batch in batches:
             yield _joined(list(_coded(codec, batch)), pa.list_(pa.int32()))
 
-    return encode
+    return encode.asNondeterministic()  # so that no filter runs it again
 
 
 def bpe_decoder(spark: SparkSession, vocab_path: str):
@@ -232,7 +234,7 @@ def bpe_decoder(spark: SparkSession, vocab_path: str):
         for batch in batches:
             yield pa.array(codec.decode(batch), pa.binary())
 
-    return decode
+    return decode.asNondeterministic()
 
 
 def bpe_round_trip(spark: SparkSession, vocab_path: str):
@@ -251,17 +253,17 @@ def bpe_round_trip(spark: SparkSession, vocab_path: str):
             columns = [_joined(ids, pa.list_(pa.int32())), _joined(decoded, pa.binary())]
             yield pa.StructArray.from_arrays(columns, names=["ids", "decoded"])
 
-    return code
+    return code.asNondeterministic()
 
 
 def encode(docs: DataFrame, vocab_path: str, *, text: str = "text", into: str = "ids") -> DataFrame:
-    return docs.withColumn(into, bpe_encoder(docs.sparkSession, vocab_path)(docs[text]))
+    return with_result(docs, into, bpe_encoder(docs.sparkSession, vocab_path)(docs[text]))
 
 
 def decode(docs: DataFrame, vocab_path: str, *, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    return docs.withColumn(into, bpe_decoder(docs.sparkSession, vocab_path)(docs[ids]))
+    return with_result(docs, into, bpe_decoder(docs.sparkSession, vocab_path)(docs[ids]))
 
 
 def round_trip(docs: DataFrame, vocab_path: str, *, text: str = "text", into: str = "coded") -> DataFrame:
     """``docs`` with a struct of ids and decoded."""
-    return docs.withColumn(into, bpe_round_trip(docs.sparkSession, vocab_path)(docs[text]))
+    return with_result(docs, into, bpe_round_trip(docs.sparkSession, vocab_path)(docs[text]))

@@ -14,7 +14,8 @@ share of all counts.
 
 Defined results: null texts and texts without letters give ``und`` and score 0, as does any text when there are
 no learned languages; a text with letters of which no n-gram is known gives the language with the most labelled
-documents and score 0; ties go to the language that sorts first; rows with null lang or doc_id aren't learned from; other columns pass through.
+documents and score 0; ties go to the language that sorts first; rows with null lang or doc_id aren't learned from; other columns pass through
+(one that is called like the result as ``_<name>``).
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from . import worker_memory
 from .ngrams import batches
+from .tables import with_result
 
 LENGTHS = (2, 3, 4)
 MAX_DOCS = 4000
@@ -46,6 +49,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     """(lang, length, gram, n) over the sample's columns lang and text."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.enter("language")
         for rb in rows:
             langs = np.array(rb.column("lang").to_pylist(), object)
             texts = rb.column("text").to_pylist()
@@ -164,8 +168,9 @@ def identify(docs: DataFrame, model: LanguageFilter, *, text: str = "text", into
 
     @F.arrow_udf(FOUND)
     def decide(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_memory.enter("language")
         for texts in rows:
             langs, score = shared.value.decide(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score)], fields=list(_FOUND_ARROW))
 
-    return docs.withColumn(into, decide(docs[text]))
+    return with_result(docs, into, decide.asNondeterministic()(docs[text]))  # so that no filter runs it again

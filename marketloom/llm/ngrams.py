@@ -38,7 +38,7 @@ class Batch:
         return key[at], owner
 
 
-def batches(texts: Sequence[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int, Batch]]:
+def batches(texts: Sequence[str | None], most: int = 500_000) -> Iterator[tuple[int, int, Batch]]:
     """Batches of bounded size; a longer text stands alone."""
     for a, b in batches_by_size([t or "" for t in texts], most):
         yield a, b, Batch(texts[a:b])

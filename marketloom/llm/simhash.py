@@ -14,7 +14,7 @@ dense groups don't emit all pairs.  Exact copies share a fingerprint and count o
 
 Defined results: null and word-free texts have fingerprint zero, which links like any other; equal
 rows are kept; a component's id is its least non-null doc_id, null if there is none; an empty table
-gives an empty table; extra columns are ignored or passed through.
+gives an empty table; extra columns are ignored or passed through (one that is called like the result as ``_<name>``).
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from . import worker_memory
 from .components import connected_components
-from .tables import cut_lineage, own_name
+from .tables import cut_lineage, own_name, with_result
 
 BUDGET = 3
 #: Fingerprints of a leaf of the top trie, at most, while that gives no more than some thousands of leaves.
@@ -63,12 +64,13 @@ def fingerprint(text: str | None) -> int:
 
 @F.arrow_udf(LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
+    worker_memory.enter("simhash")
     return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
 
 def with_fingerprints(docs: DataFrame, *, text: str = "text", into: str = "fp") -> DataFrame:
     """``docs`` with its fingerprints as signed longs (the same 64 bits)."""
-    return docs.withColumn(into, _fingerprints(docs[text]))
+    return with_result(docs, into, _fingerprints.asNondeterministic()(docs[text]))  # so that no filter runs it again
 
 
 def in_hex(fp) -> F.Column:
@@ -311,8 +313,8 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     """``docs`` without all but the least doc_id of each group of near-duplicates."""
     found = near_duplicates(docs, doc_id=doc_id, text=text)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")).alias("s"))
-    best = best.select(F.col("s.doc_id").alias("_kept_id"), F.col("s.mark").alias("_kept_mark"))
-    mark = own_name(docs, "_mark")
-    marked = docs.withColumn(mark, F.xxhash64(docs[text]))
-    kept = marked.join(best, marked[doc_id].eqNullSafe(best["_kept_id"]) & (marked[mark] == best["_kept_mark"]), "left_semi")
-    return kept.dropDuplicates([doc_id, mark]).drop(mark)
+    best = best.select(F.xxhash64("s.doc_id", "s.mark").alias("k"), F.col("s.mark").alias("m"))
+    key, mark = own_name(docs, "_key"), own_name(docs, "_mark")
+    marked = docs.withColumn(mark, F.xxhash64(docs[text])).withColumn(key, F.xxhash64(docs[doc_id], F.col(mark)))
+    kept = marked.join(best, (marked[key] == best["k"]) & (marked[mark] == best["m"]), "left_semi")
+    return kept.dropDuplicates([key, mark]).drop(key, mark)  # dealt by the same keys: texts are shuffled once

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where that is unset (tests on one machine) a folder below /tmp is set.
+    Where that is unset, a folder below /tmp serves on one machine (a local master); a cluster must name one.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/marketloom-checkpoints"
     context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        path = "file:///tmp/marketloom-checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
     return path
@@ -28,6 +34,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of a run in the shared folder, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def own_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -37,6 +49,12 @@ def own_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def with_result(df: DataFrame, into: str, result: Column) -> DataFrame:
+    """``df`` with a last column ``into``; a column of that name that ``df`` has already is kept as ``_<name>``."""
+    kept = [df[f"`{c}`"].alias(own_name(df, f"_{c}") if c.lower() == into.lower() else c) for c in df.columns]
+    return df.select(*kept, result.alias(into))
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts`` (null ids: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

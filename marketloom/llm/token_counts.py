@@ -7,7 +7,8 @@ minus its merges; no identifiers are emitted.
 
 Defined results: null text counts as empty (0 tokens); the vocabulary's special strings inside a
 text count one token each, as the public library does by default; repeated rows and rows with equal
-ids are counted row by row; other columns, whatever their names, pass through.
+ids are counted row by row; other columns pass through
+(one that is called like the result as ``_<name>``).
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .pretokens import batches_by_size, pieces
+from .tables import with_result
 from .vocab import SharedFile
 
 #: Distinct pieces whose counts a worker remembers; then it forgets the younger half (frequent ones are met early).
 MEMORY = 800_000
+#: A heap entry has 20 bits for the symbol and 40 for the position; Python's integers hold the rank above them.
+POSITION = (1 << 40) - 1
+PLACE = 60
 
 
 def byte_alphabet() -> list[str]:
@@ -46,11 +51,13 @@ class MergeCounter:
         if model["type"] != "BPE" or model.get("ignore_merges") or spec.get("normalizer"):
             raise ValueError("only plain byte-level BPE vocabularies are supported")
         symbol = {c: i for i, c in enumerate(byte_alphabet())}
-        self.merges: dict[int, int] = {}  # pair -> rank << 44 | joined symbol
+        if len(model["vocab"]) >= 1 << 20:
+            raise ValueError("a vocabulary may have at most 1,048,575 symbols")
+        self.merges: dict[int, int] = {}  # pair -> rank << PLACE | joined symbol
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             joined = symbol.setdefault(left + right, len(symbol))
-            self.merges.setdefault(symbol[left] << 20 | symbol[right], (rank + 1) << 44 | joined)
+            self.merges.setdefault(symbol[left] << 20 | symbol[right], (rank + 1) << PLACE | joined)
         special = [re_escape(t["content"]) for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(sorted(special, key=len, reverse=True))) if special else None
         self.known: dict[str, int] = {}
@@ -59,7 +66,7 @@ class MergeCounter:
         symbols = list(piece.encode("utf-8", "replace"))
         n = len(symbols)
         find = self.merges.get
-        # a heap entry orders by rank, then position: rank << 44 | position << 20 | joined symbol
+        # a heap entry orders by rank, then position: rank << PLACE | position << 20 | joined symbol
         wanted = [0 if (e := find(a << 20 | b)) is None else e | i << 20 for i, (a, b) in enumerate(pairwise(symbols))]
         wanted.append(0)
         heap = [e for e in wanted if e]
@@ -70,7 +77,7 @@ class MergeCounter:
         count = n
         while heap:
             entry = heappop(heap)
-            i = entry >> 20 & 0xFFFFFF
+            i = entry >> 20 & POSITION
             if wanted[i] != entry:
                 continue  # one of the two symbols has been merged since
             j = after[i]
@@ -134,13 +141,13 @@ def token_counter(spark: SparkSession, vocab_path: str):
                 counts += counter.texts(texts[a:b])
             yield pa.array(counts, pa.int64())
 
-    return n_tokens
+    return n_tokens.asNondeterministic()  # so that no filter runs it again
 
 
 def count_tokens(docs: DataFrame, vocab_path: str, *, text: str = "text", into: str = "n_tokens") -> DataFrame:
     """``docs`` with one more column, the number of tokens of ``text``."""
     counter = token_counter(docs.sparkSession, vocab_path)
-    return docs.withColumn(into, counter(docs[text]))
+    return with_result(docs, into, counter(docs[text]))
 
 
 def utf8_bytes(text: Column) -> Column:

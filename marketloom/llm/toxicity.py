@@ -9,7 +9,8 @@ classes count as they do among all labelled rows.
 
 Defined results: null and empty texts score by the intercept alone; without labelled rows of both
 classes every score is the share of toxic rows (0 without any); a document with several labels is toxic if any
-says so; labels with nulls are left out; rows are scored one by one and other columns pass through.
+says so; labels with nulls are left out; rows are scored one by one and other columns
+pass through (one that is called like the result as ``_<name>``).
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from . import worker_memory
 from .ngrams import batches
+from .tables import with_result
 
 LENGTHS = (3, 4, 5)
 BITS = 20
@@ -156,7 +159,8 @@ def score(docs: DataFrame, model: Classifier, *, text: str = "text", into: str =
 
     @F.arrow_udf(DoubleType())
     def scores(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_memory.enter("toxicity")
         for texts in rows:
             yield pa.array(shared.value.scores(texts.to_pylist()))
 
-    return docs.withColumn(into, scores(docs[text]))
+    return with_result(docs, into, scores.asNondeterministic()(docs[text]))  # so that no filter runs it again

@@ -13,12 +13,13 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
+from . import worker_memory
+
 MAX_BYTES = 64 << 20
-_LOADED: dict[tuple[str, str], Any] = {}
 
 
 class SharedFile:
-    """A file's bytes, broadcast; ``built(f)`` gives ``f(bytes)``, made once in each process."""
+    """A file's bytes, broadcast; ``built(f)`` gives ``f(bytes)``, made once while a process works with it."""
 
     def __init__(self, spark: SparkSession, path: str):
         data = Path(path).read_bytes()
@@ -28,7 +29,4 @@ class SharedFile:
         self.data = spark.sparkContext.broadcast(data)
 
     def built(self, make: Callable[[bytes], Any]) -> Any:
-        key = (self.digest, make.__qualname__)
-        if key not in _LOADED:
-            _LOADED[key] = make(self.data.value)
-        return _LOADED[key]
+        return worker_memory.built(make.__qualname__, self.digest, lambda: make(self.data.value))
