@@ -16,7 +16,8 @@ Edges are made distinct before they are joined, so copies of a text and frequent
 once per distinct instance.  Positions come from the lengths of matches and of the gaps between them.
 
 Defined results: null text counts as empty; equal texts have equal spans; ties between kinds go to the
-first in the order above; an empty table gives an empty table; other columns pass through.
+first in the order above; an empty table gives an empty table; other columns pass through (those called like a
+result as ``_<name>``).
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .tables import cut_lineage, own_name
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, ACCEPT = 3, 3, 0.8
-#: Found spans of fewer rows than this are broadcast (a row has two hashes and a short array); more are shuffled.
-BROADCAST_ROWS = 20_000
+#: Spans of at most this size in memory (counted first) are broadcast to the rows; more are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 # The stated patterns; possessive repeats and look-behinds give the same matches without backtracking.
 _PATTERNS = {
@@ -42,6 +43,10 @@ _PATTERNS = {
 }
 _TOKEN = r"(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+"
 _CHUNK = 256
+#: Characters of a gap that hold its last words, mostly.
+_NEAR = 80
+#: Characters of a bucket of base spans.
+_BUCKET = 4096
 
 
 def running_sums(values: Column) -> Column:
@@ -65,12 +70,15 @@ def _chunk(x: Column) -> Column:
 
 
 def _words_before(gap: Column, n: int) -> Column:
-    words = F.filter(F.split(F.lower(F.right(gap, F.lit(80))), r"\s+"), lambda w: w != "")
-    return F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - n + 1), F.lit(n)), " ")
+    """The last ``n`` words of a gap, joined by blanks; the end of the gap is enough if more words than that begin in it."""
+    words = lambda x: F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")
+    end = words(F.right(gap, F.lit(_NEAR)))
+    every = F.when((F.length(gap) <= _NEAR) | (F.size(end) > n), end).otherwise(words(gap))
+    return F.array_join(F.slice(every, F.greatest(F.lit(1), F.size(every) - n + 1), F.lit(n)), " ")
 
 
 def _word_after(gap: Column) -> Column:
-    return F.regexp_extract(F.lower(F.left(gap, F.lit(60))), r"^\s*(\S+)", 1)
+    return F.lower(F.regexp_extract(gap, r"^\s*(\S+)", 1))
 
 
 def _with_matches(df: DataFrame, text: Column, patterns: dict[str, str], passes: dict) -> DataFrame:
@@ -154,10 +162,20 @@ def _no_span() -> Column:
 
 
 def with_candidates(df: DataFrame, text: str, base: str, into: str) -> DataFrame:
-    """``df`` with an array of identifier-like tokens that no base span touches."""
+    """``df`` with an array of identifier-like tokens that no base span touches.
+
+    Base spans are put in buckets of the text first, so that a token meets only those near it.
+    """
     df = _with_matches(df, F.coalesce(F.col(text), F.lit("")), {"token": _TOKEN}, {"token": lambda v: F.length(v) >= 5})
-    free = F.filter("_m_token", lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return df.withColumn(into, free).drop("_m_token")
+    last = F.greatest(F.lit(0), F.floor(F.length(text) / _BUCKET)).cast("int")
+    near = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda k: F.filter(base, lambda b: (b["start"] < (k + 1) * _BUCKET) & (b["end"] >= k * _BUCKET)),
+    )
+    df = df.withColumn("_near", F.when(F.size(base) > 0, near))
+    meets = lambda m, at: F.exists(F.get("_near", F.floor(at / _BUCKET).cast("int")), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    free = F.filter("_m_token", lambda m: ~F.coalesce(meets(m, m["start"]) | meets(m, m["end"]), F.lit(False)))
+    return df.withColumn(into, free).drop("_m_token", "_near")
 
 
 def _contexts(m: str) -> Column:
@@ -202,25 +220,35 @@ def accepted_values(slim: DataFrame) -> DataFrame:
 
 
 def find_pii(docs: DataFrame, *, text: str = "text", base: str = "base_pii", into: str = "pii") -> DataFrame:
-    """``docs`` with two arrays of (start, kind number, end), sorted: the base spans, and those with the found ones."""
-    mark = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), F.col(text)).alias("h2")]
-    slim = docs.select(F.col(text).alias("t"), *mark).where(F.coalesce(F.col("t"), F.lit("")).rlike("[0-9@]"))
-    slim = with_candidates(with_base_spans(slim, "t", "base"), "t", "base", "cand").drop("t")
+    """``docs`` with two arrays of (start, kind number, end), sorted: the base spans, and those with the found ones.
+
+    Texts are scanned once; the spans of distinct texts, known by two hashes, are joined with the rows.
+    """
+    mark = lambda t: [F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(7), t).alias("h2")]
+    slim = docs.select(docs[text].alias("t"), *mark(docs[text])).where(F.coalesce(F.col("t"), F.lit("")).rlike("[0-9@]"))
+    slim = with_candidates(with_base_spans(slim, "t", "base"), "t", "base", "cand").drop("t").dropDuplicates(["h1", "h2"])
+    # above an aggregation, so that the condition isn't pushed down into the scan, where it would find the spans again
     slim = cut_lineage(slim.where(F.size("base") + F.coalesce(F.size("cand"), F.lit(0)) > 0))
     good = accepted_values(slim)
     spans = slim.select("h1", "h2", F.explode("cand").alias("m")).select(
         "h1", "h2", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("value")
     )
     spans = spans.join(good, "value").select("h1", "h2", F.struct("start", "kind", "end").alias("s"))
-    found = cut_lineage(spans.groupBy("h1", "h2").agg(F.collect_set("s").alias("more")))
-    if found.count() <= BROADCAST_ROWS:
+    more = spans.groupBy("h1", "h2").agg(F.collect_set("s").alias("more"))
+    found = slim.select("h1", "h2", F.transform("base", lambda b: F.struct(b["start"], b["kind"], b["end"])).alias("bare"))
+    found = found.join(more, ["h1", "h2"], "left").withColumn(
+        "every", F.when(F.col("more").isNull(), F.col("bare")).otherwise(F.array_sort(F.concat("bare", "more")))
+    )
+    found = cut_lineage(found.where(F.size("bare") + F.coalesce(F.size("more"), F.lit(0)) > 0).drop("more"))
+    size = found.agg(F.coalesce(F.sum(48 + 32 * (F.size("bare") + F.size("every"))), F.lit(0)).alias("n")).first()["n"]
+    if size <= BROADCAST_BYTES:
         found = F.broadcast(found)
     # the rows' own columns travel in a struct, so that none of their names can clash
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("t"), *mark)
-    out = with_base_spans(rows.join(found, ["h1", "h2"], "left"), "t", "b")
-    bare = F.transform("b", lambda b: F.struct(b["start"], b["kind"], b["end"]))
-    out = out.withColumn("bare", bare).withColumn("every", F.array_sort(F.when(F.col("more").isNull(), F.col("bare")).otherwise(F.concat("bare", "more"))))
-    return out.select("row.*", F.col("bare").alias(base), F.col("every").alias(into))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *mark(docs[text]))
+    out = rows.join(found, ["h1", "h2"], "left")
+    spans_of = lambda c: F.coalesce(c, F.array().cast("array<struct<start: bigint, kind: int, end: bigint>>"))
+    own = [F.col("row")[c].alias(own_name(docs, f"_{c}") if c.lower() in (base.lower(), into.lower()) else c) for c in docs.columns]
+    return out.select(*own, spans_of(F.col("bare")).alias(base), spans_of(F.col("every")).alias(into))
 
 
 def spans_text(spans: Column) -> Column:
