@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, near-dedup, decontamination, personal data, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes each
-stage's result as Parquet to the shared folder and rereads it.
+stage's result as Parquet to the shared folder and rereads it.  Extra columns pass through every stage, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,11 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import bpe, decontaminate, language, pii, simhash
-from marketloom.llm.tables import own_name, shared_dir, table
+from marketloom.llm.tables import own_name, remove_folder, shared_dir, table, with_result
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop null texts and texts without letters (``und``); lang becomes the language found."""
+    """Drop null texts and texts without letters (``und``); lang becomes the language found.
+
+    Learned from the stage's own rows, so a null lang is filled; without any lang to learn from all rows go, as no
+    language can be told.  Repeated rows stay; an empty table gives an empty table.
+    """
     found = own_name(docs, "_found")
     named = language.identify(docs, language.train(docs), into=found)
     kept = named.where(F.col(f"{found}.lang") != language.UNKNOWN)
@@ -25,31 +30,40 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least doc_id of each group of near-duplicates."""
+    """Keep the least doc_id of each group of near-duplicates (null ids last).
+
+    Rows equal in doc_id and text count as one, whichever it is; of rows equal in doc_id alone one stays in each
+    group.  Null and word-free texts are one group.
+    """
     return simhash.keep_one_of_each(docs).select(docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut benchmark passages out of the texts; documents of which nothing is left go."""
+    """Cut benchmark passages out of the texts; documents of which a cut leaves nothing but white space go.
+
+    Null, empty and blank texts have nothing to cut and stay, as do repeated rows.
+    """
     benchmark = table(spark, sf_dir, "benchmark")
-    cleaned = decontaminate.without_contamination(docs, benchmark)
-    return cleaned.where(F.trim("text") != "").select(docs.columns)
+    return decontaminate.without_contamination(docs, benchmark, keep_emptied=False).select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind in brackets."""
+    """Replace personal data by its kind in brackets.  Every row stays; null and empty texts as they are."""
     return pii.redacted(docs).select(docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The identifiers of each text, and the text that they decode to."""
+    """The identifiers of each text as ``ids``, their number as ``n_tokens``, and the text that they decode to.
+
+    Every row stays; a null text becomes an empty one.  Columns of docs with these names are kept with ``_`` before them.
+    """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     into = own_name(docs, "_coded")
     coded = bpe.round_trip(docs, path, into=into)
-    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
     ids = F.col(f"{into}.ids")
-    text = F.decode(F.col(f"{into}.decoded"), "UTF-8")
-    return coded.select(*rest, text.alias("text"), ids.alias("ids"), F.size(ids).cast("long").alias("n_tokens"))
+    out = coded.withColumn("text", F.decode(F.col(f"{into}.decoded"), "UTF-8"))
+    out = with_result(with_result(out, "ids", ids), "n_tokens", F.size(ids).cast("long"))
+    return out.drop(into)
 
 
 STAGES = [
@@ -66,9 +80,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove_folder(spark, before)  # the stage after it has been written
+        before = path
     return docs
