@@ -99,8 +99,8 @@ def difference(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("expiry_common_nearest", """SELECT a.l_suppkey AS left_id, b.l_suppkey AS right_id, min(a.e) AS expiry FROM
-  (SELECT DISTINCT l_suppkey, date_trunc('month', l_shipdate)::DATE AS e FROM lineitem WHERE l_suppkey <= 5) a
-  JOIN (SELECT DISTINCT l_suppkey, date_trunc('month', l_shipdate)::DATE AS e FROM lineitem WHERE l_suppkey <= 5) b ON a.e = b.e AND a.l_suppkey < b.l_suppkey
+  (SELECT DISTINCT l_suppkey, date_trunc('month', l_shipdate)::DATE AS e FROM lineitem) a
+  JOIN (SELECT DISTINCT l_suppkey, date_trunc('month', l_shipdate)::DATE AS e FROM lineitem) b ON a.e = b.e AND a.l_suppkey < b.l_suppkey
   WHERE a.e >= DATE '1996-01-01' GROUP BY 1, 2""")
 def common_expiry(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "lineitem").select("l_suppkey", F.trunc("l_shipdate", "month").alias("e")).distinct().where("e >= DATE '1996-01-01'")

@@ -184,10 +184,10 @@ def calibration(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg("y"), 6).alias("observed"))
 
 
-@query("ewm_std_21", f"""WITH {PRICES_SQL}, a AS (SELECT list(ln(price) ORDER BY d) AS x FROM (SELECT * FROM prices ORDER BY d LIMIT 200)),
-f AS (SELECT list_reduce(list_transform(x, lambda v: {{'m': v, 'c': 0.0::DOUBLE, 's': 1.0::DOUBLE}}), lambda s, v: {{'m': s.m + {2 / 22} * (v.m - s.m),
-  'c': (1 - {2 / 22}) * (s.c + pow({2 / 22} * (v.m - s.m), 2)) + {2 / 22} * pow((1 - {2 / 22}) * (v.m - s.m), 2), 's': pow(1 - {2 / 22}, 2) * s.s + pow({2 / 22}, 2)}}) AS r FROM a)
-SELECT round(sqrt(r.c / (1 - r.s)), 6) AS ewm_std FROM f""")
+@query("ewm_std_21", f"""WITH RECURSIVE {PRICES_SQL}, x AS (SELECT d, ln(price) AS x, row_number() OVER (ORDER BY d) AS t FROM prices),
+f AS (SELECT t, d, x AS m, 0.0::DOUBLE AS c, 1.0::DOUBLE AS s FROM x WHERE t = 1 UNION ALL SELECT x.t, x.d, f.m + {2 / 22} * (x.x - f.m),
+  (1 - {2 / 22}) * (f.c + pow({2 / 22} * (x.x - f.m), 2)) + {2 / 22} * pow((1 - {2 / 22}) * (x.x - f.m), 2), pow(1 - {2 / 22}, 2) * f.s + pow({2 / 22}, 2) FROM f JOIN x ON x.t = f.t + 1)
+SELECT d, CASE WHEN t >= 21 THEN round(sqrt(c / (1 - s)), 6) END AS ewm_std FROM f""")
 def ewm_std(spark: SparkSession, d: str) -> DataFrame:
     """The rolling deviation of every day, as a fold over one symbol's days; the first 20 days have none."""
     a = 2 / 22

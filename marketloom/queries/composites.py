@@ -10,7 +10,7 @@ from ..operators.ordered import top_per_group
 from ..registry import query
 from ..sources.tables import MONTHLY_SQL, monthly_prices, table
 from .options import CHAIN_SQL, chain
-from .pairs import ADF_SQL, FORMATION, P_SQL, engle_granger, lagged, spreads
+from .pairs import ADF_SQL, FORMATION, P_SQL, p_value, screened
 
 SUGGEST_SQL = f"""{ADF_SQL}, pv AS (SELECT a, b, t, {P_SQL} AS p FROM adf), ar AS (SELECT a, b, regr_slope(s, s1) AS phi FROM lagged WHERE s1 IS NOT NULL GROUP BY 1, 2),
 lz AS (SELECT a, b, t, beta, s, (s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0) AS z FROM spread WINDOW w AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
@@ -20,15 +20,10 @@ sug AS (SELECT pv.a, pv.b, p, z, beta, CASE WHEN phi > 0 AND phi < 1 THEN ln(0.5
 
 def suggestions(spark: SparkSession, d: str) -> DataFrame:
     """p-value, half-life, last z and signal of each pair."""
-    sp = spreads(spark, d)
     phi = F.col("phi")
-    ar = lagged(sp).where("s1 IS NOT NULL").groupBy("a", "b").agg(F.regr_slope("s", "s1").alias("phi"))
-    w = Window.partitionBy("a", "b").orderBy("t").rowsBetween(-19, 0)
-    z = ratio(F.col("s") - F.avg("s").over(w), F.stddev_samp("s").over(w))
-    last = sp.withColumn("z", z).where(F.col("t") == FORMATION).select("a", "b", "z", "beta")
     signal = F.when(F.col("z") <= -1, "long_spread").when(F.col("z") >= 1, "short_spread").otherwise("watch")
-    both = engle_granger(spark, d).join(ar, ["a", "b"]).join(last, ["a", "b"])
     life = F.when((phi > 0) & (phi < 1), F.log(F.lit(0.5)) / F.ln(phi))
+    both = screened(spark, d).where("adf_t IS NOT NULL").withColumn("p", p_value("adf_t"))
     return both.withColumns({"half_life": life, "signal": signal})
 
 

@@ -65,8 +65,8 @@ def near_candidates(k: DataFrame) -> DataFrame:
     return long.join(short, ["n", "i", "part"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-@query("title_near_copies", """WITH t AS (SELECT page_id, lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages), k AS (SELECT min(page_id) AS page_id, title, left(title, 6) AS block FROM t WHERE title <> '' GROUP BY title)
-SELECT a.page_id AS a, b.page_id AS b FROM k a JOIN k b ON a.block = b.block AND a.page_id < b.page_id WHERE 1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title))::DOUBLE >= 0.88""")
+@query("title_near_copies", """WITH t AS (SELECT page_id, lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages), k AS (SELECT min(page_id) AS page_id, title FROM t WHERE title <> '' GROUP BY title)
+SELECT a.page_id AS a, b.page_id AS b FROM k a JOIN k b ON a.page_id < b.page_id WHERE 1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title))::DOUBLE >= 0.88""")
 def near_titles(spark: SparkSession, d: str) -> DataFrame:
     """Different titles whose edit-distance ratio is 0.88 or more; equal titles count once."""
     title = F.lower(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1))

@@ -104,7 +104,7 @@ def smile(spark: SparkSession, d: str) -> DataFrame:
     return g.where("off <= 0.18").select("symbol", "is_call", "target", F.round("vol", 6).alias("vol"))
 
 
-@query("tenor_interpolation", """WITH k AS (SELECT l_suppkey AS symbol, month(l_shipdate) AS x, avg(l_discount) AS y FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2), t AS (SELECT unnest([0.5, 4.5, 8.25, 13.0]::DOUBLE[]) AS x0),
+@query("tenor_interpolation", """WITH k AS (SELECT l_suppkey AS symbol, month(l_shipdate) AS x, avg(l_discount) AS y FROM lineitem GROUP BY 1, 2), t AS (SELECT unnest([0.5, 4.5, 8.25, 13.0]::DOUBLE[]) AS x0),
 b AS (SELECT symbol, x0, max(x) FILTER (x <= x0) AS a, arg_max(y, x) FILTER (x <= x0) AS ya, min(x) FILTER (x > x0) AS b, arg_min(y, x) FILTER (x > x0) AS yb FROM k CROSS JOIN t GROUP BY 1, 2)
 SELECT symbol, x0, round(CASE WHEN a IS NULL THEN yb WHEN b IS NULL THEN ya ELSE ya + (yb - ya) * (x0 - a) / (b - a) END, 6) AS y FROM b""")
 def interpolation(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ def isotonic_decreasing(df: DataFrame, key: str, order: str, value: str) -> Data
     return arr.select(key, F.inline(rows))
 
 
-@query("isotonic_exceedance", """WITH v AS (SELECT p_brand AS symbol, p_size AS x, avg((p_partkey % 97) / 97.0) AS y FROM part WHERE p_size <= 15 GROUP BY 1, 2),
+@query("isotonic_exceedance", """WITH v AS (SELECT p_brand AS symbol, p_size AS x, avg((p_partkey % 97) / 97.0) AS y FROM part GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY x) AS i FROM v), m AS (SELECT a.symbol, a.i AS j, b.i AS k, avg(c.y) AS m FROM o a JOIN o b ON a.symbol = b.symbol AND a.i <= b.i JOIN o c ON c.symbol = a.symbol AND c.i BETWEEN a.i AND b.i GROUP BY 1, 2, 3)
 SELECT symbol, x, round(min(best), 6) AS fitted FROM (SELECT o.symbol, o.x, m.j, max(m.m) AS best FROM o JOIN m ON m.symbol = o.symbol AND m.j <= o.i AND m.k >= o.i GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def isotonic(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +139,7 @@ def isotonic(spark: SparkSession, d: str) -> DataFrame:
     return isotonic_decreasing(v, "symbol", "x", "y").select("symbol", "x", F.round("fitted", 6).alias("fitted"))
 
 
-LEGS_SQL = """legs AS (SELECT l_orderkey AS trade, l_linenumber AS leg, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS side, 80 + 5.0 * (l_partkey % 9) AS strike, l_partkey % 2 = 0 AS is_call, 1 + (l_quantity % 5) AS premium FROM lineitem WHERE l_orderkey <= 200)"""
+LEGS_SQL = """legs AS (SELECT l_orderkey AS trade, l_linenumber AS leg, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS side, 80 + 5.0 * (l_partkey % 9) AS strike, l_partkey % 2 = 0 AS is_call, 1 + (l_quantity % 5) AS premium FROM lineitem)"""
 
 
 def legs(spark: SparkSession, d: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import norm_cdf, norm_cdf_sql, ratio
 from ..operators.fdr import benjamini_hochberg
+from ..operators.pair_blocks import pair_statistics
 from ..registry import query
 from ..sources.tables import MONTHLY_SQL, monthly_prices, table
 
@@ -20,49 +21,22 @@ spread AS (SELECT f.a, f.b, d, t, la, lb, la - alpha - beta * lb AS s, beta, alp
 lagged AS (SELECT *, lag(s) OVER w AS s1, s - lag(s) OVER w AS ds, lag(s) OVER w - lag(s, 2) OVER w AS ds1 FROM spread WINDOW w AS (PARTITION BY a, b ORDER BY t))"""
 
 
-def spreads(spark: SparkSession, d: str) -> DataFrame:
-    """Residuals of the regression of one log close on the other, over the last common observations of each pair.
-
-    Pairs are made of tickers first (an upper triangle of ids); prices are joined to them by key.
-    """
+def screened(spark: SparkSession, d: str, *, series: bool = False) -> DataFrame:
+    """Statistics of every pair of tickers over its last common observations, by pairs of blocks of tickers."""
     closes = monthly_prices(spark, d).select("ticker", "d", F.ln("close").alias("x"))
-    ids = closes.select("ticker").distinct()
-    pairs = ids.select(F.col("ticker").alias("a")).join(ids.select(F.col("ticker").alias("b")), F.col("a") < F.col("b"))
-    left = closes.select(F.col("ticker").alias("a"), "d", F.col("x").alias("la"))
-    right = closes.select(F.col("ticker").alias("b"), "d", F.col("x").alias("lb"))
-    aligned = pairs.join(left, "a").join(right, ["b", "d"])
-    back = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("d")))
-    form = aligned.withColumn("back", back).where(F.col("back") <= FORMATION)
-    whole = Window.partitionBy("a", "b")
-    form = form.withColumns(
-        {
-            "t": F.row_number().over(whole.orderBy("d")),
-            "beta": F.regr_slope("la", "lb").over(whole),
-            "alpha": F.regr_intercept("la", "lb").over(whole),
-            "n": F.count(F.lit(1)).over(whole),
-        }
-    )
-    return form.where(F.col("n") == FORMATION).withColumn("s", F.col("la") - F.col("alpha") - F.col("beta") * F.col("lb"))
-
-
-def lagged(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy("a", "b").orderBy("t")
-    s1, s2 = F.lag("s").over(w), F.lag("s", 2).over(w)
-    return df.withColumns({"s1": s1, "ds": F.col("s") - s1, "ds1": s1 - s2})
+    return pair_statistics(closes, formation=FORMATION, series=series)
 
 
 @query("pair_regression", f"WITH {PAIR_SQL} SELECT a, b, round(beta, 6) AS beta, round(alpha, 6) AS alpha, round(cor, 6) AS cor FROM fit")
 def regression(spark: SparkSession, d: str) -> DataFrame:
-    g = spreads(spark, d).groupBy("a", "b").agg(F.regr_slope("la", "lb").alias("beta"), F.regr_intercept("la", "lb").alias("alpha"), F.corr("la", "lb").alias("cor"))
-    return g.select("a", "b", *[F.round(c, 6).alias(c) for c in ("beta", "alpha", "cor")])
+    return screened(spark, d).select("a", "b", *[F.round(c, 6).alias(c) for c in ("beta", "alpha", "cor")])
 
 
 @query("pair_spread_z", f"""WITH {PAIR_SQL} SELECT a, b, d, round(CASE WHEN count(s) OVER w = 20 THEN (s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0) END, 5) AS z FROM spread
 WINDOW w AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def spread_z(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("a", "b").orderBy("t").rowsBetween(-19, 0)
-    z = ratio(F.col("s") - F.avg("s").over(w), F.stddev_samp("s").over(w))
-    return spreads(spark, d).select("a", "b", "d", F.round(F.when(F.count("s").over(w) == 20, z), 5).alias("z"))
+    rows = screened(spark, d, series=True).select("a", "b", F.inline(F.arrays_zip("d", F.col("zs").alias("z"))))
+    return rows.select("a", "b", "d", F.round("z", 5).alias("z"))
 
 
 @query("pair_half_life", f"""WITH {PAIR_SQL}, ar AS (SELECT a, b, regr_slope(s, s1) AS phi FROM lagged WHERE s1 IS NOT NULL GROUP BY 1, 2)
@@ -70,22 +44,10 @@ SELECT a, b, round(phi, 6) AS phi, round(CASE WHEN phi > 0 AND phi < 1 THEN ln(0
   CASE WHEN phi > 0 AND phi < 1 THEN greatest(10, least({FORMATION}, round(2 / (1 - phi) - 1)))::BIGINT END AS lookback FROM ar""")
 def half_life(spark: SparkSession, d: str) -> DataFrame:
     phi = F.col("phi")
-    ar = lagged(spreads(spark, d)).where("s1 IS NOT NULL").groupBy("a", "b").agg(F.regr_slope("s", "s1").alias("phi"))
     mean_reverting = (phi > 0) & (phi < 1)
     look = F.greatest(F.lit(10.0), F.least(F.lit(float(FORMATION)), F.round(2 / (1 - phi) - 1))).cast("long")
     life = F.when(mean_reverting, F.log(F.lit(0.5)) / F.ln(phi))
-    return ar.select("a", "b", F.round(phi, 6).alias("phi"), F.round(life, 4).alias("half_life"), F.when(mean_reverting, look).alias("lookback"))
-
-
-def two_regressor_t(df: DataFrame, y: str, x1: str, x2: str, *keys: str) -> DataFrame:
-    """t statistic of the first of two regressors without intercept, from six sums."""
-    m = lambda a, b: F.sum(F.col(a) * F.col(b))
-    g = df.groupBy(*keys).agg(
-        m(x1, x1).alias("s11"), m(x2, x2).alias("s22"), m(x1, x2).alias("s12"), m(x1, y).alias("t1"), m(x2, y).alias("t2"), m(y, y).alias("yy"), F.count(F.lit(1)).alias("n")
-    )
-    g = g.withColumn("det", F.expr("s11 * s22 - s12 * s12")).where("det <> 0")
-    g = g.withColumns({"b1": F.expr("(s22 * t1 - s12 * t2) / det"), "b2": F.expr("(s11 * t2 - s12 * t1) / det")})
-    return g.withColumn("t", F.expr("b1 / sqrt((yy - b1 * t1 - b2 * t2) / (n - 2) * s22 / det)"))
+    return screened(spark, d).select("a", "b", F.round(phi, 6).alias("phi"), F.round(life, 4).alias("half_life"), F.when(mean_reverting, look).alias("lookback"))
 
 
 T_SQL = """{name} AS (SELECT *, b1 / sqrt((yy - b1 * t1 - b2 * t2) / (n - 2) * s22 / det) AS t FROM (SELECT *, (s22 * t1 - s12 * t2) / det AS b1, (s11 * t2 - s12 * t1) / det AS b2 FROM
@@ -97,12 +59,17 @@ _HIGH = "2.1945 + 0.64695 * t - 0.29198 * t * t - 0.042377 * t * t * t"
 P_SQL = f"CASE WHEN t <= -18.86 THEN 0.0 WHEN t > 0.92 THEN 1.0 WHEN t <= -2.62 THEN {norm_cdf_sql(_TAU)} ELSE {norm_cdf_sql(_HIGH)} END"
 
 
+def p_value(t: str) -> Column:
+    """p of an Engle-Granger statistic by the published response surface (fixed values)."""
+    e = lambda x: F.expr(x.replace("t", t))
+    low, high = norm_cdf(e(_TAU)), norm_cdf(e(_HIGH))
+    c = F.col(t)
+    return F.when(c <= -18.86, 0.0).when(c > 0.92, 1.0).when(c <= -2.62, low).when(c > -2.62, high)
+
+
 def engle_granger(spark: SparkSession, d: str) -> DataFrame:
-    """ADF(1) statistic of each pair's residuals and its p-value by the published response surface (fixed values)."""
-    adf = two_regressor_t(lagged(spreads(spark, d)).where("ds1 IS NOT NULL"), "ds", "s1", "ds1", "a", "b")
-    low, high = norm_cdf(F.expr(_TAU)), norm_cdf(F.expr(_HIGH))
-    p = F.when(F.col("t") <= -18.86, 0.0).when(F.col("t") > 0.92, 1.0).when(F.col("t") <= -2.62, low).otherwise(high)
-    return adf.select("a", "b", "t", p.alias("p"))
+    """ADF(1) statistic of each pair's residuals, where there is one, and its p-value."""
+    return screened(spark, d).where("adf_t IS NOT NULL").select("a", "b", F.col("adf_t").alias("t"), p_value("adf_t").alias("p"))
 
 
 @query("pair_adf_t", f"WITH {ADF_SQL} SELECT a, b, round(t, 5) AS t, round({P_SQL}, 6) AS p FROM adf")
@@ -117,11 +84,8 @@ k AS (SELECT a, b, pow(lag(v) OVER w, 3) AS c1, lag(v) OVER w - lag(v, 2) OVER w
 
 @query("pair_kss", f"WITH {KSS_SQL} SELECT a, b, round(t, 5) AS kss, t <= -5.04 AS stationary FROM kss")
 def kss(spark: SparkSession, d: str) -> DataFrame:
-    p, w = Window.partitionBy("a", "b"), Window.partitionBy("a", "b").orderBy("t")
-    std = spreads(spark, d).withColumn("v", ratio(F.col("s") - F.avg("s").over(p), F.stddev_pop("s").over(p)))
-    v1 = F.lag("v").over(w)
-    k = std.select("a", "b", F.pow(v1, 3.0).alias("c1"), (v1 - F.lag("v", 2).over(w)).alias("d1"), (F.col("v") - v1).alias("dv")).where("d1 IS NOT NULL")
-    return two_regressor_t(k, "dv", "c1", "d1", "a", "b").select("a", "b", F.round("t", 5).alias("kss"), (F.col("t") <= -5.04).alias("stationary"))
+    k = screened(spark, d).where("kss_t IS NOT NULL")
+    return k.select("a", "b", F.round("kss_t", 5).alias("kss"), (F.col("kss_t") <= -5.04).alias("stationary"))
 
 
 FDR_SQL = f"""{ADF_SQL}, pv AS (SELECT a, b, {P_SQL} AS p FROM adf), raw AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, a, b) AS raw FROM pv),
@@ -130,21 +94,23 @@ fdr AS (SELECT a, b, p, least(1.0, min(raw) OVER (ORDER BY p DESC, a DESC, b DES
 
 @query("bh_fdr", f"WITH {FDR_SQL} SELECT a, b, round(q, 6) AS q FROM fdr")
 def bh(spark: SparkSession, d: str) -> DataFrame:
-    return benjamini_hochberg(engle_granger(spark, d), "p", ["a", "b"]).select("a", "b", F.round("q", 6).alias("q"))
+    return benjamini_hochberg(engle_granger(spark, d), "p").select("a", "b", F.round("q", 6).alias("q"))
 
 
-CUTS = (0.01, 0.05, 0.2, 0.5)
+#: The surveyed thresholds (fixed values), and two wide ones.
+CUTS = (0.0001, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.2, 0.5)
+CUTS_SQL = f"unnest({list(CUTS)}::DOUBLE[])"
 
 
-@query("threshold_counts", f"WITH {FDR_SQL} SELECT cut, count(*) FILTER (p <= cut) AS n FROM fdr CROSS JOIN (SELECT unnest([0.01, 0.05, 0.2, 0.5]::DOUBLE[]) AS cut) GROUP BY 1")
+@query("threshold_counts", f"WITH {FDR_SQL} SELECT cut, count(*) FILTER (p <= cut) AS n FROM fdr CROSS JOIN (SELECT {CUTS_SQL} AS cut) GROUP BY 1")
 def threshold_counts(spark: SparkSession, d: str) -> DataFrame:
-    one = engle_granger(spark, d).agg(*[F.count_if(F.col("p") <= c).alias(str(c).replace(".", "_")) for c in CUTS])
-    rows = F.array(*[F.struct(F.lit(c).alias("cut"), F.col(str(c).replace(".", "_")).alias("n")) for c in CUTS])
+    one = engle_granger(spark, d).agg(*[F.count_if(F.col("p") <= c).alias(f"n_{k}") for k, c in enumerate(CUTS)])
+    rows = F.array(*[F.struct(F.lit(c).alias("cut"), F.col(f"n_{k}").alias("n")) for k, c in enumerate(CUTS)])
     return one.select(F.inline(rows))
 
 
-@query("threshold_topn_union", f"""WITH {FDR_SQL}, r AS (SELECT a, b, p, cut, row_number() OVER (PARTITION BY cut ORDER BY p, a, b) AS k FROM fdr JOIN (SELECT unnest([0.01, 0.05, 0.2, 0.5]::DOUBLE[]) AS cut) ON p <= cut)
-SELECT DISTINCT a, b, round(p, 6) AS p FROM r WHERE k <= 5""")
+@query("threshold_topn_union", f"""WITH {FDR_SQL}, r AS (SELECT a, b, p, cut, row_number() OVER (PARTITION BY cut ORDER BY p, a, b) AS k FROM fdr JOIN (SELECT {CUTS_SQL} AS cut) ON p <= cut)
+SELECT DISTINCT a, b, round(p, 6) AS p FROM r WHERE k <= 200""")
 def topn_union(spark: SparkSession, d: str) -> DataFrame:
     cuts = F.explode(F.filter(F.array(*map(F.lit, CUTS)), lambda c: F.col("p") <= c)).alias("cut")
     rows = engle_granger(spark, d).select("a", "b", "p", cuts)
@@ -156,20 +122,16 @@ def topn_union(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT *, lag(CASE WHEN n = 20 THEN z END) OVER (PARTITION BY a, b ORDER BY t) AS z1 FROM z)
 SELECT a, b, min(t) AS first_entry, round(arg_min(z, t), 5) AS z FROM c WHERE abs(z1) < 2 AND abs(z) >= 2 GROUP BY 1, 2""")
 def entry_events(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("a", "b").orderBy("t")
-    frame = w.rowsBetween(-19, 0)
-    z = F.when(F.count("s").over(frame) == 20, ratio(F.col("s") - F.avg("s").over(frame), F.stddev_samp("s").over(frame)))
-    df = spreads(spark, d).withColumn("z", z).withColumn("z1", F.lag("z").over(w)).where("abs(z1) < 2 AND abs(z) >= 2")
-    return df.groupBy("a", "b").agg(F.min("t").cast("long").alias("first_entry"), F.round(F.min_by("z", "t"), 5).alias("z"))
+    met = screened(spark, d).where("first_entry IS NOT NULL")
+    return met.select("a", "b", "first_entry", F.round("first_z", 5).alias("z"))
 
 
 @query("pair_targets", f"""WITH {PAIR_SQL} SELECT a, b, round(-s / (1 + beta * beta), 6) AS move_a, round(beta * s / (1 + beta * beta), 6) AS move_b, round(abs(exp(la) - exp(alpha + beta * lb)) / (exp(la) + abs(beta) * exp(lb)) * 100, 5) AS convergence FROM spread WHERE t = {FORMATION}""")
 def targets(spark: SparkSession, d: str) -> DataFrame:
-    last = spreads(spark, d).where(F.col("t") == FORMATION)
     scale = 1 + F.col("beta") * F.col("beta")
     gap = F.abs(F.exp("la") - F.exp(F.col("alpha") + F.col("beta") * F.col("lb")))
     back = gap / (F.exp("la") + F.abs("beta") * F.exp("lb")) * 100
-    return last.select("a", "b", F.round(-F.col("s") / scale, 6).alias("move_a"), F.round(F.col("beta") * F.col("s") / scale, 6).alias("move_b"), F.round(back, 5).alias("convergence"))
+    return screened(spark, d).select("a", "b", F.round(-F.col("s") / scale, 6).alias("move_a"), F.round(F.col("beta") * F.col("s") / scale, 6).alias("move_b"), F.round(back, 5).alias("convergence"))
 
 
 @query("indexed_series", f"WITH {MONTHLY_SQL} SELECT ticker, d, round(close / first_value(close) OVER (PARTITION BY ticker ORDER BY d) * 100, 5) AS idx FROM monthly")
@@ -188,12 +150,10 @@ def median_value(spark: SparkSession, d: str) -> DataFrame:
 @query("diff_correlation", f"""WITH {PAIR_SQL}, df AS (SELECT a, b, la - lag(la) OVER w AS da, lb - lag(lb) OVER w AS db FROM spread WINDOW w AS (PARTITION BY a, b ORDER BY t))
 SELECT a, b, round(corr(da, db), 6) AS r FROM df WHERE da IS NOT NULL GROUP BY 1, 2""")
 def diff_corr(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("a", "b").orderBy("t")
-    df = spreads(spark, d).select("a", "b", (F.col("la") - F.lag("la").over(w)).alias("da"), (F.col("lb") - F.lag("lb").over(w)).alias("db")).where("da IS NOT NULL")
-    return df.groupBy("a", "b").agg(F.round(F.corr("da", "db"), 6).alias("r"))
+    return screened(spark, d).select("a", "b", F.round("diff_r", 6).alias("r"))
 
 
-LOTS_SQL = """p AS (SELECT p_partkey AS k, p_retailprice AS price, 25 * (1 + p_partkey % 8) AS lot FROM part WHERE p_partkey <= 40),
+LOTS_SQL = """p AS (SELECT p_partkey AS k, p_retailprice AS price, 25 * (1 + p_partkey % 8) AS lot FROM part),
 g AS (SELECT x.k AS a, y.k AS b, m, n, m + n AS contracts, abs(m * x.lot * x.price - n * y.lot * y.price) / (m * x.lot * x.price) AS error
  FROM p x JOIN p y ON y.k = x.k + 1 CROSS JOIN range(1, 13) r(m) CROSS JOIN range(1, 13) q(n))"""
 

@@ -181,7 +181,7 @@ def asof_purchase(spark: SparkSession, d: str) -> DataFrame:
     return as_of(views, bought, "user_id", "ts", ["value"]).select("event_id", "asof_value")
 
 
-@query("prior_closes_251", """SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE ts < TIMESTAMP '2024-01-20') WHERE k <= 30 GROUP BY 1""")
+@query("prior_closes_251", """SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE ts < TIMESTAMP '2024-01-20') WHERE k <= 251 GROUP BY 1""")
 def prior_closes(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "events").where("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'").select("user_id", "value", "ts", "event_id")
     last = top_per_group(old, ["user_id"], [F.desc("ts"), F.desc("event_id")], 251, "k")

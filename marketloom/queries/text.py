@@ -66,7 +66,7 @@ def category(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", word.alias("category"), F.md5(tx.normal_title(F.col("text"))).alias("title_key"))
 
 
-@query("clip_words", r"SELECT doc_id, md5(array_to_string(w[1:24], ' ') || CASE WHEN len(w) > 24 THEN '…' ELSE '' END) AS clip FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE regexp_matches(text, '^[\x20-\x7E]*$'))")
+@query("clip_words", r"SELECT doc_id, md5(array_to_string(w[1:24], ' ') || CASE WHEN len(w) > 24 THEN '…' ELSE '' END) AS clip FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS w FROM documents)")
 def clip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(tx.first_words(F.col("text"), 24)).alias("clip"))
 
@@ -143,7 +143,7 @@ def relevance(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.col("text").rlike("(?<![A-Z0-9])THE(?![A-Z0-9])").alias("ticker_hit"), (F.size(tokens) >= 2).alias("name_hit"))
 
 
-@query("query_cache_key", r"SELECT doc_id, left(sha256(trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g'))), 32) AS cache_key FROM documents WHERE regexp_matches(text, '^[\x0A\x20-\x7E]*$')")
+@query("query_cache_key", r"SELECT doc_id, left(sha256(trim(regexp_replace(lower(text), '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))), 32) AS cache_key FROM documents")
 def cache_key(spark: SparkSession, d: str) -> DataFrame:
     norm = F.trim(F.regexp_replace(F.lower("text"), tx.SPACE, " "))
     return table(spark, d, "documents").select("doc_id", F.left(F.sha2(norm.cast("binary"), 256), F.lit(32)).alias("cache_key"))

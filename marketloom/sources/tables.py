@@ -119,4 +119,4 @@ def monthly_prices(spark: SparkSession, d: str) -> DataFrame:
 
 MONTHLY_SQL = """monthly AS (
   SELECT l_suppkey AS ticker, date_trunc('month', l_shipdate)::DATE AS d, avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume
-  FROM lineitem WHERE l_suppkey <= 10 GROUP BY 1, 2)"""
+  FROM lineitem GROUP BY 1, 2)"""

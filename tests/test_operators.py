@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -24,7 +25,7 @@ from marketloom.sources.tables import require_columns
 
 def test_fdr_of_known_values(spark):
     df = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03)], "k int, p double")
-    got = {r.k: r.q for r in benjamini_hochberg(df, "p", ["k"]).collect()}
+    got = {r.k: r.q for r in benjamini_hochberg(df, "p").collect()}
     assert got == pytest.approx({1: 0.03, 2: 0.04, 3: 0.04})
 
 
@@ -34,10 +35,44 @@ def test_fdr_of_many_values(spark):
     order = np.argsort(p)
     raw = p[order] * 500 / np.arange(1, 501)
     want = np.minimum(1, np.minimum.accumulate(raw[::-1])[::-1])
-    got = {r.k: r.q for r in benjamini_hochberg(df, "p", ["k"]).collect()}
+    got = {r.k: r.q for r in benjamini_hochberg(df, "p").collect()}
     assert [got[i] for i in order] == pytest.approx(want.tolist())
 
 
+def test_fdr_of_equal_and_missing_values(spark):
+    p = [0.0, 0.0, 1.0, 1.0, 1.0, 0.5, 0.5, None, float("nan"), 0.01]
+    got = [r.q for r in benjamini_hochberg(spark.createDataFrame(list(enumerate(p)), "k int, p double"), "p").orderBy("k").collect()]
+    assert got[7:9] == [None, None]  # no tests: eight are left
+    assert got[:7] + got[9:] == pytest.approx([0, 0, 1, 1, 1, 0.8, 0.8, 8 * 0.01 / 3])
+    assert benjamini_hochberg(spark.createDataFrame([], "k int, p double"), "p").collect() == []
+
+
+def test_pair_statistics_edges(spark):
+    """Nulls, short, constant and repeated series; pairs meet in one unit only."""
+    from marketloom.operators import pair_blocks
+
+    rng = np.random.default_rng(4)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(40)]
+    rows = [(f"T{i}", day, float(x)) for i in range(7) for day, x in zip(days, rng.standard_normal(40).cumsum())]
+    rows += [("flat", day, 1.0) for day in days] + [("short", days[0], 1.0), ("none", days[0], None)] + rows[:40]
+    df = spark.createDataFrame(rows, "ticker string, d date, x double")
+    whole = {(r.a, r.b): r for r in pair_blocks.pair_statistics(df, formation=30, window=5).collect()}
+    names = sorted([f"T{i}" for i in range(7)] + ["flat"])
+    assert sorted(whole) == [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    x = {n: np.array([r[2] for r in rows if r[0] == n][:40])[-30:] for n in names}
+    for (a, b), r in whole.items():
+        if "flat" not in (a, b):
+            assert (r.beta, r.cor) == pytest.approx((np.polyfit(x[b], x[a], 1)[0], np.corrcoef(x[a], x[b])[0, 1]))
+    assert whole[("T0", "flat")].beta is None and whole[("T0", "flat")].adf_t is None
+    before, pair_blocks.BLOCK = pair_blocks.BLOCK, 2
+    try:
+        cut = {(r.a, r.b): r for r in pair_blocks.pair_statistics(df, formation=30, window=5).collect()}
+    finally:
+        pair_blocks.BLOCK = before
+    assert cut == whole
+    assert pair_blocks.pair_statistics(df.limit(0), formation=30).collect() == []
+
+
 def test_isotonic_of_known_values(spark):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate([0.8, 0.6, 0.7, 0.2])], "k int, x int, y double")
     got = [r.fitted for r in isotonic_decreasing(df, "k", "x", "y").orderBy("x").collect()]

@@ -28,7 +28,7 @@ def duck():
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else float(f"{value:.10g}")
+        return None if math.isnan(value) else float(f"{value:.10g}") + 0.0  # no negative zero
     return value if value is None or isinstance(value, (int, bool)) else str(value)
 
 
