@@ -1,11 +1,12 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes log-count ratios (operator 2).
 
-Training takes at most ``MAX_ROWS`` labelled documents per class (those with the least hashes).  For each hashed
-n-gram the documents of each class that contain it are counted; its log-count ratio is
+Training takes labelled documents of each class in the order of a hash of their ids, at most ``MAX_ROWS`` and at most ``MAX_CHARS``
+of text together.  For each hashed n-gram the documents of each class that contain it are counted; its log-count ratio is
 r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)).  A feature is the presence of an n-gram, scaled by
-r; n-grams whose ratio can't be told from zero (less than ``SIGMAS`` standard errors) or is less than ``LEAST_RATIO``
-either way (long documents contain more of everything) have none.  A logistic regression with an L2 penalty is fitted on these features, with rows weighted so that the
-classes count as they do among all labelled rows.
+r; n-grams whose ratio can't be told from zero (less than ``SIGMAS`` standard errors) have none.  A logistic regression
+with an L2 penalty is fitted on these features, with rows weighted so that the classes count as they do among all labelled rows.
+The driver fits it from one 32-bit integer for each feature of each sampled document; a document has no more features than
+three times its characters, so ``MAX_CHARS`` bounds what the driver holds.
 
 Defined results: null and empty texts score by the intercept alone; without labelled rows of both
 classes every score is the share of toxic rows (0 without any); a document with several labels is toxic if any
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -30,7 +31,11 @@ from .tables import with_result
 LENGTHS = (3, 4, 5)
 BITS = 20
 MAX_ROWS = 8000
-SIGMAS, LEAST_RATIO = 3.0, 1.0
+#: Characters of all sampled texts of a class together.
+MAX_CHARS = 24_000_000
+SIGMAS = 3.0
+#: Features that a step of the fit looks at together.
+CHUNK = 2_000_000
 PENALTY = 1e-4
 
 
@@ -71,26 +76,49 @@ class Classifier:
 
 
 def fit_logistic(
-    row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, rounds: int = 400
+    begin: np.ndarray, col: np.ndarray, ratio: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400
 ) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression of sparse rows by accelerated gradient steps."""
-    n = len(y)
+    """L2-penalised logistic regression by accelerated gradient steps, restarted when they overshoot.
+
+    Row i has the features ``col[begin[i] : begin[i + 1]]``, each with its column's value of ``ratio``.
+    """
+    n, width = len(y), len(ratio)
     weight = weight / weight.sum()
-    squares = np.bincount(row, value * value, minlength=n) + 1
-    step = 1 / (0.25 * (weight * squares).sum() + PENALTY)
+    size = np.diff(begin)
+    cuts = [0]
+    while cuts[-1] < n:  # rows of about CHUNK features
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(begin, begin[cuts[-1]] + CHUNK, "right")) - 1))
+    parts = [(a, b, col[begin[a] : begin[b]], size[a:b], np.flatnonzero(size[a:b])) for a, b in zip(cuts, cuts[1:])]
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        for a, b, own, _, some in parts:
+            if len(own):
+                out[a:b][some] = np.add.reduceat(values[own], begin[a:b][some] - begin[a])
+        return out
+
+    def spread(error: np.ndarray) -> np.ndarray:
+        out = np.zeros(width)
+        for a, b, own, sizes, _ in parts:
+            out += np.bincount(own, np.repeat(error[a:b], sizes), minlength=width)
+        return out * ratio
+
+    step = 1 / (0.25 * (weight * (sums(ratio * ratio) + 1)).sum() + PENALTY)
     theta, ahead = np.zeros(width + 1), np.zeros(width + 1)
     t = 1.0
     for _ in range(rounds):
-        z = np.bincount(row, value * ahead[col], minlength=n) + ahead[-1]
+        z = sums(ratio * ahead[:-1]) + ahead[-1]
         error = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        slope = np.append(np.bincount(col, value * error[row], minlength=width) + PENALTY * ahead[:-1], error.sum())
+        slope = np.append(spread(error) + PENALTY * ahead[:-1], error.sum())
         before, theta = theta, ahead - step * slope
+        if slope @ (theta - before) > 0:
+            t = 1.0
         t, u = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead = theta + (u - 1) / t * (theta - before)
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Classifier:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic)."""
     each = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {int(r["toxic"]): r["n"] for r in each.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -102,7 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Cl
         return Classifier(none, none, prior)
     ranked = [each.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for c in (0, 1)]
     chosen = ranked[0].union(ranked[1])  # at most 2 * max_rows ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    drawn = docs.select("doc_id", F.length("text").alias("n")).join(F.broadcast(chosen), "doc_id")
+    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = drawn.groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))  # at most 2 * max_rows rows
+    drawn = drawn.withColumn("upto", F.sum("n").over(upto)).where(F.coalesce("upto", F.lit(0)) <= max_chars)
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
 
     def presence(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
@@ -122,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Cl
         .agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
         .withColumn("r", F.log(rate("p", big_p)) - F.log(rate("q", big_q)))
         .withColumn("e", F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1)))
-        .where((F.abs("r") >= SIGMAS * F.col("e")) & (F.abs("r") >= LEAST_RATIO))
+        .where(F.abs("r") >= SIGMAS * F.col("e"))
         .select("bucket", "r")
         .toPandas()  # at most 2 ** BITS rows
         .sort_values("bucket")
@@ -134,22 +166,28 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Cl
     wanted[buckets] = True
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
+    place = np.full(1 << BITS, -1, np.int32)
+    place[buckets] = np.arange(len(buckets))
+
     def sparse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory.enter("toxicity")
         for rb in rows:
-            found: list[list[int]] = [[] for _ in range(rb.num_rows)]
+            owners, on = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, owner, bucket in features(rb.column("text").to_pylist(), shared.value):
-                for i, b in zip((a + owner).tolist(), bucket.tolist(), strict=True):
-                    found[i].append(b)
-            yield pa.RecordBatch.from_arrays([rb.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "on"])
+                owners.append(a + owner)
+                on.append(bucket)
+            offsets = np.searchsorted(np.concatenate(owners), np.arange(rb.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(on).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([rb.column("toxic"), lists], ["toxic", "on"])
 
     kept = sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(sparse, "toxic int, on array<int>")
-    rows = kept.toPandas()
-    y = rows.toxic.to_numpy(np.float64)
-    size = rows.on.map(len).to_numpy()
-    row = np.repeat(np.arange(len(rows)), size)
-    col = np.searchsorted(buckets, np.concatenate([none, *rows.on.to_list()]).astype(np.int64))
+    rows = kept.toArrow().combine_chunks()
+    y = rows.column("toxic").to_numpy().astype(np.float64)
+    lists = rows.column("on").combine_chunks()
+    begin = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    col = place[lists.flatten().to_numpy()]
     weight = np.where(y == 1, pos / max(1, (y == 1).sum()), neg / max(1, (y == 0).sum()))
-    theta, intercept = fit_logistic(row, col, ratio[col], y, weight, len(buckets))
+    theta, intercept = fit_logistic(begin, col, ratio, y, weight)
     return Classifier(buckets, theta * ratio, intercept)
 
 

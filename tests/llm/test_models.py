@@ -53,9 +53,15 @@ def test_language_edge_rows(spark):
 
 
 def test_logistic_fit_separates():
-    row, col = np.array([0, 1, 2, 3]), np.array([0, 0, 1, 1])
-    theta, _ = toxicity.fit_logistic(row, col, np.ones(4), np.array([1.0, 1, 0, 0]), np.ones(4), 2)
+    begin, col = np.array([0, 1, 2, 2, 3, 5]), np.array([0, 0, 1, 1, 1])
+    y = np.array([1.0, 1, 1, 0, 0])
+    theta, _ = toxicity.fit_logistic(begin, col, np.ones(2), y, np.ones(5))
     assert theta[0] > 0.5 and theta[1] < -0.5
+    before, toxicity.CHUNK = toxicity.CHUNK, 1
+    try:
+        assert toxicity.fit_logistic(begin, col, np.ones(2), y, np.ones(5))[0] == pytest.approx(theta)
+    finally:
+        toxicity.CHUNK = before
 
 
 def test_toxic_words_are_learned(spark):
@@ -80,3 +86,24 @@ def test_toxicity_without_labels(spark):
 def test_toxicity_query_columns(spark):
     rows = op2_toxicity(spark, DIR).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """Learned from four folds of five, the scores tell the toxic documents of the fifth from the others."""
+    where = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
+    held = [(r.score, r.predicted, labels[r.doc_id]) for r in op2_toxicity(spark, where).collect() if r.held_out and r.doc_id in labels]
+    toxic, clean = [h for h in held if h[2]], [h for h in held if not h[2]]
+    assert len(toxic) > 50 and len(clean) > 500
+    assert sum(p for _, p, _ in toxic) / len(toxic) > 0.7
+    assert sum(p for _, p, _ in clean) / len(clean) < 0.01
+    above = np.mean([[a > b for b, _, _ in clean] for a, _, _ in toxic])
+    assert above > 0.95
+
+
+def test_training_text_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "bad words here" if i % 2 else "good words there") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, max_chars=1000)
+    low, high = model.scores(["good words there", "bad words here"])
+    assert low < 0.5 < high
