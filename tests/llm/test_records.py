@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from marketloom.llm import chat, neighbours, pii, warc
-from marketloom.llm.queries import op5_pii
+from marketloom.llm.queries import op5_pii, op10_neighbours
 
 SMALL = "/root/testdata/sf0.001"
 PATTERNS = (
@@ -155,3 +155,41 @@ def test_neighbours_equal_brute_force_nearly(spark):
     assert neighbours.nearest_neighbours(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
     two = neighbours.nearest_neighbours(df.where("vec_id IN (0, 3)"), F.col("vec_id") == 0).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in two] == [(0, 1, 3)]
+
+
+def test_rows_with_equal_ids_and_extreme_components(spark):
+    """Other rows of the query's id are candidates; norms neither overflow nor vanish."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.1]), (0, [1.0, 0.0]), (1, [1e-200, 1e-201]), (2, [1e200, 3e200]), (3, [0.0, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(df, F.col("vec_id") == 0).orderBy("query_id", "rank").collect()
+    assert len(got) == 15 and all(abs(r.score) < 1 + 1e-12 for r in got)
+    lists = sorted(tuple((r.vec_id, round(r.score, 9)) for r in got if r.rank == n) for n in (1, 2, 3, 4, 5))
+    near, far = round(1 / 1.01**0.5, 9), round(10**-0.5, 9)
+    first = [(r.vec_id, round(r.score, 9)) for r in got if r.rank == 1]
+    assert sorted(first) == sorted([(0, 1.0), (0, 1.0), (1, 1.0)]) and (2, far) in {x for t in lists for x in t}
+    assert (0, near) in {x for t in lists for x in t} and (3, 0.0) in {x for t in lists for x in t}
+
+
+def test_reach_covers_the_binomial():
+    assert neighbours.reach(0.0, 8) == 0 and neighbours.reach(np.pi, 8) == 8
+    assert [neighbours.reach(a, 8) for a in (0.1, 0.5, 1.0)] == sorted(neighbours.reach(a, 8) for a in (0.1, 0.5, 1.0))
+
+
+def test_neighbour_query_has_its_recall(spark):
+    where = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{where}/embeddings.parquet").collect()]
+    ids, wide = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    norms = np.sqrt((wide * wide).sum(axis=1))
+    got = {}
+    for r in op10_neighbours(spark, where).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    asked = [i for i in ids.tolist() if i % 50 == 0]
+    assert sorted(got) == asked
+    hits = 0
+    for q in asked:
+        score = wide @ wide[ids == q][0] / (norms * norms[ids == q])
+        score[ids == q] = -9
+        best = ids[np.lexsort((ids, -score))[:5]]
+        hits += len(set(best.tolist()) & set(got[q]))
+        assert all(abs(score[ids == v][0] - s) < 1e-12 for v, s in got[q].items())
+    assert hits / (5 * len(asked)) >= 0.9
