@@ -40,7 +40,7 @@ def prob_above(s: Column, k: Column, t: Column, r: Column, v: Column) -> Column:
     return norm_cdf(d1(s, k, t, r, v) - v * F.sqrt(t))
 
 
-def implied_vol(premium: Column, s: Column, k: Column, t: Column, r: Column, call: Column, steps: int = 40) -> Column:
+def implied_vol(premium: Column, s: Column, k: Column, t: Column, r: Column, call: Column, steps: int = 70) -> Column:
     """Volatility in [0.005, 5] by bisection, a fold of ``steps`` halvings; null outside the bounds."""
     low, high = F.lit(0.005), F.lit(5.0)
     at = lambda v: price(s, k, t, r, v, call)

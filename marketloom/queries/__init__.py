@@ -1,3 +1,3 @@
 """Registered queries, a module per family; importing this package registers them all."""
 
-from . import admin, backtest, composites, facts, filters, ledger, models, options, pairs, search, sources, streams, technical, text  # noqa: F401
+from . import admin, backtest, composites, facts, filters, ledger, market, models, options, pairs, search, sources, streams, technical, text  # noqa: F401

@@ -38,11 +38,11 @@ def restatement(spark: SparkSession, d: str) -> DataFrame:
     return quarters(spark, d).select("company_id", "start_date", "version", F.round("revenue", 4).alias("revenue"))
 
 
-def year_before(df: DataFrame) -> DataFrame:
+def year_before(df: DataFrame, period: str | None = None) -> DataFrame:
     """Each period with the one whose end is nearest to 365 days before its own, 21 days off at most.
 
     Bucketing the end dates in 43-day steps turns the range condition into an equality with two buckets,
-    so the join is by key and never quadratic in a company's history.
+    so the join is by key and never quadratic in a company's history.  With ``period``, periods of the same label come first.
     """
     width = 43
     cur = df.withColumn("target", F.date_sub("end_date", 365))
@@ -54,10 +54,12 @@ def year_before(df: DataFrame) -> DataFrame:
         F.col("start_date").alias("p_start"),
         F.col("revenue").alias("p_revenue"),
         F.floor(F.datediff("end_date", F.lit("1970-01-01").cast("date")) / width).alias("p_bucket"),
+        (F.col(period) if period else F.lit(None).cast("string")).alias("p_period"),
     )
     off = F.abs(F.datediff("p_end", "target"))
     both = cur.join(prev, (F.col("company_id") == F.col("p_company")) & (F.col("bucket") == F.col("p_bucket"))).where(off <= 21)
-    best = F.min_by(F.struct("p_end", "p_start", "p_revenue"), F.struct(off, F.col("p_end"))).alias("p")
+    unlike = (F.col(period).isNotNull() & ~F.col(period).eqNullSafe(F.col("p_period"))) if period else F.lit(False)
+    best = F.min_by(F.struct("p_end", "p_start", "p_revenue"), F.struct(unlike, off, F.col("p_end"))).alias("p")
     return both.groupBy("company_id", "end_date", "start_date", "revenue").agg(best).select("company_id", "start_date", "end_date", "revenue", "p.*")
 
 
