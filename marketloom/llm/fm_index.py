@@ -13,7 +13,7 @@ def suffix_array(rank: np.ndarray) -> np.ndarray:
     """Order of all suffixes by prefix doubling; ``rank`` holds the first symbols' order (separators distinct)."""
     n = len(rank)
     step = 1
-    order = np.argsort(rank, kind="stable")
+    rank = np.unique(rank, return_inverse=True)[1]  # below n, however large and sparse the symbols are
     while True:
         first = np.empty(n, bool)
         first[0] = True

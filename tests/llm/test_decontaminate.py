@@ -53,6 +53,26 @@ def test_index_finds_all_places():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == places
 
 
+def test_index_of_few_and_sparse_symbols():
+    rng = np.random.default_rng(2)
+    for trial in range(30):
+        run = rng.integers(1, 5000, rng.integers(1, 40))
+        index = FMIndex(run, np.array([len(run)]), 5000)
+        for n in (1, 2, min(10, len(run))):
+            patterns = np.lib.stride_tricks.sliding_window_view(run, min(n, len(run)))
+            low, high = index.search(patterns)
+            assert (high > low).all()
+            assert {int(x) for a, b in zip(low, high, strict=True) for x in index.locate(np.arange(a, b))} == set(range(len(patterns)))
+
+
+def test_a_lone_passage_is_found_whatever_its_words_numbers():
+    rng = random.Random(1)
+    items = [(str(i), " ".join(f"w{rng.randrange(3000)}" for _ in range(30))) for i in range(60)]
+    for i in range(0, 60, 7):
+        found = dc.find_in(dc.Phrases(items, 10), [items[i][1]])[0]
+        assert found["n_hit"] == 30 and str(i) in found["items"]
+
+
 def test_hits_equal_brute_force(monkeypatch):
     rng = random.Random(5)
     for trial in range(200):
