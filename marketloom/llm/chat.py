@@ -8,7 +8,8 @@ a block per turn.
 
 Positions and prefixes are computed in blocks of ``BLOCK`` turns and then shifted by the totals of the
 blocks before, so a very long conversation is spread over many tasks; prefixes are made distinct before the
-anti-join, so a very common first turn is one row.
+anti-join, so a very common first turn is one row.  Texts move twice, to their block and, rendered, to their
+conversation; hashes, positions and the anti-join go over rows without texts.
 
 Defined results: rows without conv_id are dropped; rows equal in conv_id, turn, role and text count once;
 turns are ordered by turn (null first), role and text; null role is ``unknown``, null text is empty; control marks inside
@@ -24,42 +25,51 @@ BLOCK = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def with_prefix_hashes(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, pos (from 1), n (turns of the conversation), p1 and p2 (hashes of the prefix up to this turn)."""
+def distinct_turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, block, turn, role, text: distinct turns, dealt by (conv_id, block) so that no later step by block moves them again."""
     turns = conversations.where("conv_id IS NOT NULL").select(
         "conv_id",
+        F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))).alias("block"),
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    turns = turns.distinct().withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
+    return turns.repartition("conv_id", "block").distinct()
+
+
+def with_prefix_hashes(turns: DataFrame) -> DataFrame:
+    """conv_id, block, pos (from 1), n (turns of the conversation), p1 and p2 (hashes of the prefix up to this turn), without texts."""
     in_block = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    turns = turns.withColumn("k", F.row_number().over(in_block))
-    sizes = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("size"))
+    slim = turns.select(
+        "conv_id",
+        "block",
+        F.row_number().over(in_block).alias("k"),
+        F.xxhash64("role", "text").alias("a1"),
+        F.xxhash64(F.lit("second"), "text", "role").alias("a2"),
+    )
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv_id")
+    sizes = slim.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("size"))
     shift = sizes.select(
         "conv_id",
         "block",
         F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"),
         F.sum("size").over(whole).alias("n"),
     )
-    turns = turns.join(shift, ["conv_id", "block"]).withColumn("pos", F.col("k") + F.col("shift"))
-    turns = turns.withColumns(
-        {"h1": F.xxhash64("pos", "role", "text"), "h2": F.xxhash64(F.lit("second"), "text", "role", "pos")}
-    )
+    slim = slim.join(shift, ["conv_id", "block"]).withColumn("pos", F.col("k") + F.col("shift"))
+    slim = slim.withColumns({"h1": F.xxhash64("pos", "a1"), "h2": F.xxhash64("a2", "pos")})
     upto = Window.partitionBy("conv_id", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    turns = turns.withColumns({"x1": F.bit_xor("h1").over(upto), "x2": F.bit_xor("h2").over(upto)})
-    totals = turns.groupBy("conv_id", "block").agg(F.bit_xor("h1").alias("t1"), F.bit_xor("h2").alias("t2"))
+    slim = slim.withColumns({"x1": F.bit_xor("h1").over(upto), "x2": F.bit_xor("h2").over(upto)})
+    totals = slim.groupBy("conv_id", "block").agg(F.bit_xor("h1").alias("t1"), F.bit_xor("h2").alias("t2"))
     carried = totals.select(
         "conv_id",
         "block",
         F.coalesce(F.bit_xor("t1").over(before), F.lit(0)).alias("c1"),
         F.coalesce(F.bit_xor("t2").over(before), F.lit(0)).alias("c2"),
     )
-    turns = turns.join(carried, ["conv_id", "block"])
+    slim = slim.join(carried, ["conv_id", "block"])
     xor = lambda a, b: F.col(a).bitwiseXOR(F.col(b))
-    return turns.select("conv_id", "turn", "role", "text", "pos", "n", xor("x1", "c1").alias("p1"), xor("x2", "c2").alias("p2"))
+    return slim.select("conv_id", "block", "pos", "n", xor("x1", "c1").alias("p1"), xor("x2", "c2").alias("p2"))
 
 
 def maximal_conversations(hashed: DataFrame) -> DataFrame:
@@ -76,10 +86,12 @@ def rendered_turn(role: Column, text: Column) -> Column:
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns and the rendered text of each maximal conversation."""
-    hashed = with_prefix_hashes(conversations)
-    kept = hashed.join(maximal_conversations(hashed), "conv_id", "left_semi")
-    turns = kept.select("conv_id", F.struct("pos", rendered_turn(F.col("role"), F.col("text")).alias("t")).alias("s"))
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    return grouped.select(
-        "conv_id", F.size("s").cast("long").alias("n_turns"), F.array_join("s.t", "").alias("rendered")
-    )
+    turns = distinct_turns(conversations)
+    kept = maximal_conversations(with_prefix_hashes(turns))
+    blocks = turns.select("conv_id", "block").distinct().join(kept, "conv_id", "left_semi")
+    rows = turns.join(blocks, ["conv_id", "block"], "left_semi")
+    rows = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("s"))
+    drawn = F.array_join(F.transform("s", lambda t: rendered_turn(t["role"], t["text"])), "")
+    parts = rows.select("conv_id", F.size("s").cast("long").alias("size"), F.struct("block", drawn.alias("t")).alias("part"))
+    whole = parts.groupBy("conv_id").agg(F.sum("size").alias("n_turns"), F.sort_array(F.collect_list("part")).alias("parts"))
+    return whole.select("conv_id", "n_turns", F.array_join("parts.t", "").alias("rendered"))
