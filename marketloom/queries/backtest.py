@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from ..operators.ordered import top_per_group
 from ..registry import query
 from ..sources.tables import DAILY_SQL, daily_price, table
 
 LENGTH = 21
+LENGTHS = (21, 63, 126, 252)
+THRESHOLDS = (0.0, 0.05, 0.10, 0.15)
+LEAST_HISTORY = 126
 COST = 0.001
 S = "1"
 
@@ -39,14 +43,31 @@ def regressions(df: DataFrame, length: int = LENGTH) -> DataFrame:
     return df.withColumn("score", (F.exp(252 * F.col("slope")) - 1) * F.col("r2"))
 
 
-REG_SQL = f"""{PRICES_SQL}, reg AS (SELECT *, CASE WHEN count(*) OVER w = {LENGTH} THEN regr_slope(ln(price), t) OVER w END AS slope,
-  CASE WHEN count(*) OVER w = {LENGTH} THEN coalesce(regr_r2(ln(price), t) OVER w, 0) END AS r2 FROM prices WINDOW w AS (ORDER BY d ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW)),
+def all_regressions(df: DataFrame) -> DataFrame:
+    """``regressions`` of every length of ``LENGTHS`` as rows with their ``lookback``, over one sort of the series."""
+    y, t = F.ln("price"), F.col("t").cast("double")
+    fits = []
+    for n in LENGTHS:
+        w = by_symbol().rowsBetween(-(n - 1), 0)
+        full = F.count(F.lit(1)).over(w) == n
+        slope, r2 = F.when(full, F.regr_slope(y, t).over(w)), F.when(full, F.coalesce(F.regr_r2(y, t).over(w), F.lit(0.0)))
+        fits.append(F.struct(F.lit(n).cast("long").alias("lookback"), slope.alias("slope"), r2.alias("r2")))
+    df = df.select("*", F.array(*fits).alias("fits")).select("symbol", "d", "price", "t", F.inline("fits"))
+    return df.withColumn("score", (F.exp(252 * F.col("slope")) - 1) * F.col("r2"))
+
+
+def reg_sql(n: int) -> str:
+    return f"""{PRICES_SQL}, reg AS (SELECT *, CASE WHEN count(*) OVER w = {n} THEN regr_slope(ln(price), t) OVER w END AS slope,
+  CASE WHEN count(*) OVER w = {n} THEN coalesce(regr_r2(ln(price), t) OVER w, 0) END AS r2 FROM prices WINDOW w AS (ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
 scored AS (SELECT *, (exp(252 * slope) - 1) * r2 AS score FROM reg)"""
 
 
-@query("rolling_regression", f"WITH {REG_SQL} SELECT d, round(slope, 7) AS slope, round(r2, 6) AS r2 FROM scored")
+REG_SQL = reg_sql(LENGTH)
+
+
+@query("rolling_regression", " UNION ALL ".join(f"SELECT * FROM (WITH {reg_sql(n)} SELECT {n}::BIGINT AS lookback, d, round(slope, 7) AS slope, round(r2, 6) AS r2 FROM scored)" for n in LENGTHS))
 def rolling(spark: SparkSession, d: str) -> DataFrame:
-    return regressions(prices(spark, d)).select("d", F.round("slope", 7).alias("slope"), F.round("r2", 6).alias("r2"))
+    return all_regressions(prices(spark, d)).select("lookback", "d", F.round("slope", 7).alias("slope"), F.round("r2", 6).alias("r2"))
 
 
 def backtest(scored: DataFrame, threshold: float = 0.0, cost: float = COST) -> DataFrame:
@@ -66,7 +87,8 @@ def backtest(scored: DataFrame, threshold: float = 0.0, cost: float = COST) -> D
     return df.withColumn("drawdown", F.col("equity") / peak - 1)
 
 
-BT_SQL = f"""{REG_SQL}, tgt AS (SELECT *, coalesce((score > 0)::INT::DOUBLE, 0.0) AS target FROM scored),
+def bt_sql(n: int, threshold: float) -> str:
+    return f"""{reg_sql(n)}, tgt AS (SELECT *, coalesce((score > {threshold})::INT::DOUBLE, 0.0) AS target FROM scored),
 pos AS (SELECT *, coalesce(price / lag(price) OVER w - 1, 0) AS ret, coalesce(lag(target, 2) OVER w, 0) AS position,
   abs(coalesce(lag(target, 1) OVER w, 0) - coalesce(lag(target, 2) OVER w, 0)) AS turnover FROM tgt WINDOW w AS (ORDER BY d)),
 net AS (SELECT *, position * ret - {COST} * turnover AS net FROM pos),
@@ -74,6 +96,9 @@ eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING)
 bt AS (SELECT *, equity / max(equity) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM eq)"""
 
 
+BT_SQL = bt_sql(LENGTH, 0.0)
+
+
 def tested(spark: SparkSession, d: str) -> DataFrame:
     return backtest(regressions(prices(spark, d)))
 
@@ -105,20 +130,23 @@ def bt_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics(tested(spark, d))
 
 
-@query("backtest_grid", " UNION ALL ".join(f"SELECT * FROM (WITH {BT_SQL.replace('score > 0', f'score > {t}')} SELECT {t}::DOUBLE AS threshold, round(arg_max(equity, d) - 1, 5) AS total_return, round(min(drawdown), 5) AS max_drawdown FROM bt)" for t in (-0.5, 0.0, 0.5)))
+GRID_SQL = "SELECT * FROM (WITH {bt} SELECT {n}::BIGINT AS lookback, {t}::DOUBLE AS threshold, round(arg_max(equity, d) - 1, 5) AS total_return, round(min(drawdown), 5) AS max_drawdown FROM bt)"
+
+
+@query("backtest_grid", " UNION ALL ".join(GRID_SQL.format(bt=bt_sql(n, t), n=n, t=t) for n in LENGTHS for t in THRESHOLDS))
 def bt_grid(spark: SparkSession, d: str) -> DataFrame:
-    """All thresholds in one pass: the grid is a column of the symbol key."""
-    grid = spark.createDataFrame([(-0.5,), (0.0,), (0.5,)], "threshold double")
-    rows = regressions(prices(spark, d)).crossJoin(F.broadcast(grid)).withColumn("symbol", F.col("threshold").cast("string"))
+    """All lookbacks and thresholds in one pass: the grid is part of the symbol key."""
+    rows = all_regressions(prices(spark, d)).withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
+    rows = rows.withColumn("symbol", F.concat_ws(":", "symbol", "lookback", "threshold"))
     rows = rows.withColumn("score", F.when(F.col("score") > F.col("threshold"), 1.0).otherwise(-1.0))
     last = F.max_by("equity", "d")
-    return backtest(rows).groupBy("threshold").agg(F.round(last - 1, 5).alias("total_return"), F.round(F.min("drawdown"), 5).alias("max_drawdown"))
+    return backtest(rows).groupBy("lookback", "threshold").agg(F.round(last - 1, 5).alias("total_return"), F.round(F.min("drawdown"), 5).alias("max_drawdown"))
 
 
-@query("expanding_quantile_cutoff", f"WITH {REG_SQL} SELECT d, round(CASE WHEN count(score) OVER p >= 60 THEN quantile_cont(score, 0.5) OVER p END, 5) + 0.0::DOUBLE AS cutoff FROM scored WINDOW p AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query("expanding_quantile_cutoff", f"WITH {REG_SQL} SELECT d, round(CASE WHEN count(score) OVER p >= {LEAST_HISTORY} THEN quantile_cont(score, 0.5) OVER p END, 5) + 0.0::DOUBLE AS cutoff FROM scored WINDOW p AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def expanding(spark: SparkSession, d: str) -> DataFrame:
     p = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
-    return regressions(prices(spark, d)).select("d", (F.round(F.when(F.count("score").over(p) >= 60, F.percentile("score", F.lit(0.5)).over(p)), 5) + F.lit(0.0)).alias("cutoff"))
+    return regressions(prices(spark, d)).select("d", (F.round(F.when(F.count("score").over(p) >= LEAST_HISTORY, F.percentile("score", F.lit(0.5)).over(p)), 5) + F.lit(0.0)).alias("cutoff"))
 
 
 @query("entries_exits", f"WITH {BT_SQL} SELECT count(*) FILTER (position > p) AS entries, count(*) FILTER (position < p) AS exits, round(sum(turnover), 6) AS turnover FROM (SELECT *, lag(position, 1, 0.0) OVER (ORDER BY d) AS p FROM bt)")
@@ -217,8 +245,11 @@ def horizon(spark: SparkSession, d: str) -> DataFrame:
 w AS (SELECT user_id, p, hits, greatest(2, least(63, ceil(1 / greatest(p, 0.001))::INT)) AS n FROM h)
 SELECT user_id, round((20 * p + list_sum(hits[-least(n, len(hits)):])) / (20 + least(n, len(hits))), 6) AS adjusted FROM w""")
 def beta_binomial(spark: SparkSession, d: str) -> DataFrame:
-    hit = (F.col("value") > 100).cast("int")
-    h = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", hit.alias("h"))))["h"].alias("hits"), F.avg(hit).alias("p"))
+    """Only the last 63 hits of a user can count, so no more are collected; the rate comes from a plain average."""
+    ev = table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("value") > 100).cast("int").alias("h"))
+    last = top_per_group(ev, ["user_id"], [F.desc("ts"), F.desc("event_id")], 63)
+    last = last.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "h")))["h"].alias("hits"))
+    h = ev.groupBy("user_id").agg(F.avg("h").alias("p")).join(last.withColumnRenamed("user_id", "u"), F.col("user_id").eqNullSafe(F.col("u")))
     n = F.least(F.size("hits"), F.greatest(F.lit(2), F.least(F.lit(63), F.ceil(1 / F.greatest("p", F.lit(0.001))).cast("int"))))
     h = h.withColumn("n", n).withColumn("s", F.aggregate(F.slice("hits", F.size("hits") - F.col("n") + 1, F.col("n")), F.lit(0), lambda a, x: a + x))
     return h.select("user_id", F.round((20 * F.col("p") + F.col("s")) / (20 + F.col("n")), 6).alias("adjusted"))

@@ -66,15 +66,18 @@ def qualification(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("thin_marks_45h", """WITH e AS (SELECT user_id, list(epoch(ts)::BIGINT ORDER BY ts, event_id) AS t FROM events GROUP BY 1)
-SELECT user_id, list_reduce(t, lambda a, x: CASE WHEN x - a // 1000 >= 162000 THEN x * 1000 + a % 1000 + 1 ELSE a END, 1::BIGINT) % 1000 AS kept FROM e""")
+SELECT user_id, list_reduce(t, lambda a, x: CASE WHEN x - a // 1000000 >= 162000 THEN x * 1000000 + a % 1000000 + 1 ELSE a END, 0::BIGINT) % 1000000 AS kept FROM e""")
 def thinning(spark: SparkSession, d: str) -> DataFrame:
-    """Marks less than 45 hours after the last kept one are dropped: a fold, as a row's fate depends on earlier kept rows."""
+    """Marks less than 45 hours after the last kept one are dropped: a fold, as a row's fate depends on earlier kept rows.
+
+    Equal seconds count once, so a user's array grows with the time covered and not with the rows.
+    """
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(seconds.alias("t"), "event_id")))["t"].alias("t"))
+    e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_set(seconds)).alias("t"))
     zero = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
 
     def step(a, x):
         keep = x - a["last"] >= 162000
         return F.struct(F.when(keep, x).otherwise(a["last"]).alias("last"), (a["n"] + keep.cast("long")).alias("n"))
 
-    return e.select("user_id", (F.aggregate("t", zero, step, lambda a: a["n"]) + 1).alias("kept"))
+    return e.select("user_id", (F.aggregate("t", zero, step, lambda a: a["n"])).alias("kept"))

@@ -139,6 +139,57 @@ def isotonic(spark: SparkSession, d: str) -> DataFrame:
     return isotonic_decreasing(v, "symbol", "x", "y").select("symbol", "x", F.round("fitted", 6).alias("fitted"))
 
 
+IRON_SQL = f"""{CHAIN_SQL}, g AS (SELECT symbol, strike, is_call, min(vol) AS vol, any_value(sg) AS sg, any_value(s) AS s, any_value(t) AS t, any_value(r) AS r FROM chain GROUP BY 1, 2, 3),
+q AS (SELECT *, {opt.price_sql('s', 'strike', 't', 'r', 'vol', 'sg')} AS price, abs({norm_cdf_sql(_D1)} - CASE WHEN is_call THEN 0 ELSE 1 END) AS ad FROM g),
+v AS (SELECT symbol, avg(vol) AS mean_vol FROM q GROUP BY 1),
+pair AS (SELECT symbol, strike, max(price) FILTER (is_call) AS c, max(price) FILTER (NOT is_call) AS p, any_value(s) AS s FROM q GROUP BY 1, 2),
+atm AS (SELECT symbol, arg_min(strike, (abs(strike - s), strike)) AS k, arg_min(c + p, (abs(strike - s), strike)) AS straddle FROM pair WHERE c IS NOT NULL AND p IS NOT NULL GROUP BY 1),
+wing AS (SELECT symbol, arg_min(strike, (round(abs(ad - 0.1), 9), -strike)) FILTER (NOT is_call AND strike < k) AS k1, arg_min(price, (round(abs(ad - 0.1), 9), -strike)) FILTER (NOT is_call AND strike < k) AS p1,
+ arg_min(strike, (round(abs(ad - 0.1), 9), strike)) FILTER (is_call AND strike > k) AS k4, arg_min(price, (round(abs(ad - 0.1), 9), strike)) FILTER (is_call AND strike > k) AS p4 FROM q JOIN atm USING (symbol) GROUP BY 1),
+""" + "near AS (SELECT symbol, " + ", ".join(
+    f"arg_min({c}, (round(abs(ad - {x}), 9), strike)) FILTER ({side}) AS {a}{k}"
+    for k, x, side in ((1, 0.1, "NOT is_call"), (2, 0.25, "NOT is_call"), (3, 0.25, "is_call"), (4, 0.1, "is_call"))
+    for c, a in (("strike", "k"), ("price", "p"), ("vol", "v"))
+) + """ FROM q GROUP BY 1), built AS (SELECT symbol, 'iron_butterfly' AS kind, k1, k AS k2, k AS k3, k4, straddle - p1 - p4 AS credit FROM atm JOIN wing USING (symbol)
+UNION ALL SELECT symbol, 'iron_condor', k1, k2, k3, k4, p2 + p3 - p1 - p4 FROM near JOIN v USING (symbol) WHERE k1 < k2 AND k2 < k3 AND k3 < k4 AND v2 > mean_vol AND v3 > mean_vol)"""
+
+
+@query("iron_strategies", f"WITH {IRON_SQL} SELECT symbol, kind, k1, k2, k3, k4, round(credit, 4) AS credit, round(greatest(k2 - k1, k4 - k3) - credit, 4) AS max_loss, round(k2 - credit, 4) AS low_even, round(k3 + credit, 4) AS high_even FROM built WHERE credit > 0 AND greatest(k2 - k1, k4 - k3) > credit")
+def iron_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """Short iron butterfly at the money and short iron condor of each symbol, by sums over its chain without a join.
+
+    The butterfly's wings are the out-of-the-money options nearest to a delta of 0.10; the condor sells the deltas nearest to 0.25 if both
+    are dearer than the chain's mean volatility (its prediction here) and buys those nearest to 0.10.  No credit or no risk: no row.
+    """
+    g = chain(spark, d).groupBy("symbol", "strike", "is_call", "s", "t", "r").agg(F.min("vol").alias("vol"))
+    q = g.withColumns({"price": opt.price(*_args(), F.col("is_call")), "ad": F.abs(opt.greeks(*_args(), F.col("is_call"))["delta"])})
+    call, put, strike = F.col("is_call"), ~F.col("is_call"), F.col("strike")
+    at = Window.partitionBy("symbol", "strike")
+    q = q.withColumn("straddle", F.max(F.when(call, F.col("price"))).over(at) + F.max(F.when(put, F.col("price"))).over(at))
+    middle = F.when(F.col("straddle").isNotNull(), F.struct(F.abs(strike - F.col("s")).alias("off"), strike.alias("k"), "straddle"))
+    q = q.withColumn("atm", F.min(middle).over(Window.partitionBy("symbol")))
+
+    def nearest(delta: float, where, name: str, tie=strike):
+        off = F.round(F.abs(F.col("ad") - delta), 9)
+        return F.min(F.when(where, F.struct(off.alias("off"), tie.alias("tie"), strike.alias("k"), F.col("price").alias("p"), F.col("vol").alias("v")))).alias(name)
+
+    k = F.col("atm.k")
+    b = q.groupBy("symbol").agg(
+        F.first("atm").alias("atm"), F.avg("vol").alias("mean_vol"),
+        nearest(0.1, put & (strike < k), "w1", -strike), nearest(0.1, call & (strike > k), "w4"),
+        nearest(0.1, put, "l1"), nearest(0.25, put, "s2"), nearest(0.25, call, "s3"), nearest(0.1, call, "l4"),
+    )
+    of = lambda kind, legs, credit: F.struct(F.lit(kind).alias("kind"), *[c.alias(f"k{i}") for i, c in enumerate(legs, 1)], credit.alias("credit"))
+    butterfly = of("iron_butterfly", [F.col("w1.k"), k, k, F.col("w4.k")], F.col("atm.straddle") - F.col("w1.p") - F.col("w4.p"))
+    condor = of("iron_condor", [F.col(f"{c}.k") for c in ("l1", "s2", "s3", "l4")], F.expr("s2.p + s3.p - l1.p - l4.p"))
+    dear = F.expr("l1.k < s2.k AND s2.k < s3.k AND s3.k < l4.k AND s2.v > mean_vol AND s3.v > mean_vol")
+    built = b.select("symbol", F.inline(F.array(butterfly, F.when(dear, condor))))
+    width, credit = F.greatest(F.expr("k2 - k1"), F.expr("k4 - k3")), F.col("credit")
+    r4 = lambda c, n: F.round(c, 4).alias(n)
+    rows = built.where((credit > 0) & (width > credit))
+    return rows.select("symbol", "kind", "k1", "k2", "k3", "k4", r4(credit, "credit"), r4(width - credit, "max_loss"), r4(F.col("k2") - credit, "low_even"), r4(F.col("k3") + credit, "high_even"))
+
+
 LEGS_SQL = """legs AS (SELECT l_orderkey AS trade, l_linenumber AS leg, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS side, 80 + 5.0 * (l_partkey % 9) AS strike, l_partkey % 2 = 0 AS is_call, 1 + (l_quantity % 5) AS premium FROM lineitem)"""
 
 
