@@ -27,14 +27,27 @@ def latest_with_ties(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.join(top, (df[key] == F.col("_key")) & (df[order] == F.col("_top"))).drop("_key", "_top")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: Sequence[str]) -> DataFrame:
-    """For each left row the last right row of its key at or before its time: a union and one window."""
-    a = left.withColumns({f"_v_{v}": F.lit(None).cast(right.schema[v].dataType) for v in values} | {"_side": F.lit(1)})
-    b = right.select(key, ts, *[F.col(v).alias(f"_v_{v}") for v in values], F.lit(0).alias("_side"))
-    w = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: Sequence[str], block_seconds: int = 86_400) -> DataFrame:
+    """For each left row the last right row of its key at or before its time (of several at that time, the largest ``values``).
+
+    A union and a window per key and block of time; the last row of earlier blocks is carried in from one row per block, so a
+    key with a large share of all rows is spread over its blocks.  Null keys and times match nothing.
+    """
+    packed = F.struct(*values)
+    kind = right.select(packed.alias("v")).schema["v"].dataType
+    a = left.withColumns({"_v": F.lit(None).cast(kind), "_side": F.lit(1)})
+    b = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts, packed.alias("_v"), F.lit(0).alias("_side"))
     both = a.unionByName(b, allowMissingColumns=True)
-    last = {v: F.last(f"_v_{v}", ignorenulls=True).over(w) for v in values}
-    return both.withColumns({f"asof_{v}": c for v, c in last.items()}).where("_side = 1").drop("_side", *[f"_v_{v}" for v in values])
+    both = both.withColumn("_block", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / block_seconds))
+    ends = both.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_at"))
+    ends = ends.agg(F.max_by("_v", F.when(F.col("_side") == 0, F.struct(ts, "_v"))).alias("_end"))
+    before = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_key", "_at", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    w = Window.partitionBy(key, "_block").orderBy(ts, "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    found = found.join(carried, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_at")), "left")
+    last = F.coalesce("_v", "_carried")
+    return found.withColumns({f"asof_{v}": last[v] for v in values}).drop("_side", "_v", "_block", "_key", "_at", "_carried")
 
 
 def series(df: DataFrame, key: str, order: Sequence[str], **columns: Column) -> DataFrame:

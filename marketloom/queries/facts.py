@@ -99,9 +99,13 @@ def growth_condition(spark: SparkSession, d: str) -> DataFrame:
 @query("financial_series_prior_point", f"""WITH {QUARTERS_SQL} SELECT c.company_id, c.end_date, max(p.end_date) AS prior_end, round(arg_max(p.revenue, p.end_date), 4) AS prior_revenue
 FROM quarters c JOIN quarters p ON c.company_id = p.company_id AND c.end_date - p.end_date BETWEEN 330 AND 400 GROUP BY 1, 2""")
 def prior_point(spark: SparkSession, d: str) -> DataFrame:
+    """The range condition is an equality of date buckets first; a point lies in one bucket, so pairs meet once."""
     q = quarters(spark, d).select("company_id", "end_date", "revenue")
-    p = q.select(F.col("company_id").alias("c"), F.col("end_date").alias("p_end"), F.col("revenue").alias("p_revenue"))
-    both = q.join(p, (F.col("company_id") == F.col("c")) & F.datediff("end_date", "p_end").between(330, 400))
+    days, width = F.unix_date(F.col("end_date")), 400 - 330 + 1
+    p = q.select(F.col("company_id").alias("c"), F.col("end_date").alias("p_end"), F.col("revenue").alias("p_revenue"), F.floor(days / width).alias("p_bucket"))
+    q = q.withColumn("bucket", F.explode(F.sequence(F.floor((days - 400) / width), F.floor((days - 330) / width))))
+    same = (F.col("company_id") == F.col("c")) & (F.col("bucket") == F.col("p_bucket"))
+    both = q.join(p, same & F.datediff("end_date", "p_end").between(330, 400))
     return both.groupBy("company_id", "end_date").agg(F.max("p_end").alias("prior_end"), F.round(F.max_by("p_revenue", "p_end"), 4).alias("prior_revenue"))
 
 

@@ -102,6 +102,33 @@ def test_latest_and_as_of(spark):
     assert {(r.k, r.t, r.asof_v) for r in as_of(left, df, "k", "t", ["v"]).collect()} == {(1, 2, "a"), (1, 3, "b"), (3, 1, None)}
 
 
+def test_as_of_over_blocks_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    left = sorted({(int(k), int(t)) for k, t in zip(rng.integers(0, 3, 80), rng.integers(0, 500, 80), strict=True)})
+    right = [(int(k), int(t), int(v)) for k, t, v in zip(rng.integers(0, 3, 60), rng.integers(0, 500, 60), rng.integers(0, 9, 60), strict=True)]
+    right += [(0, 250, None), (None, 3, 5), (1, None, 5)]
+    l = spark.createDataFrame([*left, (None, 9), (1, None)], "k int, t int")
+    r = spark.createDataFrame(right, "k int, t int, v int")
+    # of several at one time the largest counts, null least
+    rank = lambda x: (x[1], -1 if x[2] is None else x[2])
+    want = {(k, t): max((x for x in right if x[0] == k and x[1] is not None and x[1] <= t), key=rank, default=(0, 0, None))[2] for k, t in left}
+    for width in (10, 86_400):
+        got = {(x.k, x.t): x.asof_v for x in as_of(l, r, "k", "t", ["v"], block_seconds=width).collect()}
+        assert got == want | {(None, 9): None, (1, None): None}
+
+
+def test_iron_structures_lose_at_most_what_they_state(spark):
+    from marketloom.queries.options import iron_strategies
+
+    rows = iron_strategies(spark, "/root/testdata/sf0.001").collect()
+    assert {r.kind for r in rows} <= {"iron_butterfly", "iron_condor"} and rows
+    for r in rows:
+        assert r.k1 < r.k2 <= r.k3 < r.k4
+        pay = lambda x: r.credit - max(r.k2 - x, 0) - max(x - r.k3, 0) + max(r.k1 - x, 0) + max(x - r.k4, 0)  # noqa: B023, E731
+        assert min(map(pay, (r.k1, r.k2, r.k3, r.k4))) == pytest.approx(-r.max_loss, abs=1e-3)
+        assert pay(r.k2) == pytest.approx(r.credit)
+
+
 def test_ewm_equals_pandas(spark):
     pd = pytest.importorskip("pandas")
     x = [1.0, 4.0, 2.0, 8.0]
