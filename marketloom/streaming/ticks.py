@@ -55,21 +55,34 @@ def marks_once(marks: DataFrame, keys: list[str], delay: str = DELAY) -> DataFra
     return marks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def volume_deltas(ticks: DataFrame) -> DataFrame:
-    """Per-tick volume from a counter per symbol and day: a stateful fold; first ticks and falls count zero."""
+def volume_deltas(ticks: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Per-tick volume from a counter per symbol and day: a stateful fold; first ticks and falls count zero.
+
+    A tick older than one of an earlier batch counts zero too and leaves the counter as it is.  A day's state goes when the
+    watermark passes the day's end.
+    """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        before = rows.day_volume.shift(1)
-        if last is not None:
-            before.iloc[0] = last
-        delta = (rows.day_volume - before).clip(lower=0).fillna(0.0)
-        state.update((float(rows.day_volume.iloc[-1]),))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
+        at = (rows.ts - pd.Timestamp(0)).dt.total_seconds()
+        last, seen = state.get if state.exists else (None, float("-inf"))
+        fresh = rows.day_volume[at >= seen]
+        delta = pd.Series(0.0, index=rows.index)
+        if len(fresh):
+            before = fresh.shift(1)
+            if last is not None:
+                before.iloc[0] = last
+            delta[fresh.index] = (fresh - before).clip(lower=0).fillna(0.0)
+            state.update((float(fresh.iloc[-1]), float(at.iloc[-1])))
+        day_end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(day_end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows.event_id, "delta": delta})
 
-    keyed = ticks.withColumn("day", F.to_date("ts")).groupBy("symbol", "day")
-    return keyed.applyInPandasWithState(fold, "event_id long, delta double", "last double", "append", GroupStateTimeout.NoTimeout)
+    keyed = ticks.withWatermark("ts", delay).withColumn("day", F.to_date("ts")).groupBy("symbol", "day")
+    return keyed.applyInPandasWithState(fold, "event_id long, delta double", "last double, at double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -56,3 +56,25 @@ def test_deltas_follow_source_time(spark, events):
         want[r[0]] = max(volume - last.get(key, volume), 0.0)
         last[key] = volume
     assert {r.event_id: r.delta for r in QUERIES["stream_volume_delta"](spark, d).collect()} == want
+
+
+def test_state_of_past_days_goes(spark, tmp_path):
+    from marketloom.streaming import ticks as tk
+
+    rows = [(k, k % 3, BEGIN + dt.timedelta(hours=2 * k), float(k)) for k in range(240)]  # 20 days in order
+    for n in range(10):
+        part = spark.createDataFrame(rows[24 * n : 24 * n + 24], "event_id long, symbol long, ts timestamp_ntz, day_volume double").coalesce(1)
+        part.write.parquet(f"{tmp_path}/in/{n}")
+        for x in os.listdir(f"{tmp_path}/in/{n}"):
+            os.utime(f"{tmp_path}/in/{n}/{x}", (1_700_000_000 + 100 * n,) * 2)
+    stream = tk.tick_stream(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/0").schema, files_per_trigger=1)
+    writer = tk.volume_deltas(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    want, last = {}, {}
+    for event, symbol, ts, volume in rows:
+        want[event] = max(volume - last.get((symbol, ts.date()), volume), 0.0)
+        last[symbol, ts.date()] = volume
+    assert {r.event_id: r.delta for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+    kept = query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+    assert kept <= 3 * 4 < len(last)  # the watermark's two days, the open day and one to spare
