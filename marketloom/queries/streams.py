@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,12 @@ from ..streaming import ticks as tk
 
 
 def _work(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/marketloom-streams"
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, below /tmp with a local master, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        base = "file:///tmp/marketloom-streams"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
