@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters (operator 3).
 
 Training counts the n-grams of each language over a sample of at most ``MAX_DOCS`` labelled documents
-per language.  An n-gram belongs to a language if it makes up at least ``LEAST`` of that language's n-grams
+per language, those whose ids have the smallest hashes.  An n-gram belongs to a language if it makes up at least ``LEAST`` of that language's n-grams
 of its length, and at least ``SHARE`` of what it makes up in the language that uses it most; so a
 language has at most 1 / ``LEAST`` n-grams of a length, however large the corpus.
 
@@ -14,24 +14,25 @@ share of all counts.
 
 Defined results: null texts and texts without letters give ``und`` and score 0, as does any text when there are
 no learned languages; a text with letters of which no n-gram is known gives the language with the most labelled
-documents and score 0; ties go to the language that sorts first; rows with null lang or doc_id aren't learned from; other columns pass through
+documents and score 0; a letter is a code point of category L; ties go to the language that sorts first; rows with null lang or doc_id aren't
+learned from, and of rows that share a doc_id and a lang one at most is; other columns pass through
 (one that is called like the result as ``_<name>``).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import worker_memory
 from .ngrams import batches
-from .tables import with_result
+from .tables import cut_lineage, with_result
 
 LENGTHS = (2, 3, 4)
 MAX_DOCS = 4000
@@ -40,7 +41,7 @@ HASHES = 3
 #: Languages of one filter word.
 WORD = 64
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 FOUND = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
 _FOUND_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
@@ -138,6 +139,18 @@ class LanguageFilter:
         return [self.langs[i] if ok else UNKNOWN for i, ok in zip(best, lettered, strict=True)], score
 
 
+def smallest_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of each language: those whose doc_id has the smallest hash, one for each doc_id."""
+    at = F.xxhash64("doc_id")
+    ids = rows.select("lang", at.alias("at")).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))  # limited in each task before the shuffle
+    last = ids.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("lang").agg(F.max("at").alias("last")).collect()
+    if not last:
+        return rows.limit(0)
+    limit = F.create_map(*[F.lit(x) for r in last for x in (r["lang"], r["last"])])  # an entry for each language
+    return rows.where(at <= limit[F.col("lang")]).dropDuplicates(["lang", "doc_id"])
+
+
 def train(labelled: DataFrame, *, max_docs: int = MAX_DOCS) -> LanguageFilter:
     """Learn from columns doc_id, text and lang; rows with a null in them are left out."""
     rows = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
@@ -145,9 +158,8 @@ def train(labelled: DataFrame, *, max_docs: int = MAX_DOCS) -> LanguageFilter:
     langs = sorted(sizes)
     if not langs:
         return LanguageFilter([], [], np.zeros(0))
-    limit = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1, max_docs / sizes[lang]) * 1e6))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit[F.col("lang")])
-    counts = gram_counts(sample)
+    sample = smallest_hashes(rows, max_docs)
+    counts = cut_lineage(gram_counts(sample))  # it is read three times
     totals = {(r["lang"], r["length"]): r["n"] for r in counts.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()}
     usual = langs.index(max(langs, key=sizes.get))
     if not totals:

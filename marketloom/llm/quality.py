@@ -230,7 +230,9 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Model:
     """Learn word vectors from all of docs (doc_id, text), and quality from a sample of labels (doc_id, quality)."""
-    each = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    named = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    each = known.join(named, "doc_id", "left_semi")
     sizes = {r["quality"]: r["n"] for r in each.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, bad = sizes.get(1, 0), sizes.get(0, 0)
     if not good or not bad:

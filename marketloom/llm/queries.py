@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, fill_middle, filter_audit, language, neighbours, pii, quality, simhash, token_counts, toxicity, warc
-from .tables import fold, table
+from .tables import in_fold, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = fold(F.col("doc_id"), 5) == 0
+    held_out = in_fold(F.col("doc_id"), 5, 0)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
     scored = toxicity.score(docs, toxicity.train(docs, labels))
     return scored.select(
@@ -29,7 +29,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = fold(F.col("doc_id"), 4) == 2
+    held_out = in_fold(F.col("doc_id"), 4, 2)
     found = language.identify(docs.select("doc_id", "text"), language.train(docs.where(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score")
 
@@ -118,7 +118,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = fold(F.col("doc_id"), 5) == 0
+    held_out = in_fold(F.col("doc_id"), 5, 0)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
     scored = quality.score(docs, quality.train(docs, labels))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -55,6 +55,6 @@ def with_result(df: DataFrame, into: str, result: Column) -> DataFrame:
     return df.select(*kept, result.alias(into))
 
 
-def fold(doc_id: Column, parts: int) -> Column:
-    """crc32 of the id as text, modulo ``parts`` (null ids: null)."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % parts
+def in_fold(doc_id: Column, parts: int, at: int) -> Column:
+    """Whether crc32 of the id as text, modulo ``parts``, is ``at`` (null ids: false)."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == at, F.lit(False))

@@ -1,8 +1,8 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes log-count ratios (operator 2).
 
-Training takes labelled documents of each class in the order of a hash of their ids, at most ``MAX_ROWS`` and at most ``MAX_CHARS``
-of text together.  For each hashed n-gram the documents of each class that contain it are counted; its log-count ratio is
-r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)).  A feature is the presence of an n-gram, scaled by
+Training takes labelled documents of each class in the order of a hash of their ids, at most ``MAX_ROWS``; if their texts
+are more than ``MAX_CHARS`` together, the longest go until the rest is not, but never the last of a class.  For each hashed n-gram the documents of each class that contain it are counted; its log-count ratio is
+r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)), where P and Q are the rows drawn.  A feature is the presence of an n-gram, scaled by
 r; n-grams whose ratio can't be told from zero (less than ``SIGMAS`` standard errors) have none.  A logistic regression
 with an L2 penalty is fitted on these features, with rows weighted so that the classes count as they do among all labelled rows.
 The driver fits it from one 32-bit integer for each feature of each sampled document; a document has no more features than
@@ -10,7 +10,7 @@ three times its characters, so ``MAX_CHARS`` bounds what the driver holds.
 
 Defined results: null and empty texts score by the intercept alone; without labelled rows of both
 classes every score is the share of toxic rows (0 without any); a document with several labels is toxic if any
-says so; labels with nulls are left out; rows are scored one by one and other columns
+says so; labels with nulls and labels without a document are left out; rows are scored one by one and other columns
 pass through (one that is called like the result as ``_<name>``).
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType
 
 from . import worker_memory
 from .ngrams import batches
-from .tables import with_result
+from .tables import cut_lineage, with_result
 
 LENGTHS = (3, 4, 5)
 BITS = 20
@@ -120,7 +120,8 @@ def fit_logistic(
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Classifier:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic)."""
-    each = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    named = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    each = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(named, "doc_id", "left_semi")
     sizes = {int(r["toxic"]): r["n"] for r in each.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     none = np.zeros(0, np.int64)
@@ -130,10 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_c
         return Classifier(none, none, prior)
     ranked = [each.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for c in (0, 1)]
     chosen = ranked[0].union(ranked[1])  # at most 2 * max_rows ids
-    drawn = docs.select("doc_id", F.length("text").alias("n")).join(F.broadcast(chosen), "doc_id")
-    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = drawn.groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))  # at most 2 * max_rows rows
-    drawn = drawn.withColumn("upto", F.sum("n").over(upto)).where(F.coalesce("upto", F.lit(0)) <= max_chars)
+    sized = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(F.broadcast(chosen), "doc_id")
+    upto = Window.partitionBy("toxic").orderBy("n", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = sized.groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))  # at most 2 * max_rows rows
+    sized = sized.withColumns({"upto": F.sum("n").over(upto), "at": F.count(F.lit(1)).over(upto)})
+    drawn = cut_lineage(sized.where((F.col("upto") <= max_chars) | (F.col("at") == 1)).select("doc_id", "toxic", "rows"))
+    rows_of = {int(r["toxic"]): r["n"] for r in drawn.groupBy("toxic").agg(F.sum("rows").alias("n")).collect()}
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
 
     def presence(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_c
                 yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(p), pa.array(n - p)], ["bucket", "p", "q"])
 
     counts = sample.mapInArrow(presence, "bucket long, p long, q long")
-    big_p, big_q = min(pos, max_rows), min(neg, max_rows)
+    big_p, big_q = rows_of[1], rows_of[0]
     rate = lambda c, size: (F.col(c) + 1) / F.lit(float(size + 2))
     told = (
         counts.groupBy("bucket")

@@ -122,7 +122,7 @@ def test_edge_rows(spark):
     only_good = quality.train(docs, labels.where("quality = 1"))
     assert {r.score for r in quality.score(docs, only_good).collect()} == {1.0}
     assert {r.score for r in quality.score(docs, quality.train(docs, labels.limit(0))).collect()} == {0.0}
-    assert {r.score for r in quality.score(docs, quality.train(docs.limit(0), labels)).collect()} <= {29 / 59}
+    assert {r.score for r in quality.score(docs, quality.train(docs.limit(0), labels)).collect()} == {0.0}  # no label has a document
 
 
 def test_held_out_documents(spark):
