@@ -76,3 +76,20 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; null for a zero vector."""
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+# The published response surface of the Engle-Granger statistic of two series with a constant.
+EG_LOW, EG_HIGH, EG_BREAK, EG_MOST = -18.86, 0.92, -2.62, "2.92 + 1.5012 * t + 0.039796 * t * t"
+EG_UPPER = "2.1945 + 0.64695 * t - 0.29198 * t * t - 0.042377 * t * t * t"
+
+
+def engle_granger_p(t: str) -> Column:
+    """p of the Engle-Granger statistic in the column ``t`` (not part of another name)."""
+    polynomial = lambda x: norm_cdf(F.expr(x.replace("t", t)))
+    c = F.col(t)
+    return F.when(c <= EG_LOW, 0.0).when(c > EG_HIGH, 1.0).when(c <= EG_BREAK, polynomial(EG_MOST)).when(c > EG_BREAK, polynomial(EG_UPPER))
+
+
+def engle_granger_p_sql(t: str) -> str:
+    polynomial = lambda x: norm_cdf_sql(x.replace("t", f"({t})"))
+    return f"CASE WHEN {t} <= {EG_LOW} THEN 0.0 WHEN {t} > {EG_HIGH} THEN 1.0 WHEN {t} <= {EG_BREAK} THEN {polynomial(EG_MOST)} ELSE {polynomial(EG_UPPER)} END"

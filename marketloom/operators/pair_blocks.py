@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 BLOCK = 64
 #: Values of a chunk of pairs.
 CHUNK = 1_000_000
-NUMBERS = ("beta", "alpha", "cor", "phi", "adf_t", "kss_t", "diff_r", "la", "lb", "s", "z", "first_z")
+NUMBERS = ("beta", "alpha", "cor", "phi", "adf_t", "kss_t", "diff_r", "la", "lb", "s", "z", "first_z", "life_z", "life_gap")
+#: Observations that an adaptive lookback has at least.
+LEAST_LOOKBACK = 10
 
 
 def _slope(y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -39,7 +41,30 @@ def _t_of_first(y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
     return b1 / np.sqrt((m(y, y) - b1 * t1 - b2 * t2) / (y.shape[1] - 2) * s22 / det)
 
 
-def _statistics(la: np.ndarray, lb: np.ndarray, window: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def half_lives(phi: np.ndarray) -> np.ndarray:
+    """Steps in which a spread halves whose autoregression has the slope phi; NaN unless it is between 0 and 1."""
+    inside = (phi > 0) & (phi < 1)
+    return np.where(inside, np.log(0.5) / np.log(np.where(inside, phi, 0.5)), np.nan)
+
+
+def lookbacks(half_life: np.ndarray, available: int) -> np.ndarray:
+    """Observations 2 / theta - 1 with theta = ln 2 / half-life, between ``LEAST_LOOKBACK`` and those there are (0 without a half-life)."""
+    wanted = np.rint(2 * half_life / np.log(2) - 1)
+    return np.where(np.isnan(wanted), 0, np.clip(np.nan_to_num(wanted), LEAST_LOOKBACK, available)).astype(np.int64)
+
+
+def trailing_z(s: np.ndarray, at: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(z, distance from the mean) of the values at a place, over the n[row] values that end there."""
+    back = at - np.arange(s.shape[1])
+    inside = (back >= 0) & (back < n[:, None])
+    size = np.where(n > 1, n, np.nan)
+    mean = (s * inside).sum(axis=1) / size
+    gap = s[:, at] - mean
+    deviation = np.sqrt((((s - mean[:, None]) * inside) ** 2).sum(axis=1) / (size - 1))
+    return gap / np.where(deviation == 0, np.nan, deviation), gap
+
+
+def statistics(la: np.ndarray, lb: np.ndarray, window: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """(numbers, z of each date, place of the first entry or 0) of aligned pairs, a row each."""
     beta = _slope(la, lb)
     alpha = la.mean(axis=1) - beta * lb.mean(axis=1)
@@ -56,11 +81,13 @@ def _statistics(la: np.ndarray, lb: np.ndarray, window: int) -> tuple[dict[str,
     enters[:, 1:] = (np.abs(z[:, :-1]) < 2) & (np.abs(z[:, 1:]) >= 2)
     first = np.where(enters.any(axis=1), enters.argmax(axis=1) + 1, 0)
     each = np.arange(len(s))
+    phi = _slope(s[:, 1:], s[:, :-1])
+    life_z, life_gap = trailing_z(s, s.shape[1] - 1, lookbacks(half_lives(phi), s.shape[1]))
     numbers = {
         "beta": beta,
         "alpha": alpha,
         "cor": _correlation(la, lb),
-        "phi": _slope(s[:, 1:], s[:, :-1]),
+        "phi": phi,
         "adf_t": _t_of_first(ds[:, 1:], s[:, 1:-1], ds[:, :-1]),
         "kss_t": _t_of_first(dv[:, 1:], v[:, 1:-1] ** 3, dv[:, :-1]),
         "diff_r": _correlation(np.diff(la, axis=1), np.diff(lb, axis=1)),
@@ -69,17 +96,36 @@ def _statistics(la: np.ndarray, lb: np.ndarray, window: int) -> tuple[dict[str,
         "s": s[:, -1],
         "z": z[:, -1],
         "first_z": np.where(first > 0, z[each, first - 1], np.nan),
+        "life_z": life_z,
+        "life_gap": life_gap,
     }
     return numbers, z, first
 
 
-def pair_statistics(closes: DataFrame, *, formation: int, window: int = 20, series: bool = False) -> DataFrame:
-    """(a, b, statistics) of all pairs a < b of tickers with ``formation`` common dates; the last ones count.
+def _unit_table(names: pa.Array, dates: np.ndarray, x: np.ndarray, p: np.ndarray, q: np.ndarray, last: np.ndarray, size: int, window: int, series: bool) -> pa.Table:
+    """The statistics of pairs that have ``size`` dates each, marked in ``last``."""
+    with np.errstate(all="ignore"):
+        numbers, z, first = statistics(x[p][last].reshape(-1, size), x[q][last].reshape(-1, size), window)
+    finite = lambda a: pa.array(np.where(np.isfinite(a), a, np.nan), from_pandas=True, type=pa.float64())
+    columns = {"a": names.take(pa.array(p)), "b": names.take(pa.array(q))} | {n: finite(numbers[n]) for n in NUMBERS}
+    columns["first_entry"] = pa.array(first, pa.int64(), mask=first == 0)
+    columns["n"] = pa.array(np.full(len(p), size, np.int64))
+    if series:
+        offsets = pa.array(np.arange(len(p) + 1, dtype=np.int32) * np.int32(size))
+        on = np.broadcast_to(dates, last.shape)[last]
+        columns["d"] = pa.ListArray.from_arrays(offsets, pa.array(on, pa.int32()).cast(pa.date32()))
+        columns["zs"] = pa.ListArray.from_arrays(offsets, finite(z.reshape(-1)))
+    return pa.table(columns)
+
+
+def pair_statistics(closes: DataFrame, *, formation: int, least: int | None = None, window: int = 20, series: bool = False) -> DataFrame:
+    """(a, b, statistics) of all pairs a < b of tickers with at least ``least`` (else ``formation``) common dates; the last ``formation`` count.
 
     ``closes`` has ticker, d and x (log close, not null); a ticker's repeated dates count once.  Columns: beta, alpha, cor of the regression
     of a on b; phi, adf_t, kss_t of its residuals; diff_r of first differences; la, lb, s and z (over ``window`` dates) of the
     last date; first_entry (place of the first |z| >= 2 after one below, from 1) and first_z; with ``series`` also the
-    dates and their z.  What can't be told (a constant series, say) is null.  An empty table gives an empty table.
+    dates and their z; life_z and life_gap are z and the distance from the mean over the lookback that the pair's half-life asks for; n is the number
+of common dates that count.  What can't be told (a constant series, say) is null.  An empty table gives an empty table.
     """
     kind = closes.schema["ticker"].dataType.simpleString()
     days = closes.where("x IS NOT NULL").groupBy("ticker", F.to_date("d").alias("d")).agg(F.max("x").alias("x"))
@@ -109,27 +155,18 @@ def pair_statistics(closes: DataFrame, *, formation: int, window: int = 20, seri
             p, q = i[begin : begin + step], j[begin : begin + step]
             both = ~np.isnan(x[p] + x[q])
             last = both & (np.cumsum(both[:, ::-1], axis=1)[:, ::-1] <= formation)
-            whole = last.sum(axis=1) == formation
-            p, q, last = p[whole], q[whole], last[whole]
-            with np.errstate(all="ignore"):
-                numbers, z, first = _statistics(x[p][last].reshape(-1, formation), x[q][last].reshape(-1, formation), window)
-            finite = lambda a: pa.array(np.where(np.isfinite(a), a, np.nan), from_pandas=True, type=pa.float64())
-            columns = {"a": names.take(pa.array(p)), "b": names.take(pa.array(q))} | {n: finite(numbers[n]) for n in NUMBERS}
-            columns["first_entry"] = pa.array(first, pa.int64(), mask=first == 0)
-            if series:
-                offsets = pa.array(np.arange(len(p) + 1, dtype=np.int32) * np.int32(formation))
-                on = np.broadcast_to(dates, last.shape)[last]
-                columns["d"] = pa.ListArray.from_arrays(offsets, pa.array(on, pa.int32()).cast(pa.date32()))
-                columns["zs"] = pa.ListArray.from_arrays(offsets, finite(z.reshape(-1)))
-            parts.append(pa.table(columns))
+            count = last.sum(axis=1)
+            for size in np.unique(count[count >= (least or formation)]).tolist():
+                rows = count == size
+                parts.append(_unit_table(names, dates, x, p[rows], q[rows], last[rows], size, window, series))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
-    fields = [f"a {kind}", f"b {kind}", *[f"{n} double" for n in NUMBERS], "first_entry long"]
+    fields = [f"a {kind}", f"b {kind}", *[f"{n} double" for n in NUMBERS], "first_entry long", "n long"]
     if series:
         fields += ["d array<date>", "zs array<double>"]
     arrow_kind = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
     schema = pa.schema(
-        [("a", arrow_kind), ("b", arrow_kind), *[(n, pa.float64()) for n in NUMBERS], ("first_entry", pa.int64())]
+        [("a", arrow_kind), ("b", arrow_kind), *[(n, pa.float64()) for n in NUMBERS], ("first_entry", pa.int64()), ("n", pa.int64())]
         + ([("d", pa.list_(pa.date32())), ("zs", pa.list_(pa.float64()))] if series else [])
     )
     return dealt.groupBy("low", "high").applyInArrow(unit, ", ".join(fields))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import norm_cdf, norm_cdf_sql, ratio
+from ..functions.numeric import engle_granger_p, engle_granger_p_sql
 from ..operators.fdr import benjamini_hochberg
 from ..operators.pair_blocks import pair_statistics
 from ..registry import query
+from ..sources.shared import cut_lineage
 from ..sources.tables import MONTHLY_SQL, monthly_prices, table
 
 FORMATION = 60
@@ -54,17 +55,8 @@ T_SQL = """{name} AS (SELECT *, b1 / sqrt((yy - b1 * t1 - b2 * t2) / (n - 2) * s
  (SELECT a, b, sum({x1} * {x1}) AS s11, sum({x2} * {x2}) AS s22, sum({x1} * {x2}) AS s12, sum({x1} * {y}) AS t1, sum({x2} * {y}) AS t2, sum({y} * {y}) AS yy, count(*) AS n,
   sum({x1} * {x1}) * sum({x2} * {x2}) - pow(sum({x1} * {x2}), 2) AS det FROM {source} GROUP BY a, b) WHERE det <> 0))"""
 ADF_SQL = f"{PAIR_SQL}, {T_SQL.format(name='adf', x1='s1', x2='ds1', y='ds', source='(SELECT * FROM lagged WHERE ds1 IS NOT NULL)')}"
-_TAU = "2.92 + 1.5012 * t + 0.039796 * t * t"
-_HIGH = "2.1945 + 0.64695 * t - 0.29198 * t * t - 0.042377 * t * t * t"
-P_SQL = f"CASE WHEN t <= -18.86 THEN 0.0 WHEN t > 0.92 THEN 1.0 WHEN t <= -2.62 THEN {norm_cdf_sql(_TAU)} ELSE {norm_cdf_sql(_HIGH)} END"
-
-
-def p_value(t: str) -> Column:
-    """p of an Engle-Granger statistic by the published response surface (fixed values)."""
-    e = lambda x: F.expr(x.replace("t", t))
-    low, high = norm_cdf(e(_TAU)), norm_cdf(e(_HIGH))
-    c = F.col(t)
-    return F.when(c <= -18.86, 0.0).when(c > 0.92, 1.0).when(c <= -2.62, low).when(c > -2.62, high)
+P_SQL = engle_granger_p_sql("t")
+p_value = engle_granger_p
 
 
 def engle_granger(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +86,7 @@ fdr AS (SELECT a, b, p, least(1.0, min(raw) OVER (ORDER BY p DESC, a DESC, b DES
 
 @query("bh_fdr", f"WITH {FDR_SQL} SELECT a, b, round(q, 6) AS q FROM fdr")
 def bh(spark: SparkSession, d: str) -> DataFrame:
-    return benjamini_hochberg(engle_granger(spark, d), "p").select("a", "b", F.round("q", 6).alias("q"))
+    return benjamini_hochberg(cut_lineage(engle_granger(spark, d)), "p").select("a", "b", F.round("q", 6).alias("q"))
 
 
 #: The surveyed thresholds (fixed values), and two wide ones.

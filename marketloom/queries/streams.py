@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.shared import new_folder
 from ..sources.tables import table
 from ..streaming import ticks as tk
 
 
-def _work(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, below /tmp with a local master, else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
-        base = "file:///tmp/marketloom-streams"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _ticks(df: DataFrame) -> DataFrame:
     volume = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
     return df.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), volume.alias("volume"), "event_id", "user_id")
@@ -41,7 +29,7 @@ BARS_SQL = f"""{TICKS_SQL}, b AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts
 @query("stream_hour_bars", f"WITH {BARS_SQL} SELECT symbol, bar_start, open, high, low, close, volume FROM b WHERE bar_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM t)")
 def hour_bars(spark: SparkSession, d: str) -> DataFrame:
     """Bars of closed windows: those that the watermark has passed."""
-    work = _work(spark)
+    work = new_folder(spark, "stream")
     out = tk.run_available(tk.bars(stream(spark, d)), f"{work}/out", f"{work}/state")
     return out.drop("bar_end").withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))
 
@@ -59,7 +47,7 @@ def latest_quote(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_marks_once", "SELECT user_id, ts, count(*) AS n FROM (SELECT DISTINCT user_id, ts FROM events WHERE value > 0) GROUP BY 1, 2")
 def stream_marks(spark: SparkSession, d: str) -> DataFrame:
-    work = _work(spark)
+    work = new_folder(spark, "stream")
     once = tk.marks_once(stream(spark, d), ["user_id", "ts"]).select("user_id", "ts")
     out = tk.run_available(once, f"{work}/out", f"{work}/state")
     return out.groupBy("user_id", F.col("ts").cast("timestamp_ntz").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
@@ -68,7 +56,7 @@ def stream_marks(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_volume_delta", """WITH c AS (SELECT event_type AS symbol, ts, event_id, event_id * 7 % 1000 + 0.0::DOUBLE AS day_volume FROM events WHERE value > 0)
 SELECT event_id, greatest(coalesce(day_volume - lag(day_volume) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts, event_id), 0), 0) AS delta FROM c""")
 def stream_delta(spark: SparkSession, d: str) -> DataFrame:
-    work = _work(spark)
+    work = new_folder(spark, "stream")
     counted = stream(spark, d).withColumn("day_volume", (F.col("event_id") * 7 % 1000).cast("double"))
     return tk.run_available(tk.volume_deltas(counted), f"{work}/out", f"{work}/state")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -120,3 +120,19 @@ def monthly_prices(spark: SparkSession, d: str) -> DataFrame:
 MONTHLY_SQL = """monthly AS (
   SELECT l_suppkey AS ticker, date_trunc('month', l_shipdate)::DATE AS d, avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume
   FROM lineitem GROUP BY 1, 2)"""
+
+
+def weekly_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly mean unit price of every supplier up to the last week of the table; weeks without a trade keep the close before."""
+    week = F.trunc("l_shipdate", "week")
+    lines = table(spark, d, "lineitem")
+    traded = lines.groupBy(F.col("l_suppkey").alias("ticker"), week.alias("w")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
+    last = lines.agg(F.max(week)).scalar()
+    until = F.coalesce(F.date_sub(F.lead("w").over(Window.partitionBy("ticker").orderBy("w")), 7), last)
+    held = traded.withColumn("until", until)
+    return held.select("ticker", F.explode(F.sequence("w", "until", F.expr("INTERVAL 7 DAY"))).alias("d"), "close")
+
+
+WEEKLY_SQL = """traded AS (SELECT l_suppkey AS ticker, date_trunc('week', l_shipdate)::DATE AS w, avg(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1, 2),
+held AS (SELECT *, coalesce(lead(w) OVER (PARTITION BY ticker ORDER BY w) - 7, (SELECT max(w) FROM traded)) AS until FROM traded),
+weekly AS (SELECT ticker, unnest(generate_series(w::TIMESTAMP, until::TIMESTAMP, INTERVAL 7 DAY))::DATE AS d, close FROM held)"""
