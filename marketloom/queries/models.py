@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..models import fits
+from ..models import fits, surfaces
+from ..models.arima_garch import arima_garch_forecast
 from ..registry import query
-from ..sources.tables import daily_price, table
+from ..sources.tables import daily_price, table, weekly_prices
 
 
 @query("garch_forecast")
@@ -74,3 +75,45 @@ def near_titles(spark: SparkSession, d: str) -> DataFrame:
     a, b = k.select(F.col("page_id").alias("a"), F.col("title").alias("ta")), k.select(F.col("page_id").alias("b"), F.col("title").alias("tb"))
     ratio = 1 - F.levenshtein("ta", "tb") / F.greatest(F.length("ta"), F.length("tb")).cast("double")
     return near_candidates(k).join(a, "a").join(b, "b").where(ratio >= 0.88).select("a", "b")
+
+
+SURFACES_SQL = f"""iv AS (SELECT s_nationkey AS symbol, date_trunc('month', l_shipdate)::DATE AS d, (l_linenumber % {surfaces.ROWS}) AS i, floor((l_quantity - 1) / 10)::INT AS j, 10 + 400 * l_discount AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+mean AS (SELECT symbol, d, avg(v) AS m FROM iv GROUP BY 1, 2), cell AS (SELECT symbol, d, i, j, avg(v) AS v FROM iv GROUP BY ALL),
+grid AS (SELECT symbol, d, i, j, coalesce(v, m) AS v FROM mean CROSS JOIN range({surfaces.ROWS}) a(i) CROSS JOIN range({surfaces.COLUMNS}) b(j) LEFT JOIN cell USING (symbol, d, i, j))"""
+
+
+def monthly_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """Months as surfaces of a nation: line numbers as tenors, quantities as buckets, discounts as volatilities; empty cells take the month's mean."""
+    j = F.floor((F.col("l_quantity") - 1) / 10)
+    lines = table(spark, d, "lineitem").groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("d"), (F.col("l_linenumber") % surfaces.ROWS * surfaces.COLUMNS + j).alias("k"))
+    cells = lines.agg(F.sum(10 + 400 * F.col("l_discount")).alias("v"), F.count(F.lit(1)).alias("n"))  # fewer rows meet the suppliers
+    owner = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("symbol"))
+    mean = F.sum("v") / F.sum("n")
+    own = lambda k: F.sum(F.when(F.col("k") == k, F.col("v"))) / F.sum(F.when(F.col("k") == k, F.col("n")))
+    values = F.array(*[F.coalesce(own(k), mean) for k in range(surfaces.CELLS)])
+    return cells.join(owner, "l_suppkey").groupBy("symbol", "d").agg(values.alias("values"))
+
+
+_PI, _PJ = (f"[{', '.join(f'[{chr(44).join(map(str, p))}]' for p in surfaces.orthogonal(n))}]::DOUBLE[][]" for n in (surfaces.ROWS, surfaces.COLUMNS))
+
+
+@query("surface_smoothing", f"""WITH {SURFACES_SQL}, term AS (SELECT a, b, i, j, ({_PI})[a + 1][i + 1] * ({_PJ})[b + 1][j + 1] AS p FROM range(3) x(a), range(3) y(b), range({surfaces.ROWS}) z(i), range({surfaces.COLUMNS}) w(j)),
+coef AS (SELECT symbol, d, a, b, sum(v * p) / sum(p * p) AS c FROM grid JOIN term USING (i, j) GROUP BY ALL), fit AS (SELECT symbol, d, i, j, sum(c * p) AS f FROM coef JOIN term USING (a, b) GROUP BY ALL),
+resid AS (SELECT *, sum((v - f) * (v - f)) OVER (PARTITION BY symbol, d) AS rss FROM grid JOIN fit USING (symbol, d, i, j))
+SELECT symbol, d, {surfaces.COLUMNS} * i + j AS k, round(rss, 5) AS rss, round(greatest({surfaces.LOWEST}, least({surfaces.HIGHEST}, f + CASE WHEN rss > {surfaces.BUDGET * surfaces.CELLS} THEN 1 - sqrt({surfaces.BUDGET * surfaces.CELLS} / rss) ELSE 0 END * (v - f))), 6) AS v FROM resid""")
+def smoothing(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell of every surface after the quadratic smoothing with its residual budget (outer: a filter on the size would smooth twice)."""
+    rows = surfaces.smooth(monthly_surfaces(spark, d))
+    return rows.select("symbol", "d", F.round("rss", 5).alias("rss"), F.posexplode_outer("smoothed").alias("k", "v")).select("symbol", "d", F.col("k").cast("long").alias("k"), "rss", F.round("v", 6).alias("v"))
+
+
+@query("surface_forecast")
+def surface_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation's next surface."""
+    return surfaces.surface_forecast(monthly_surfaces(spark, d))
+
+
+@query("arima_garch_forecast")
+def arima_garch(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier's weekly close ten weeks ahead."""
+    return arima_garch_forecast(weekly_prices(spark, d).withColumnRenamed("ticker", "symbol"))

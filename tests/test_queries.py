@@ -48,4 +48,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_known():
-    assert {n for n in QUERIES if n not in SQL} <= {"garch_forecast", "fpca_forecast", "yeo_johnson_walk"}
+    assert {n for n in QUERIES if n not in SQL} <= {"garch_forecast", "fpca_forecast", "yeo_johnson_walk", "surface_forecast", "arima_garch_forecast"}
