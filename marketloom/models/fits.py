@@ -155,7 +155,7 @@ def fit_lambda(x: np.ndarray, low: float = -2.0, high: float = 4.0, rounds: int
     return (low + high) / 2
 
 
-def tail_walk(x: np.ndarray, least: int = 60, refit: int = 21, most: int = 756) -> np.ndarray:
+def tail_walk(x: np.ndarray, least: int = 504, refit: int = 21, most: int = 756) -> np.ndarray:
     """Walk-forward P(next > 0) under a normal fit of the transformed past; NaN before ``least`` rows."""
     out = np.full(len(x), np.nan)
     lam = 1.0

@@ -147,10 +147,14 @@ def strengths(spark: SparkSession, d: str) -> DataFrame:
     return top_per_group(q, ["l_returnflag"], [F.desc("q"), F.asc("l_suppkey")], 3).select("l_suppkey", "l_returnflag", F.round("q", 4).alias("q"))
 
 
-@query("date_range_chunks", """SELECT f AS chunk_from, least(f + 6, DATE '2024-02-15') AS chunk_to FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-15', INTERVAL 7 DAY))::DATE AS f)""")
+@query("date_range_chunks", """WITH r AS (SELECT user_id, min(ts)::DATE AS a, max(ts)::DATE AS b FROM events GROUP BY 1)
+SELECT user_id, f::DATE AS chunk_from, least(f::DATE + 6, b) AS chunk_to FROM (SELECT user_id, b, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 7 DAY)) AS f FROM r)""")
 def date_chunks(spark: SparkSession, d: str) -> DataFrame:
-    one = spark.range(1).select(F.explode(F.expr("sequence(DATE '2024-01-01', DATE '2024-02-15', INTERVAL 7 DAYS)")).alias("chunk_from"))
-    return one.withColumn("chunk_to", F.least(F.date_add("chunk_from", 6), F.lit("2024-02-15").cast("date")))
+    """Each user's span of events in chunks of seven days, the last one cut at its end."""
+    day = F.to_date("ts")
+    spans = table(spark, d, "events").groupBy("user_id").agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a IS NOT NULL")
+    chunks = spans.select("user_id", "b", F.explode(F.sequence("a", "b", F.expr("INTERVAL 7 DAYS"))).alias("chunk_from"))
+    return chunks.select("user_id", "chunk_from", F.least(F.date_add("chunk_from", 6), F.col("b")).alias("chunk_to"))
 
 
 @query("completeness_percent", "SELECT s_suppkey, round(100.0 * ((s_acctbal > 0)::INT + (s_name IS NOT NULL)::INT + (s_suppkey % 3 <> 0)::INT) / 3, 4) AS completeness FROM supplier")

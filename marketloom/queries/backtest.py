@@ -1,7 +1,7 @@
-"""Walk-forward signals and backtests over one daily price series, and forecast evaluation.
+"""Walk-forward signals and backtests of many daily price series, and forecast evaluation, each per symbol.
 
-A series of trading days is bounded (a few thousand days per symbol), so its windows run per symbol;
-partition by the symbol to run many series at once.
+Every window and every aggregate has the symbol as its key, so symbols spread over tasks; one symbol's trading days
+are bounded (a few thousand).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import ratio
 from ..operators.ordered import top_per_group
 from ..registry import query
-from ..sources.tables import DAILY_SQL, daily_price, table
+from ..sources.tables import SUPPLIER_DAYS_SQL, supplier_days, table
 
 LENGTH = 21
 LENGTHS = (21, 63, 126, 252)
@@ -27,11 +27,10 @@ def by_symbol() -> Window:
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
-    out = daily_price(spark, d).withColumn("symbol", F.lit("ALL"))
-    return out.withColumn("t", F.row_number().over(by_symbol()))
+    return supplier_days(spark, d).withColumn("t", F.row_number().over(by_symbol()))
 
 
-PRICES_SQL = f"""{DAILY_SQL}, prices AS (SELECT 'ALL' AS symbol, d, price, row_number() OVER (ORDER BY d) AS t FROM daily)"""
+PRICES_SQL = f"""{SUPPLIER_DAYS_SQL}, prices AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) AS t FROM supplier_days)"""
 
 
 def regressions(df: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -58,16 +57,16 @@ def all_regressions(df: DataFrame) -> DataFrame:
 
 def reg_sql(n: int) -> str:
     return f"""{PRICES_SQL}, reg AS (SELECT *, CASE WHEN count(*) OVER w = {n} THEN regr_slope(ln(price), t) OVER w END AS slope,
-  CASE WHEN count(*) OVER w = {n} THEN coalesce(regr_r2(ln(price), t) OVER w, 0) END AS r2 FROM prices WINDOW w AS (ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
+  CASE WHEN count(*) OVER w = {n} THEN coalesce(regr_r2(ln(price), t) OVER w, 0) END AS r2 FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
 scored AS (SELECT *, (exp(252 * slope) - 1) * r2 AS score FROM reg)"""
 
 
 REG_SQL = reg_sql(LENGTH)
 
 
-@query("rolling_regression", " UNION ALL ".join(f"SELECT * FROM (WITH {reg_sql(n)} SELECT {n}::BIGINT AS lookback, d, round(slope, 7) AS slope, round(r2, 6) AS r2 FROM scored)" for n in LENGTHS))
+@query("rolling_regression", " UNION ALL ".join(f"SELECT * FROM (WITH {reg_sql(n)} SELECT {n}::BIGINT AS lookback, symbol, d, round(slope, 7) AS slope, round(r2, 6) AS r2 FROM scored)" for n in LENGTHS))
 def rolling(spark: SparkSession, d: str) -> DataFrame:
-    return all_regressions(prices(spark, d)).select("lookback", "d", F.round("slope", 7).alias("slope"), F.round("r2", 6).alias("r2"))
+    return all_regressions(prices(spark, d)).select("lookback", "symbol", "d", F.round("slope", 7).alias("slope"), F.round("r2", 6).alias("r2"))
 
 
 def backtest(scored: DataFrame, threshold: float = 0.0, cost: float = COST) -> DataFrame:
@@ -90,10 +89,10 @@ def backtest(scored: DataFrame, threshold: float = 0.0, cost: float = COST) -> D
 def bt_sql(n: int, threshold: float) -> str:
     return f"""{reg_sql(n)}, tgt AS (SELECT *, coalesce((score > {threshold})::INT::DOUBLE, 0.0) AS target FROM scored),
 pos AS (SELECT *, coalesce(price / lag(price) OVER w - 1, 0) AS ret, coalesce(lag(target, 2) OVER w, 0) AS position,
-  abs(coalesce(lag(target, 1) OVER w, 0) - coalesce(lag(target, 2) OVER w, 0)) AS turnover FROM tgt WINDOW w AS (ORDER BY d)),
+  abs(coalesce(lag(target, 1) OVER w, 0) - coalesce(lag(target, 2) OVER w, 0)) AS turnover FROM tgt WINDOW w AS (PARTITION BY symbol ORDER BY d)),
 net AS (SELECT *, position * ret - {COST} * turnover AS net FROM pos),
-eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING)) AS equity FROM net),
-bt AS (SELECT *, equity / max(equity) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM eq)"""
+eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY symbol ORDER BY d ROWS UNBOUNDED PRECEDING)) AS equity FROM net),
+bt AS (SELECT *, equity / max(equity) OVER (PARTITION BY symbol ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM eq)"""
 
 
 BT_SQL = bt_sql(LENGTH, 0.0)
@@ -103,9 +102,9 @@ def tested(spark: SparkSession, d: str) -> DataFrame:
     return backtest(regressions(prices(spark, d)))
 
 
-@query("backtest_equity", f"WITH {BT_SQL} SELECT d, position, round(net, 6) AS net, round(equity, 5) AS equity, round(drawdown, 6) AS drawdown FROM bt")
+@query("backtest_equity", f"WITH {BT_SQL} SELECT symbol, d, position, round(net, 6) AS net, round(equity, 5) AS equity, round(drawdown, 6) AS drawdown FROM bt")
 def equity(spark: SparkSession, d: str) -> DataFrame:
-    return tested(spark, d).select("d", "position", F.round("net", 6).alias("net"), F.round("equity", 5).alias("equity"), F.round("drawdown", 6).alias("drawdown"))
+    return tested(spark, d).select("symbol", "d", "position", F.round("net", 6).alias("net"), F.round("equity", 5).alias("equity"), F.round("drawdown", 6).alias("drawdown"))
 
 
 METRICS_SQL = """round(pow(arg_max(equity, d), 252.0 / count(*)) - 1, 5) AS cagr, round(stddev_samp(net) * sqrt(252.0), 5) AS volatility,
@@ -125,97 +124,98 @@ def metrics(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-@query("backtest_metrics", f"WITH {BT_SQL} SELECT {METRICS_SQL} FROM bt")
+@query("backtest_metrics", f"WITH {BT_SQL} SELECT symbol, {METRICS_SQL} FROM bt GROUP BY 1")
 def bt_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics(tested(spark, d))
+    return metrics(tested(spark, d), "symbol")
 
 
-GRID_SQL = "SELECT * FROM (WITH {bt} SELECT {n}::BIGINT AS lookback, {t}::DOUBLE AS threshold, round(arg_max(equity, d) - 1, 5) AS total_return, round(min(drawdown), 5) AS max_drawdown FROM bt)"
+GRID_SQL = "SELECT * FROM (WITH {bt} SELECT symbol, {n}::BIGINT AS lookback, {t}::DOUBLE AS threshold, round(arg_max(equity, d) - 1, 5) AS total_return, round(min(drawdown), 5) AS max_drawdown FROM bt GROUP BY 1)"
 
 
 @query("backtest_grid", " UNION ALL ".join(GRID_SQL.format(bt=bt_sql(n, t), n=n, t=t) for n in LENGTHS for t in THRESHOLDS))
 def bt_grid(spark: SparkSession, d: str) -> DataFrame:
     """All lookbacks and thresholds in one pass: the grid is part of the symbol key."""
     rows = all_regressions(prices(spark, d)).withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
-    rows = rows.withColumn("symbol", F.concat_ws(":", "symbol", "lookback", "threshold"))
+    rows = rows.withColumn("symbol", F.struct("symbol", "lookback", "threshold"))
     rows = rows.withColumn("score", F.when(F.col("score") > F.col("threshold"), 1.0).otherwise(-1.0))
     last = F.max_by("equity", "d")
-    return backtest(rows).groupBy("lookback", "threshold").agg(F.round(last - 1, 5).alias("total_return"), F.round(F.min("drawdown"), 5).alias("max_drawdown"))
+    each = backtest(rows).groupBy("symbol").agg(F.round(last - 1, 5).alias("total_return"), F.round(F.min("drawdown"), 5).alias("max_drawdown"))
+    return each.select("symbol.*", "total_return", "max_drawdown")
 
 
-@query("expanding_quantile_cutoff", f"WITH {REG_SQL} SELECT d, round(CASE WHEN count(score) OVER p >= {LEAST_HISTORY} THEN quantile_cont(score, 0.5) OVER p END, 5) + 0.0::DOUBLE AS cutoff FROM scored WINDOW p AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query("expanding_quantile_cutoff", f"WITH {REG_SQL} SELECT symbol, d, round(CASE WHEN count(score) OVER p >= {LEAST_HISTORY} THEN quantile_cont(score, 0.5) OVER p END, 5) + 0.0::DOUBLE AS cutoff FROM scored WINDOW p AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def expanding(spark: SparkSession, d: str) -> DataFrame:
     p = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
-    return regressions(prices(spark, d)).select("d", (F.round(F.when(F.count("score").over(p) >= LEAST_HISTORY, F.percentile("score", F.lit(0.5)).over(p)), 5) + F.lit(0.0)).alias("cutoff"))
+    return regressions(prices(spark, d)).select("symbol", "d", (F.round(F.when(F.count("score").over(p) >= LEAST_HISTORY, F.percentile("score", F.lit(0.5)).over(p)), 5) + F.lit(0.0)).alias("cutoff"))
 
 
-@query("entries_exits", f"WITH {BT_SQL} SELECT count(*) FILTER (position > p) AS entries, count(*) FILTER (position < p) AS exits, round(sum(turnover), 6) AS turnover FROM (SELECT *, lag(position, 1, 0.0) OVER (ORDER BY d) AS p FROM bt)")
+@query("entries_exits", f"WITH {BT_SQL} SELECT symbol, count(*) FILTER (position > p) AS entries, count(*) FILTER (position < p) AS exits, round(sum(turnover), 6) AS turnover FROM (SELECT *, lag(position, 1, 0.0) OVER (PARTITION BY symbol ORDER BY d) AS p FROM bt) GROUP BY 1")
 def entries(spark: SparkSession, d: str) -> DataFrame:
     df = tested(spark, d).withColumn("p", F.lag("position", 1, 0.0).over(by_symbol()))
-    return df.agg(F.count_if(F.col("position") > F.col("p")).alias("entries"), F.count_if(F.col("position") < F.col("p")).alias("exits"), F.round(F.sum("turnover"), 6).alias("turnover"))
+    return df.groupBy("symbol").agg(F.count_if(F.col("position") > F.col("p")).alias("entries"), F.count_if(F.col("position") < F.col("p")).alias("exits"), F.round(F.sum("turnover"), 6).alias("turnover"))
 
 
-@query("returns_by_year_quarter", f"WITH {BT_SQL} SELECT year(d) AS y, quarter(d) AS q, round(exp(sum(ln(1 + net))) - 1, 6) AS compounded FROM bt GROUP BY 1, 2")
+@query("returns_by_year_quarter", f"WITH {BT_SQL} SELECT symbol, year(d) AS y, quarter(d) AS q, round(exp(sum(ln(1 + net))) - 1, 6) AS compounded FROM bt GROUP BY 1, 2, 3")
 def by_quarter(spark: SparkSession, d: str) -> DataFrame:
-    return tested(spark, d).groupBy(F.year("d").cast("long").alias("y"), F.quarter("d").cast("long").alias("q")).agg(F.round(F.exp(F.sum(F.ln(1 + F.col("net")))) - 1, 6).alias("compounded"))
+    return tested(spark, d).groupBy("symbol", F.year("d").cast("long").alias("y"), F.quarter("d").cast("long").alias("q")).agg(F.round(F.exp(F.sum(F.ln(1 + F.col("net")))) - 1, 6).alias("compounded"))
 
 
-@query("missed_and_held_extremes", f"WITH {BT_SQL} SELECT arg_max(d, ret) FILTER (position = 0) AS best_missed, arg_min(d, ret) FILTER (position = 1) AS worst_held FROM bt")
+@query("missed_and_held_extremes", f"WITH {BT_SQL} SELECT symbol, arg_max(d, ret) FILTER (position = 0) AS best_missed, arg_min(d, ret) FILTER (position = 1) AS worst_held FROM bt GROUP BY 1")
 def extremes(spark: SparkSession, d: str) -> DataFrame:
     df = tested(spark, d)
     missed, held = F.when(F.col("position") == 0, F.col("ret")), F.when(F.col("position") == 1, F.col("ret"))
-    return df.agg(F.max_by("d", missed).alias("best_missed"), F.min_by("d", held).alias("worst_held"))
+    return df.groupBy("symbol").agg(F.max_by("d", missed).alias("best_missed"), F.min_by("d", held).alias("worst_held"))
 
 
-@query("weekly_last", f"WITH {PRICES_SQL} SELECT (date_trunc('week', d) + INTERVAL 4 DAY)::DATE AS week_end, max(d) AS d, round(arg_max(price, d), 4) AS price FROM prices GROUP BY 1")
+@query("weekly_last", f"WITH {PRICES_SQL} SELECT symbol, (date_trunc('week', d) + INTERVAL 4 DAY)::DATE AS week_end, max(d) AS d, round(arg_max(price, d), 4) AS price FROM prices GROUP BY 1, 2")
 def weekly(spark: SparkSession, d: str) -> DataFrame:
     friday = F.date_add(F.trunc("d", "week"), 4)
-    return prices(spark, d).groupBy(friday.alias("week_end")).agg(F.max("d").alias("d"), F.round(F.max_by("price", "d"), 4).alias("price"))
+    return prices(spark, d).groupBy("symbol", friday.alias("week_end")).agg(F.max("d").alias("d"), F.round(F.max_by("price", "d"), 4).alias("price"))
 
 
-@query("sd_summary", f"""WITH {BT_SQL}, s AS (SELECT avg(ret) AS m, stddev_samp(ret) AS sd FROM bt) SELECT round(avg(ret), 6) AS mean, round(quantile_cont(ret, 0.5), 6) AS median, round(quantile_cont(ret, 0.1), 6) AS p10,
- round(quantile_cont(ret, 0.9), 6) AS p90, round(avg((abs(ret) > 0.01)::INT), 6) AS above_1pc, round(avg((abs(ret - m) <= sd)::INT), 6) AS within_1, round(avg((abs(ret - m) <= 2 * sd)::INT), 6) AS within_2 FROM bt, s""")
+@query("sd_summary", f"""WITH {BT_SQL}, s AS (SELECT symbol, avg(ret) AS m, stddev_samp(ret) AS sd FROM bt GROUP BY 1) SELECT symbol, round(avg(ret), 6) AS mean, round(quantile_cont(ret, 0.5), 6) AS median, round(quantile_cont(ret, 0.1), 6) AS p10,
+ round(quantile_cont(ret, 0.9), 6) AS p90, round(avg((abs(ret) > 0.01)::INT), 6) AS above_1pc, round(avg((abs(ret - m) <= sd)::INT), 6) AS within_1, round(avg((abs(ret - m) <= 2 * sd)::INT), 6) AS within_2 FROM bt JOIN s USING (symbol) GROUP BY 1""")
 def sd_summary(spark: SparkSession, d: str) -> DataFrame:
-    df = tested(spark, d).select("ret")
-    both = df.crossJoin(F.broadcast(df.agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd"))))
+    w = Window.partitionBy("symbol")
+    each = tested(spark, d).select("symbol", "ret", F.avg("ret").over(w).alias("m"), F.stddev_samp("ret").over(w).alias("sd"))
     share = lambda c, n: F.round(F.avg(c.cast("int")), 6).alias(n)
     p = lambda q, n: F.round(F.percentile("ret", F.lit(q)), 6).alias(n)
     off = F.abs(F.col("ret") - F.col("m"))
-    return both.agg(F.round(F.avg("ret"), 6).alias("mean"), p(0.5, "median"), p(0.1, "p10"), p(0.9, "p90"), share(F.abs("ret") > 0.01, "above_1pc"), share(off <= F.col("sd"), "within_1"), share(off <= 2 * F.col("sd"), "within_2"))
+    return each.groupBy("symbol").agg(F.round(F.avg("ret"), 6).alias("mean"), p(0.5, "median"), p(0.1, "p10"), p(0.9, "p90"), share(F.abs("ret") > 0.01, "above_1pc"), share(off <= F.col("sd"), "within_1"), share(off <= 2 * F.col("sd"), "within_2"))
 
 
-FORECAST_SQL = f"""{REG_SQL}, f AS (SELECT d, 1 / (1 + exp(-greatest(-5, least(5, score)))) AS p, (lead(price) OVER (ORDER BY d) > price)::INT AS y FROM scored), fc AS (SELECT * FROM f WHERE p IS NOT NULL AND y IS NOT NULL)"""
+FORECAST_SQL = f"""{REG_SQL}, f AS (SELECT symbol, d, 1 / (1 + exp(-greatest(-5, least(5, score)))) AS p, (lead(price) OVER (PARTITION BY symbol ORDER BY d) > price)::INT AS y FROM scored), fc AS (SELECT * FROM f WHERE p IS NOT NULL AND y IS NOT NULL)"""
 
 
 def forecasts(spark: SparkSession, d: str) -> DataFrame:
     up = (F.lead("price").over(by_symbol()) > F.col("price")).cast("int")
     df = regressions(prices(spark, d)).withColumn("y", up)
     p = 1 / (1 + F.exp(-F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col("score")))))
-    return df.withColumn("p", p).where("p IS NOT NULL AND y IS NOT NULL").select("d", "p", "y")
+    return df.withColumn("p", p).where("p IS NOT NULL AND y IS NOT NULL").select("symbol", "d", "p", "y")
 
 
-@query("brier_logloss", f"WITH {FORECAST_SQL} SELECT count(*) AS n, round(avg(pow(p - y, 2)), 6) AS brier, round(-avg(y * ln(greatest(least(p, 1 - 1e-7), 1e-7)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-7), 1e-7))), 6) AS log_loss, round(avg(((p >= 0.5)::INT = y)::INT), 6) AS hit_rate FROM fc")
+@query("brier_logloss", f"WITH {FORECAST_SQL} SELECT symbol, count(*) AS n, round(avg(pow(p - y, 2)), 6) AS brier, round(-avg(y * ln(greatest(least(p, 1 - 1e-7), 1e-7)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-7), 1e-7))), 6) AS log_loss, round(avg(((p >= 0.5)::INT = y)::INT), 6) AS hit_rate FROM fc GROUP BY 1")
 def brier(spark: SparkSession, d: str) -> DataFrame:
     c = F.greatest(F.least("p", F.lit(1 - 1e-7)), F.lit(1e-7))
     loss = -F.avg(F.col("y") * F.ln(c) + (1 - F.col("y")) * F.ln(1 - c))
     hit = ((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int")
-    return forecasts(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("y"), 2.0)), 6).alias("brier"), F.round(loss, 6).alias("log_loss"), F.round(F.avg(hit), 6).alias("hit_rate"))
+    return forecasts(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("y"), 2.0)), 6).alias("brier"), F.round(loss, 6).alias("log_loss"), F.round(F.avg(hit), 6).alias("hit_rate"))
 
 
-@query("calibration_bins", f"""WITH {FORECAST_SQL}, e AS (SELECT quantile_cont(p, [0.2, 0.4, 0.6, 0.8]) AS q FROM fc),
-b AS (SELECT p, y, (p > q[1])::INT + (p > q[2])::INT + (p > q[3])::INT + (p > q[4])::INT AS bin FROM fc, e)
-SELECT bin::BIGINT AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM b GROUP BY 1""")
+@query("calibration_bins", f"""WITH {FORECAST_SQL}, e AS (SELECT symbol, quantile_cont(p, [0.2, 0.4, 0.6, 0.8]) AS q FROM fc GROUP BY 1),
+b AS (SELECT symbol, p, y, (p > q[1])::INT + (p > q[2])::INT + (p > q[3])::INT + (p > q[4])::INT AS bin FROM fc JOIN e USING (symbol))
+SELECT symbol, bin::BIGINT AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM b GROUP BY 1, 2""")
 def calibration(spark: SparkSession, d: str) -> DataFrame:
-    f = forecasts(spark, d)
-    edges = f.agg(F.percentile("p", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("q"))
-    b = f.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("q", lambda x: F.col("p") > x)).cast("long"))
-    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg("y"), 6).alias("observed"))
+    """Forecasts of a symbol in five bins of equal numbers, what they said and what came."""
+    edges = F.percentile("p", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).over(Window.partitionBy("symbol"))
+    b = forecasts(spark, d).withColumn("q", edges).withColumn("bin", F.size(F.filter("q", lambda x: F.col("p") > x)).cast("long"))
+    return b.groupBy("symbol", "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg("y"), 6).alias("observed"))
 
 
-@query("ewm_std_21", f"""WITH RECURSIVE {PRICES_SQL}, x AS (SELECT d, ln(price) AS x, row_number() OVER (ORDER BY d) AS t FROM prices),
-f AS (SELECT t, d, x AS m, 0.0::DOUBLE AS c, 1.0::DOUBLE AS s FROM x WHERE t = 1 UNION ALL SELECT x.t, x.d, f.m + {2 / 22} * (x.x - f.m),
-  (1 - {2 / 22}) * (f.c + pow({2 / 22} * (x.x - f.m), 2)) + {2 / 22} * pow((1 - {2 / 22}) * (x.x - f.m), 2), pow(1 - {2 / 22}, 2) * f.s + pow({2 / 22}, 2) FROM f JOIN x ON x.t = f.t + 1)
-SELECT d, CASE WHEN t >= 21 THEN round(sqrt(c / (1 - s)), 6) END AS ewm_std FROM f""")
+@query("ewm_std_21", f"""WITH RECURSIVE {PRICES_SQL}, x AS (SELECT symbol, d, ln(price) AS x, t FROM prices),
+f AS (SELECT symbol, t, d, x AS m, 0.0::DOUBLE AS c, 1.0::DOUBLE AS s FROM x WHERE t = 1 UNION ALL SELECT x.symbol, x.t, x.d, f.m + {2 / 22} * (x.x - f.m),
+  (1 - {2 / 22}) * (f.c + pow({2 / 22} * (x.x - f.m), 2)) + {2 / 22} * pow((1 - {2 / 22}) * (x.x - f.m), 2), pow(1 - {2 / 22}, 2) * f.s + pow({2 / 22}, 2) FROM f JOIN x ON x.symbol = f.symbol AND x.t = f.t + 1)
+SELECT symbol, d, CASE WHEN t >= 21 THEN round(sqrt(c / (1 - s)), 6) END AS ewm_std FROM f""")
 def ewm_std(spark: SparkSession, d: str) -> DataFrame:
     """The rolling deviation of every day, as a fold over one symbol's days; the first 20 days have none."""
     a = 2 / 22
@@ -228,17 +228,17 @@ def ewm_std(spark: SparkSession, d: str) -> DataFrame:
 
     zero = F.struct(F.get("v.x", F.lit(0)).alias("m"), F.lit(0.0).alias("c"), F.lit(1.0).alias("s"), F.lit(1).alias("n"))
     folded = F.aggregate(F.slice("v.x", 2, F.size("v")), F.array(zero), lambda ss, v: F.concat(ss, F.array(step(F.element_at(ss, -1), v))))
-    rows = days.select(F.inline(F.arrays_zip(F.col("v.d").alias("d"), folded.alias("s"))))
-    return rows.select("d", F.round(F.when(F.col("s.n") >= LENGTH, F.sqrt(F.col("s.c") / (1 - F.col("s.s")))), 6).alias("ewm_std"))
+    rows = days.select("symbol", F.inline(F.arrays_zip(F.col("v.d").alias("d"), folded.alias("s"))))
+    return rows.select("symbol", "d", F.round(F.when(F.col("s.n") >= LENGTH, F.sqrt(F.col("s.c") / (1 - F.col("s.s")))), 6).alias("ewm_std"))
 
 
-@query("direct_horizon_features", f"""WITH {PRICES_SQL} SELECT d, round(ln(price / lag(price) OVER w), 6) AS r1, round(ln(price / avg(price) OVER (ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), 6) AS vs_mean,
- round(ln(lead(price, 1) OVER w / price), 6) AS h1, round(ln(lead(price, 5) OVER w / price), 6) AS h5 FROM prices WINDOW w AS (ORDER BY d)""")
+@query("direct_horizon_features", f"""WITH {PRICES_SQL} SELECT symbol, d, round(ln(price / lag(price) OVER w), 6) AS r1, round(ln(price / avg(price) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), 6) AS vs_mean,
+ round(ln(lead(price, 1) OVER w / price), 6) AS h1, round(ln(lead(price, 5) OVER w / price), 6) AS h5 FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY d)""")
 def horizon(spark: SparkSession, d: str) -> DataFrame:
     w = by_symbol()
     p = F.col("price")
     ln6 = lambda c, n: F.round(F.ln(c), 6).alias(n)
-    return prices(spark, d).select("d", ln6(p / F.lag("price").over(w), "r1"), ln6(p / F.avg("price").over(w.rowsBetween(-19, 0)), "vs_mean"), ln6(F.lead("price", 1).over(w) / p, "h1"), ln6(F.lead("price", 5).over(w) / p, "h5"))
+    return prices(spark, d).select("symbol", "d", ln6(p / F.lag("price").over(w), "r1"), ln6(p / F.avg("price").over(w.rowsBetween(-19, 0)), "vs_mean"), ln6(F.lead("price", 1).over(w) / p, "h1"), ln6(F.lead("price", 5).over(w) / p, "h5"))
 
 
 @query("beta_binomial_adjust", """WITH h AS (SELECT user_id, list((value > 100)::INT ORDER BY ts, event_id) AS hits, avg((value > 100)::INT) AS p FROM events GROUP BY 1),

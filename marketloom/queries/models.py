@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..models import fits, surfaces
 from ..models.arima_garch import arima_garch_forecast
 from ..registry import query
-from ..sources.tables import daily_price, table, weekly_prices
+from ..sources.tables import supplier_days, table, weekly_prices
 
 
 @query("garch_forecast")
@@ -27,10 +27,10 @@ def fpca(spark: SparkSession, d: str) -> DataFrame:
 
 @query("yeo_johnson_walk")
 def walk(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier's own walk over the log returns of its trading days, after 504 of them."""
     w = Window.partitionBy("symbol").orderBy("d")
-    p = daily_price(spark, d).withColumn("symbol", F.lit("ALL"))
     x = F.ln(F.col("price") / F.lag("price").over(w)) * 10
-    return fits.yeo_johnson_walk(p.select("symbol", "d", x.alias("x")).where("x IS NOT NULL"))
+    return fits.yeo_johnson_walk(supplier_days(spark, d).select("symbol", "d", x.alias("x")).where("x IS NOT NULL"))
 
 
 @query("standardised_slopes", """WITH m AS (SELECT l_suppkey AS symbol, l_discount AS x1, l_tax AS x2, ln(l_extendedprice / l_quantity) AS y FROM lineitem),

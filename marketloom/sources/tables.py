@@ -136,3 +136,13 @@ def weekly_prices(spark: SparkSession, d: str) -> DataFrame:
 WEEKLY_SQL = """traded AS (SELECT l_suppkey AS ticker, date_trunc('week', l_shipdate)::DATE AS w, avg(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1, 2),
 held AS (SELECT *, coalesce(lead(w) OVER (PARTITION BY ticker ORDER BY w) - 7, (SELECT max(w) FROM traded)) AS until FROM traded),
 weekly AS (SELECT ticker, unnest(generate_series(w::TIMESTAMP, until::TIMESTAMP, INTERVAL 7 DAY))::DATE AS d, close FROM held)"""
+
+
+def supplier_days(spark: SparkSession, d: str) -> DataFrame:
+    """Daily closes of every supplier on its trading days: its mean unit price, damped to moves of a few percent."""
+    mean = F.avg(F.col("l_extendedprice") / F.col("l_quantity"))
+    days = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("d"))
+    return days.agg((100 * F.pow(mean / 1000, F.lit(0.05))).alias("price"))
+
+
+SUPPLIER_DAYS_SQL = "supplier_days AS (SELECT l_suppkey AS symbol, l_shipdate::DATE AS d, 100 * pow(avg(l_extendedprice / l_quantity) / 1000, 0.05) AS price FROM lineitem GROUP BY 1, 2)"
