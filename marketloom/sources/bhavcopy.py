@@ -1,7 +1,8 @@
 """Daily exchange reports: CSV files in ZIP archives, with a guard for their columns.
 
-Each archive is read where its task runs, row by row from the compressed stream; an archive that is broken, empty or
-lacks a column is skipped, as one day's report may be.  Only the columns asked for leave the task.
+Each archive is read where its task runs, row by row from the compressed stream, and its rows leave the task once the member has been read
+to its end and its checksum agrees: an archive that is broken anywhere, encrypted, empty or lacks a column is skipped whole, as one
+day's report may be, so half a day never counts as a day.  Only the columns asked for leave the task; what is held is one report.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -17,49 +19,67 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import positive
 
+# Column names and instrument codes of the reports.
 FUTURES = ("FinInstrmTp", "TckrSymb", "FinInstrmNm", "XpryDt", "ClsPric", "SttlmPric", "NewBrdLotQty", "TtlTradgVol")
 CASH = ("TckrSymb", "SctySrs", "OpnPric", "ClsPric")
 OPTIONS = ("FinInstrmTp", "TckrSymb", "XpryDt", "StrkPric", "OptnTp", "ClsPric", "UndrlygPric", "OpnIntrst", "TtlTradgVol")
 BATCH = 5000
 
 
-def zipped_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """``report_date`` (from the name, ``_yyyymmdd_``) and the named columns, as text, of every archive below ``path``."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    names = ["path", *columns]
+#: What a damaged, encrypted or foreign file raises while it is read.
+BROKEN = (zipfile.BadZipFile, zlib.error, csv.Error, EOFError, OSError, RuntimeError, ValueError)
+
+
+def report_batches(content: bytes | None, columns: Sequence[str]) -> list[list[list[str | None]]]:
+    """The columns of the first member's rows, in lists of ``BATCH`` rows, column by column; nothing of a report that can't be read whole."""
+    done: list[list[list[str | None]]] = []
+    held: list[list[str | None]] = []
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
+            members = archive.namelist()
+            if not members:
+                return []
+            with archive.open(members[0]) as raw:
+                reader = csv.DictReader(io.TextIOWrapper(raw, "utf-8", "replace", newline=""))
+                if not set(columns) <= set(reader.fieldnames or ()):
+                    return []
+                for row in reader:
+                    held.append([row[c] for c in columns])
+                    if len(held) == BATCH:
+                        done.append([list(c) for c in zip(*held, strict=True)])
+                        held = []
+    except BROKEN:
+        return []
+    return [*done, [list(c) for c in zip(*held, strict=True)]] if held else done
+
 
-    def rows(content: bytes) -> Iterator[list[str | None]]:
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                members = archive.namelist()
-                if not members:
-                    return
-                with archive.open(members[0]) as raw:
-                    reader = csv.DictReader(io.TextIOWrapper(raw, "utf-8", "replace", newline=""))
-                    if set(columns) <= set(reader.fieldnames or ()):
-                        yield from ([row[c] for c in columns] for row in reader)
-        except zipfile.BadZipFile:
-            return
+def unzipped(files: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``report_date`` (from the name, ``_yyyymmdd_``) and the named columns, as text, of every archive in files (path, content)."""
+    names = ["path", *columns]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                held: list[list[str | None]] = []
-                for row in rows(content):
-                    held.append([file, *row])
-                    if len(held) == BATCH:
-                        yield _batch(held, names)
-                        held = []
-                if held:
-                    yield _batch(held, names)
+            for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                for part in report_batches(content.as_py(), columns):
+                    same = pa.array([file.as_py()] * len(part[0]), pa.string())
+                    yield pa.RecordBatch.from_arrays([same, *(pa.array(c, pa.string()) for c in part)], names)
+
+    rows = files.select("path", "content").mapInArrow(read, ", ".join(f"`{n}` string" for n in names))
+    day = F.try_to_date(F.regexp_extract("path", r"_(\d{8})_[^/]*$", 1), "yyyyMMdd")
+    return rows.select(day.alias("report_date"), *columns)
 
-    read_rows = files.mapInArrow(read, ", ".join(f"`{n}` string" for n in names))
-    day = F.to_date(F.regexp_extract("path", r"_(\d{8})_[^/]*$", 1), "yyyyMMdd")
-    return read_rows.select(day.alias("report_date"), *columns)
+
+def zipped_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """``unzipped`` rows of every archive below ``path``."""
+    return unzipped(spark.read.format("binaryFile").load(path), columns)
 
 
-def _batch(rows: list[list[str | None]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
+def zip_report(name: str, text: str) -> bytes:
+    """An archive of one member."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr(zipfile.ZipInfo(name), text, zipfile.ZIP_DEFLATED)
+    return out.getvalue()
 
 
 def latest_report(rows: DataFrame, today: str, days: int = 10) -> DataFrame:

@@ -62,3 +62,40 @@ def test_option_quotes_have_the_median_of_positive_spots(spark, folder):
     rows = bhavcopy.latest_report(bhavcopy.zipped_csv(spark, folder, bhavcopy.OPTIONS), "2024-06-13").where("FinInstrmTp = 'STO'")
     got = sorted(bhavcopy.option_quotes(rows).collect(), key=lambda r: r.strike)
     assert [(r.strike, r.side, r.spot, r.open_interest) for r in got] == [(100.0, "CE", 102.0, 9.0), (110.0, "PE", 102.0, 0.0), (120.0, "PE", 102.0, 0.0)]
+
+
+def damaged(tmp_path):
+    """Good, wrong checksum, damaged bytes, cut off, encrypted flag, deflated garbage and an overlong field, a day each."""
+    lines = [f"STF,T{k},N,2024-06-27,{k + 1},1,1,1,,,,,," for k in range(20_000)]
+    good = bhavcopy.zip_report("report.csv", "\n".join([HEAD, *lines]) + "\n")
+    at = good.index(b"PK\x01\x02")
+    crc = bytearray(good)
+    crc[at + 16] ^= 0xFF
+    crc[14] ^= 0xFF
+    bytes_ = bytearray(good)
+    bytes_[len(good) // 2 : len(good) // 2 + 40] = bytes(40)
+    locked = bytearray(good)
+    locked[6] |= 1
+    locked[at + 8] |= 1
+    method = bytearray(good)
+    method[8:10] = method[at + 10 : at + 12] = (99).to_bytes(2, "little")
+    field = bhavcopy.zip_report("report.csv", HEAD + "\n" + "STF," + "x" * 200_000 + ",N\n")
+    made = {"20240603": good, "20240604": bytes(crc), "20240605": bytes(bytes_), "20240606": good[: len(good) // 2], "20240607": bytes(locked), "20240610": bytes(method), "20240611": field, "20249999": good}
+    for day, data in made.items():
+        (tmp_path / f"BhavCopy_{day}_F_0000.csv.zip").write_bytes(data)
+    (tmp_path / "BhavCopy_20240612_F_0000.csv.zip").write_bytes(b"")
+    return str(tmp_path)
+
+
+def test_half_a_report_never_counts(spark, tmp_path):
+    rows = bhavcopy.zipped_csv(spark, damaged(tmp_path), bhavcopy.FUTURES)
+    assert {(r.report_date, r["count"]) for r in rows.groupBy("report_date").count().collect()} == {(dt.date(2024, 6, 3), 20_000), (None, 20_000)}
+    last = bhavcopy.latest_report(rows, "2024-06-12")
+    assert last.count() == 20_000 and last.first().report_date == dt.date(2024, 6, 3)
+
+
+def test_null_and_foreign_content(spark):
+    files = spark.createDataFrame([("a_20240607_.zip", None), ("b_20240607_.zip", bytearray(b"PK")), ("c", bytearray(bhavcopy.zip_report("r", "TckrSymb,SctySrs,OpnPric,ClsPric\nx,EQ\n")))], "path string, content binary")
+    got = bhavcopy.unzipped(files, bhavcopy.CASH).collect()
+    assert [tuple(r) for r in got] == [(None, "x", "EQ", None, None)]
+    assert bhavcopy.unzipped(files.limit(0), bhavcopy.CASH).collect() == []
