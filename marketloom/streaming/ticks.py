@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 DELAY = "2 days"
@@ -55,34 +55,52 @@ def marks_once(marks: DataFrame, keys: list[str], delay: str = DELAY) -> DataFra
     return marks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def volume_deltas(ticks: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Per-tick volume from a counter per symbol and day: a stateful fold; first ticks and falls count zero.
+class DayCounter(StatefulProcessor):
+    """The counter of one symbol and day as a value state, cleared by a timer when the watermark passes the day's end."""
 
-    A tick older than one of an earlier batch counts zero too and leaves the counter as it is.  A day's state goes when the
-    watermark passes the day's end.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counter = handle.getValueState("counter", "last double, at double")
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-        at = (rows.ts - pd.Timestamp(0)).dt.total_seconds()
-        last, seen = state.get if state.exists else (None, float("-inf"))
-        fresh = rows.day_volume[at >= seen]
-        delta = pd.Series(0.0, index=rows.index)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ticks = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
+        at = (ticks.ts - pd.Timestamp(0)).dt.total_seconds()
+        held = self.counter.get() if self.counter.exists() else None
+        last, seen = held if held is not None else (None, float("-inf"))
+        fresh = ticks.day_volume[at >= seen]
+        delta = pd.Series(0.0, index=ticks.index)
         if len(fresh):
             before = fresh.shift(1)
             if last is not None:
                 before.iloc[0] = last
             delta[fresh.index] = (fresh - before).clip(lower=0).fillna(0.0)
-            state.update((float(fresh.iloc[-1]), float(at.iloc[-1])))
-        day_end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(day_end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows.event_id, "delta": delta})
+            self.counter.update((float(fresh.iloc[-1]), float(at.iloc[-1])))
+        if held is None:
+            day_end = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
+            self.handle.registerTimer(max(day_end, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"event_id": ticks.event_id, "delta": delta})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.counter.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that value states and timers need.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+
+def volume_deltas(ticks: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Per-tick volume from a counter per symbol and day, held in a value state; first ticks and falls count zero.
+
+    A tick older than one of an earlier batch counts zero too and leaves the counter as it is.  A day's state goes when the
+    watermark passes the day's end; later ticks of the day are dropped as late.  Sets the session's state store to RocksDB.
+    """
+    ticks.sparkSession.conf.set(*ROCKS)
     keyed = ticks.withWatermark("ts", delay).withColumn("day", F.to_date("ts")).groupBy("symbol", "day")
-    return keyed.applyInPandasWithState(fold, "event_id long, delta double", "last double, at double", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.transformWithStateInPandas(DayCounter(), "event_id long, delta double", "append", "EventTime")
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -93,3 +111,15 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     if query.exception() is not None:
         raise query.exception()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def replay(df: DataFrame, folder: str, parts: int, by: str = "ts") -> DataFrame:
+    """A stream of a batch table in order of a column: ``parts`` files, one a micro-batch, as if the rows had come in over time."""
+    spark = df.sparkSession
+    df.repartitionByRange(parts, by).sortWithinPartitions(by).write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    for k, file in enumerate(files):  # ``parts`` files at most; a file source takes the oldest first
+        fs.setTimes(file, 1_700_000_000_000 + 1000 * k, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
