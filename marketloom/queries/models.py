@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..models import fits, surfaces
 from ..models.arima_garch import arima_garch_forecast
+from ..operators import titles
 from ..registry import query
 from ..sources.tables import supplier_days, table, weekly_prices
 
@@ -44,37 +45,13 @@ def slopes(spark: SparkSession, d: str) -> DataFrame:
     return s.select("symbol", F.round(F.expr("sqrt(v1) * (v2 * y1 - c * y2) / det"), 6).alias("b1"), F.round(F.expr("sqrt(v2) * (v1 * y2 - c * y1) / det"), 6).alias("b2"))
 
 
-#: Edits that a pair whose longer title has ``n`` characters may need, and where segment ``i`` of ``edits`` + 1 begins.
-EDITS = "CAST(floor(0.12 * n + 1e-6) AS INT)"
-SEGMENT = {"start": "CAST(floor(i * n / (edits + 1)) AS INT)", "size": "CAST(floor((i + 1) * n / (edits + 1)) AS INT) - start"}
-
-
-def near_candidates(k: DataFrame) -> DataFrame:
-    """Pairs of ids (a < b), once each, of all titles that can be within the edit bound of the longer one.
-
-    Fewer edits than segments leave one segment of the longer title unchanged in the other, moved by no more than the edits before it
-    and the edits after it allow; so pairs meet on length, segment and text.
-    """
-    segments = lambda df: df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits")))).withColumn("start", F.expr(SEGMENT["start"])).withColumn("size", F.expr(SEGMENT["size"]))
-    long = segments(k.select(F.col("page_id").alias("x"), "title", F.length("title").alias("n")).withColumn("edits", F.expr(EDITS)))
-    long = long.select("x", "n", "i", F.expr("substring(title, start + 1, size)").alias("part"))
-    short = k.select(F.col("page_id").alias("y"), "title", F.length("title").alias("m"))
-    short = short.withColumn("n", F.explode(F.expr("sequence(m, CAST(floor(m / 0.88) AS INT) + 1)"))).withColumn("edits", F.expr(EDITS)).where("n - m <= edits")
-    short = segments(short).withColumn("move", F.explode(F.expr("sequence(-edits, edits)")))
-    short = short.where("abs(move) + abs(m - n - move) <= edits AND start + move >= 0 AND start + move + size <= m")
-    short = short.select("y", "n", "i", F.expr("substring(title, start + move + 1, size)").alias("part"))
-    return long.join(short, ["n", "i", "part"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 @query("title_near_copies", """WITH t AS (SELECT page_id, lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages), k AS (SELECT min(page_id) AS page_id, title FROM t WHERE title <> '' GROUP BY title)
 SELECT a.page_id AS a, b.page_id AS b FROM k a JOIN k b ON a.page_id < b.page_id WHERE 1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title))::DOUBLE >= 0.88""")
 def near_titles(spark: SparkSession, d: str) -> DataFrame:
     """Different titles whose edit-distance ratio is 0.88 or more; equal titles count once."""
     title = F.lower(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1))
     k = table(spark, d, "pages").groupBy(title.alias("title")).agg(F.min("page_id").alias("page_id")).where("title <> ''")
-    a, b = k.select(F.col("page_id").alias("a"), F.col("title").alias("ta")), k.select(F.col("page_id").alias("b"), F.col("title").alias("tb"))
-    ratio = 1 - F.levenshtein("ta", "tb") / F.greatest(F.length("ta"), F.length("tb")).cast("double")
-    return near_candidates(k).join(a, "a").join(b, "b").where(ratio >= 0.88).select("a", "b")
+    return titles.near_titles(k)
 
 
 SURFACES_SQL = f"""iv AS (SELECT s_nationkey AS symbol, date_trunc('month', l_shipdate)::DATE AS d, (l_linenumber % {surfaces.ROWS}) AS i, floor((l_quantity - 1) / 10)::INT AS j, 10 + 400 * l_discount AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),

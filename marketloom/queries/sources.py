@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from ..operators.ordered import top_per_group
+from ..operators.tolerance import first_within, within
 from ..registry import query
 from ..sources import shapes
 from ..sources.tables import CANDLES_SQL, COMPANIES_SQL, candles, companies, table
@@ -84,6 +85,21 @@ def strike_lookup(spark: SparkSession, d: str) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("id"), k.alias("k")).join(quotes, "k").select("id", "quote")
 
 
+TOLERANCE = 0.01
+
+
+@query("strike_within_tolerance", f"""WITH s AS (SELECT p_partkey AS id, p_brand AS symbol, p_retailprice / 3 + p_partkey % 5 * 0.004 AS strike FROM part), q AS (SELECT p_partkey AS quote, p_brand AS symbol, p_retailprice / 3 AS listed FROM part)
+SELECT id, arg_min(quote, (listed, quote)) AS quote, count(quote) AS quotes FROM s LEFT JOIN q ON s.symbol = q.symbol AND abs(strike - listed) <= {TOLERANCE} GROUP BY 1""")
+def strike_within(spark: SparkSession, d: str) -> DataFrame:
+    """The first listed strike within 0.01 of each wanted one of its symbol (least strike, then least id), and how many there are."""
+    part, price = table(spark, d, "part"), F.col("p_retailprice") / 3
+    wanted = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("symbol"), (price + F.col("p_partkey") % 5 * 0.004).alias("strike"))
+    listed = part.select(F.col("p_partkey").alias("quote"), F.col("p_brand").alias("symbol"), price.alias("listed"))
+    found = first_within(wanted, listed, ["symbol"], "strike", "listed", TOLERANCE, "id", "quote")
+    counts = within(wanted, listed, ["symbol"], "strike", "listed", TOLERANCE).groupBy("id").agg(F.count(F.lit(1)).alias("quotes"))
+    return found.join(counts, "id", "left").select("id", "quote", F.coalesce("quotes", F.lit(0).cast("long")).alias("quotes"))
+
+
 @query("two_leg_quotes", """WITH q AS (SELECT l_suppkey AS ticker, date_trunc('month', l_shipdate)::DATE AS expiry, avg(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2)
 SELECT a.ticker, a.expiry, round(a.price - b.price, 6) AS spread FROM q a JOIN q b ON b.ticker = a.ticker + 1 AND b.expiry = a.expiry""")
 def two_leg(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.ordered import top_per_group
+from ..operators.round_robin import round_robin
 from ..registry import query
 from ..sources.tables import table
 
@@ -39,13 +40,31 @@ def first_per_url(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("news_round_robin", f"WITH {CANON_SQL}, f AS (SELECT domain, min(page_id) AS page_id FROM urls GROUP BY domain, canonical), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS position FROM f) SELECT domain, page_id, position FROM r ORDER BY position, domain LIMIT 30")
-def round_robin(spark: SparkSession, d: str) -> DataFrame:
+def first_of_each(spark: SparkSession, d: str) -> DataFrame:
     """The first of each domain, then the second of each, and so on."""
     f = urls(spark, d).groupBy("domain", "canonical").agg(F.min("page_id").alias("page_id"))
     r = f.withColumn("position", F.row_number().over(Window.partitionBy("domain").orderBy("page_id")).cast("long"))
     return r.orderBy("position", "domain").limit(30).select("domain", "page_id", "position")
 
 
+NEWS_SQL = f"""{CANON_SQL}, n AS (SELECT page_id, domain, canonical, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1), ''), 'other') AS topic,
+ trim(regexp_replace(lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '[^a-z0-9]+', ' ', 'g')) AS title FROM urls JOIN (SELECT page_id, html FROM pages) USING (page_id)),
+o AS (SELECT *, row_number() OVER (ORDER BY position, topic) AS k FROM (SELECT n.*, row_number() OVER (PARTITION BY topic ORDER BY page_id) AS position FROM n)),
+g AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS taken, []::VARCHAR[] AS us, []::VARCHAR[] AS ds, []::VARCHAR[] AS ts UNION ALL
+ SELECT o.k, CASE WHEN ok THEN page_id END, CASE WHEN ok THEN list_append(us, canonical) ELSE us END, CASE WHEN ok THEN list_append(ds, domain) ELSE ds END, CASE WHEN ok THEN list_append(ts, title) ELSE ts END
+ FROM (SELECT g.us, g.ds, g.ts, o.*, NOT list_contains(us, canonical) AND NOT list_contains(ds, domain) AND (title = '' OR len(list_filter(ts, lambda t: t <> '' AND 1 - levenshtein(t, title) / greatest(length(t), length(title))::DOUBLE >= 0.88)) = 0) AS ok
+ FROM g JOIN o ON o.k = g.k + 1) o)"""
+
+
+@query("news_selection", f"WITH RECURSIVE {NEWS_SQL} SELECT page_id, topic, position FROM g JOIN o ON o.k = g.k WHERE taken IS NOT NULL ORDER BY o.k LIMIT 30")
+def news_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Thirty pages interleaved from the topics of their urls: each url and domain once, no near copies of titles."""
+    topic = F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]+)/", 1), F.lit("")), F.lit("other"))
+    title = tx.normal_title(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), topic.alias("group"), tx.canonical_url(F.col("url")).alias("url"), tx.domain(F.col("url")).alias("domain"), title.alias("title"))
+    return round_robin(pages, [F.asc("id")], limit=30).select(F.col("id").alias("page_id"), F.col("group").alias("topic"), "position")
+
+
 #: Terms of a section score and their weights.
 TERMS = {"the": 2, "and": 1, "licensed": 3, "tion": 1}
 
