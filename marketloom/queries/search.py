@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, cosine
+from ..operators import search_session as session
 from ..operators.ordered import top_per_group
+from ..plans.conditions import Condition, apply_filters
 from ..registry import query
+from ..sources.shared import cut_lineage
 from ..sources.tables import CARDS_SQL, COMPANIES_SQL, CONDITIONS_SQL, cards, companies, conditions, table
 
 FLOOR = 0.15
@@ -194,3 +197,66 @@ def peer_rank(spark: SparkSession, d: str) -> DataFrame:
 def evidence_bundle(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("company_id").orderBy("cond_id", "card_id")
     return company_matches(spark, d).select("company_id", "card_id", "cond_id", F.row_number().over(w).cast("long").alias("citation"))
+
+
+#: Three runs of one session: the second tightens the first one's filters, the third relaxes some of them again.
+PLANS = (
+    [Condition("sector", "in", ("asia", "europe"), required=True), Condition("market_cap", "gte", 0.0)],
+    [Condition("sector", "in", ("asia", "america"), required=True), Condition("market_cap", "between", (-500.0, 6000.0))],
+    [Condition("sector", "in", ("asia", "europe", "america"), required=True), Condition("market_cap", "gte", -500.0)],
+)
+PLAN_SQL = (
+    "(contains(lower(sector), 'asia') OR contains(lower(sector), 'europe')) AND market_cap >= 0",
+    "(contains(lower(sector), 'asia') OR contains(lower(sector), 'america')) AND market_cap BETWEEN -500 AND 6000",
+    "(contains(lower(sector), 'asia') OR contains(lower(sector), 'europe') OR contains(lower(sector), 'america')) AND market_cap >= -500",
+)
+CANDIDATES, FINAL = 15, 7
+
+
+def _run_sql(k: int) -> str:
+    old = f"s{k - 1}" if k > 1 else "(SELECT NULL::BIGINT AS company_id, '' AS stage, false AS completed, false AS outcome, 0.0 AS score, 0.0 AS final_score, []::VARCHAR[] AS limitations WHERE false)"
+    return f"""f{k} AS (SELECT c.company_id, combined_score FROM combined c JOIN companies USING (company_id) WHERE {PLAN_SQL[k - 1]}),
+c{k} AS (SELECT *, row_number() OVER (ORDER BY combined_score DESC, company_id) <= {CANDIDATES} AS candidate FROM f{k}),
+m{k} AS (SELECT coalesce(o.company_id, n.company_id) AS company_id, o.company_id IS NOT NULL AS is_old, n.company_id IS NOT NULL AS passes, coalesce(candidate, false) AS candidate, stage, coalesce(completed, false) AS completed, coalesce(outcome, false) AS outcome,
+ coalesce(score, combined_score) AS score, final_score, coalesce(limitations, []::VARCHAR[]) AS limitations FROM {old} o FULL JOIN c{k} n ON o.company_id = n.company_id WHERE o.company_id IS NOT NULL OR candidate),
+g{k} AS (SELECT * REPLACE (CASE WHEN is_old AND NOT passes THEN 'filtered_out' WHEN NOT is_old THEN 'filtered' WHEN stage = 'filtered_out' THEN CASE WHEN completed THEN 'researched' ELSE 'filtered' END ELSE stage END AS stage,
+ CASE WHEN is_old AND NOT passes AND NOT list_contains(limitations, 'Removed by updated structured filters.') THEN list_append(limitations, 'Removed by updated structured filters.') ELSE limitations END AS limitations) FROM m{k}),
+r{k} AS (SELECT g.* REPLACE (CASE WHEN met THEN 'researched' ELSE g.stage END AS stage, CASE WHEN met THEN o.completed ELSE g.completed END AS completed, CASE WHEN met THEN o.eligible ELSE g.outcome END AS outcome, CASE WHEN met THEN o.final_score ELSE g.final_score END AS final_score)
+ FROM (SELECT g0.*, candidate AND stage NOT IN ('researched', 'qualified') AND EXISTS (SELECT 1 FROM outcomes x WHERE x.company_id = g0.company_id) AS met FROM g{k} g0) g LEFT JOIN outcomes o USING (company_id)),
+e{k} AS (SELECT *, outcome AND stage IN ('researched', 'qualified') AS eligible FROM r{k}),
+s{k} AS (SELECT company_id, CASE WHEN rk IS NOT NULL THEN 'qualified' WHEN stage = 'qualified' THEN 'researched' ELSE stage END AS stage, completed, outcome, eligible, rk AS rank, score, final_score, limitations
+ FROM (SELECT *, CASE WHEN eligible THEN nullif(least(row_number() OVER (PARTITION BY eligible ORDER BY final_score DESC, company_id), {FINAL + 1}), {FINAL + 1}) END AS rk FROM e{k}))"""
+
+
+SESSION_SQL = f"""{MATCH_SQL}, {COMPANIES_SQL}, outcomes AS (SELECT c.company_id, company_id % 5 <> 0 AS completed, company_id % 5 <> 0 AND market_cap > 500 AS eligible,
+ combined_score * (0.70 + 0.30 * greatest(0.0, least(1.0, matched / 3.0))) AS final_score FROM combined c JOIN companies USING (company_id) WHERE company_id % 11 <> 0), {_run_sql(1)}, {_run_sql(2)}, {_run_sql(3)}"""
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What research finds: some companies time out, some are not eligible, some are not reached."""
+    multiplier = 0.70 + 0.30 * clamp(F.col("matched") / 3.0)
+    both = combined(spark, d).join(companies(spark, d), "company_id").where("company_id % 11 <> 0")
+    done = F.col("company_id") % 5 != 0
+    return both.select("company_id", done.alias("completed"), (done & (F.col("market_cap") > 500)).alias("eligible"), (F.col("combined_score") * multiplier).alias("final_score"))
+
+
+def session_runs(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The state after each of the three runs; each is written before the next one reads it."""
+    results = cut_lineage(combined(spark, d).select("company_id", F.col("combined_score").alias("score")))
+    found = cut_lineage(outcomes(spark, d))
+    state, states = spark.createDataFrame([], session.STATE), []
+    for plan in PLANS:
+        passing = apply_filters(companies(spark, d), plan)
+        state = cut_lineage(session.run(state, results, passing, found, limit=CANDIDATES, final=FINAL))
+        states.append(state)
+    return states
+
+
+@query("search_session", f"""WITH {SESSION_SQL} SELECT s3.company_id, s1.stage AS stage_1, s1.rank AS rank_1, s2.stage AS stage_2, s2.rank AS rank_2, s3.stage AS stage_3, s3.rank AS rank_3, s3.completed, s3.eligible, round(s3.final_score, 6) AS final_score, len(s3.limitations) AS notes
+FROM s3 LEFT JOIN s2 USING (company_id) LEFT JOIN s1 USING (company_id)""")
+def search_session(spark: SparkSession, d: str) -> DataFrame:
+    """A session of three runs: candidates filtered out, brought back and added as the filters change."""
+    one, two, three = session_runs(spark, d)
+    stage = lambda s, k: s.select("company_id", F.col("stage").alias(f"stage_{k}"), F.col("rank").alias(f"rank_{k}"))
+    last = three.select("company_id", F.col("stage").alias("stage_3"), F.col("rank").alias("rank_3"), "completed", "eligible", F.round("final_score", 6).alias("final_score"), F.size("limitations").cast("long").alias("notes"))
+    return last.join(stage(two, 2), "company_id", "left").join(stage(one, 1), "company_id", "left")
