@@ -3,7 +3,8 @@
 Encoding: the words (pieces of the public pattern) of a batch of texts that are not known yet become
 token-position rows, first one row per byte.  A recursive query joins neighbouring rows with the
 merge table and contracts each word's leftmost pair of minimum rank until no pair of a word has a
-rank.  Words of more than ``STEPS`` bytes take a query that contracts all occurrences of the pair
+rank.  Words of more than ``STEPS`` bytes are first cut wherever no token of the vocabulary that occurs in them reaches across, since no merge
+can; their parts are coded alone and their tokens joined.  Parts that are still longer take a query that contracts all occurrences of the pair
 that do not overlap in one step, where the merged token can never be part of a merge of lower rank
 (the tokens are then the same), and several recursive queries of ``STEPS`` steps each, so the rows
 that a query keeps stay bounded.  A word that is itself in the vocabulary is one token.
@@ -36,8 +37,8 @@ from .pretokens import batches_by_size, pieces
 from .tables import with_result
 from .vocab import SharedFile
 
-#: Words whose tokens a worker remembers; then it forgets the younger half (frequent words are met early).
-MEMORY = 200_000
+#: Words whose tokens a worker remembers; then it forgets the younger half (frequent words are met early).  Longer words than ``KEEP`` are not remembered.
+MEMORY, KEEP = 200_000, 512
 #: Steps of one recursive query, and token-position rows that one query starts with at most (a longer word stands alone).
 STEPS, ROWS = 64, 100_000
 
@@ -103,7 +104,7 @@ class Codec:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         self.put("v", id=pa.array(list(ranks.values()), pa.int32()), s=pa.array([t.decode("latin-1") for t in ranks]))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
-        self.known: dict[str, bytes] = {}  # the tokens of a word as 32-bit integers
+        self.known: dict[str | bytes, bytes] = {}  # the tokens of a word as 32-bit integers
 
     @cached_property
     def merges(self) -> int:
@@ -150,14 +151,47 @@ class Codec:
             w, pos, tok = w[~done], pos[~done], tok[~done]
         return out
 
+    @cached_property
+    def begins(self) -> frozenset[bytes]:
+        """What a token of two bytes or more begins with, itself included."""
+        return frozenset(t[:k] for t in self.ranks for k in range(2, len(t) + 1))
+
+    def parts(self, data: bytes) -> list[bytes]:
+        """A word cut at all places that no token occurring in it reaches across."""
+        begins, ranks, out, begin, reach = self.begins, self.ranks, [], 0, 0
+        for i in range(len(data)):
+            if i >= reach and i > begin:
+                out.append(data[begin:i])
+                begin = i
+            k = i + 2
+            while k <= len(data) and (head := data[i:k]) in begins:
+                if head in ranks:
+                    reach = max(reach, k)
+                k += 1
+            reach = max(reach, i + 1)
+        out.append(data[begin:])
+        return out
+
     def learn(self, words: set[str]) -> None:
-        new: list[tuple[str, bytes]] = []
+        new: list[tuple[str | bytes, bytes]] = []
+        long: dict[str, list[bytes]] = {}
         for word in words:
             data = word.encode("utf-8", "replace")
             if (rank := self.ranks.get(data)) is not None:
                 self.known[word] = rank.to_bytes(4, sys.byteorder)
+            elif len(data) > STEPS:
+                long[word] = self.parts(data)
             else:
                 new.append((word, data))
+        new += [(p, p) for p in {p for parts in long.values() for p in parts}]
+        self.contract_all(new)
+        for word, parts in long.items():
+            self.known[word] = b"".join([self.known[p] for p in parts])
+        for p in {p for parts in long.values() for p in parts}:
+            del self.known[p]
+
+    def contract_all(self, new: list[tuple[str | bytes, bytes]]) -> None:
+        """Learn the tokens of words, under their names, by merges alone."""
         new.sort(key=lambda x: len(x[1]))  # words of like length need about as many steps
         begin = rows = 0
         for i in range(len(new) + 1):
@@ -175,6 +209,8 @@ class Codec:
         if fresh := set(chain.from_iterable(split)).difference(known):
             self.learn(fresh)
         parts = [b"".join(map(known.__getitem__, own)) for own in split]
+        for word in [w for w in fresh if len(w) > KEEP]:
+            del known[word]
         if len(known) > MEMORY:
             self.known = dict(islice(known.items(), MEMORY // 2))
         return np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4

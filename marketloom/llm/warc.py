@@ -1,12 +1,15 @@
 """WARC archives of pages, Zstandard-compressed record by record with an embedded dictionary (operator 8).
 
 Each partition writes archives of its own.  A writer holds back its first records, at most
-``SAMPLE_BYTES`` of payload, trains a dictionary on them, puts it in a skippable frame at the head of
-the archive, and compresses each record as a frame of its own with that dictionary.  An archive with
-too little to train on has no dictionary.  Files go to a folder that driver and executors share; a
+``SAMPLE_BYTES`` of payload and the record that goes beyond it, trains a dictionary on pieces of them, puts it in a skippable
+frame at the head of the archive, and compresses each record as a frame of its own with that dictionary.  Pieces are short where there is
+little to learn from, so that one record is enough; an archive of less than ``LEAST_BYTES`` has no dictionary.  Files go to a folder that driver and executors share; a
 task writes under a name of its own and renames when done, and only the archives named in the
 manifest are read, so lost or repeated tasks leave no trace in results.
 
+Equal payloads are told by their digests, which travel without the payloads; a payload meets its type by its page_id, so many copies of one
+page are no hot key for payloads.
+
 Of pages with equal payloads of at least ``least`` bytes, the one with the largest page_id is the
 response and the others are revisits of it.
 
@@ -34,6 +37,8 @@ from .tables import cut_lineage, shared_dir
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 64 << 10
+#: Bytes of records that a dictionary needs, and of one piece that it is trained on.
+LEAST_BYTES, PIECE_BYTES = 1 << 10, 8 << 10
 ARCHIVE_BYTES = 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -63,10 +68,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def train_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+def train_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+    """A dictionary from pieces spread evenly over the records, of about ``SAMPLE_BYTES`` together; None from less than ``LEAST_BYTES``."""
+    total = sum(map(len, records))
+    if total < LEAST_BYTES:
+        return None
+    piece = max(64, min(PIECE_BYTES, total // 64))
+    step = piece * max(1, total // SAMPLE_BYTES)
+    pieces = [r[i : i + piece] for r in records for i in range(0, len(r), step)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8, level=3)
-    except zstandard.ZstdError:  # too few or too small samples
+        return zstandard.train_dictionary(max(1 << 10, min(DICTIONARY_BYTES, total // 8)), pieces, k=256, d=8, level=3)
+    except zstandard.ZstdError:  # nothing in common to learn, as in runs of one byte
         return None
 
 
@@ -130,9 +142,10 @@ def classified(pages: DataFrame, *, least: int = 0) -> DataFrame:
         .where("n > 1 AND first IS NOT NULL")
         .select(F.col("digest").alias("of"), "first")
     )
-    joined = slim.join(again, slim.digest == again.of, "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
+    other = ~F.col("page_id").eqNullSafe(F.col("first"))
+    revisits = slim.select("page_id", "digest").join(again, F.col("digest") == F.col("of")).where(other).select(F.col("page_id").alias("id"), "of", "first").distinct()
+    joined = slim.join(revisits, slim.page_id.eqNullSafe(revisits.id) & (slim.digest == revisits.of), "left")
+    return joined.select("page_id", "url", "payload", F.col("first").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, *, least: int = 0, date: str = DATE) -> DataFrame:

@@ -193,3 +193,23 @@ def test_neighbour_query_has_its_recall(spark):
         hits += len(set(best.tolist()) & set(got[q]))
         assert all(abs(score[ids == v][0] - s) < 1e-12 for v, s in got[q].items())
     assert hits / (5 * len(asked)) >= 0.9
+
+
+def test_every_archive_with_enough_data_has_a_dictionary():
+    import random
+
+    rng = random.Random(0)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    page = lambda n: " ".join(rng.choice(words) for _ in range(n)).encode()
+    for held in ([page(600_000)], [page(900)], [page(100)] * 20, [page(200), b""], [page(400_000), page(3)]):
+        trained = warc.train_dictionary(held)
+        assert trained is not None and len(trained.as_bytes()) <= warc.DICTIONARY_BYTES
+    assert warc.train_dictionary([b"short"]) is None and warc.train_dictionary([]) is None
+
+
+def test_types_of_copies_without_ids(spark):
+    rows = [(1, "a", "x"), (2, "a", "x"), (None, "n", "x"), (None, "n", "x"), (None, "n", "alone"), (None, "n", "alone"), (5, "b", None), (4, "b", ""), (7, "c", "y"), (7, "c", "y"), (2, "a", "x")]
+    got = warc.classified(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(((r.page_id, bytes(r.payload), r.refers_to) for r in got), key=repr) == sorted(
+        [(1, b"x", 2), (2, b"x", None), (2, b"x", None), (None, b"x", 2), (None, b"x", 2), (None, b"alone", None), (None, b"alone", None), (5, b"", None), (4, b"", 5), (7, b"y", None), (7, b"y", None)], key=repr
+    )

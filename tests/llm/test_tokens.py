@@ -99,3 +99,34 @@ def test_unknown_identifier_raises(spark):
     rows = spark.createDataFrame([([10**6],)], "ids array<int>")
     with pytest.raises(Exception, match="vocabulary"):
         bpe.decode(rows, RANKS).select(F.sum(F.length("decoded"))).collect()
+
+
+def test_long_words_are_cut_only_where_no_token_reaches():
+    import base64
+    import random
+    import time
+
+    import public_tokenizers
+    import tiktoken
+
+    data = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
+    codec = bpe.Codec(data)
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, special_tokens={})
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(a) for _ in range(n)) for a, n in ((letters, 65), (letters, 3000), (letters + letters.upper(), 2000), ("etaoinshr", 2000), ("éñçab", 700))]
+    words += ["a" * 700, "ab" * 200, "thetion" * 60, "=" * 900, "中文字" * 90]
+    for word in words:
+        parts = codec.parts(word.encode())
+        assert b"".join(parts) == word.encode() and all(parts)
+        edges = {sum(map(len, parts[:k])) for k in range(1, len(parts))}
+        raw = word.encode()
+        for a in range(len(raw)):
+            for b in range(a + 2, min(len(raw), a + 24) + 1):
+                assert raw[a:b] not in codec.ranks or not any(a < e < b for e in edges)
+        assert codec.encode([word])[0].tolist() == plain.encode_ordinary(word)
+    assert not any(len(w) > bpe.KEEP for w in codec.known)
+    long = "".join(rng.choice(letters) for _ in range(100_000))
+    begin = time.perf_counter()
+    assert codec.encode([long])[0].tolist() == plain.encode_ordinary(long)
+    assert time.perf_counter() - begin < 10
