@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from . import worker_memory
 from .pretokens import batches_by_size, pieces
 from .tables import with_result
 from .vocab import SharedFile
@@ -252,6 +253,7 @@ def bpe_encoder(spark: SparkSession, vocab_path: str):
     shared = SharedFile(spark, vocab_path)
 
     @F.arrow_udf(ArrayType(IntegerType()))
+    @worker_memory.tidied
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = shared.built(Codec)
         for batch in batches:
@@ -265,6 +267,7 @@ def bpe_decoder(spark: SparkSession, vocab_path: str):
     shared = SharedFile(spark, vocab_path)
 
     @F.arrow_udf(BinaryType())
+    @worker_memory.tidied
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = shared.built(Codec)
         for batch in batches:
@@ -279,6 +282,7 @@ def bpe_round_trip(spark: SparkSession, vocab_path: str):
     both = StructType([StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
 
     @F.arrow_udf(both)
+    @worker_memory.tidied
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = shared.built(Codec)
         for batch in batches:

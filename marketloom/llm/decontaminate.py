@@ -239,6 +239,7 @@ def _finder(shared: Broadcast):
     """A function of a text column that gives a ``FOUND`` struct."""
 
     @F.arrow_udf(FOUND)
+    @worker_memory.tidied
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         worker_memory.enter("decontaminate")
         for batch in batches:
@@ -251,6 +252,7 @@ def _cutter(shared: Broadcast):
     """A function of a text column that gives the text with cuts repeated until no window occurs."""
 
     @F.arrow_udf(StringType())
+    @worker_memory.tidied
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         worker_memory.enter("decontaminate")
         for batch in batches:
@@ -269,6 +271,7 @@ def _cutter(shared: Broadcast):
 def _hits(shared: Broadcast):
     """For mapInArrow: (h1, h2, items, word_spans) of the texts that a window hits."""
 
+    @worker_memory.tidied
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory.enter("decontaminate")
         for batch in batches:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from . import worker_memory
 from .tables import with_result
 
 #: Units between two checkpoints, and bytes that are looked at together.
@@ -137,6 +138,7 @@ def fill_in_middle(
         raise ValueError(f"unit must be one of {', '.join(UNITS)}")
 
     @F.arrow_udf(MADE)
+    @worker_memory.tidied
     def transform(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, hashes in rows:
             made = []

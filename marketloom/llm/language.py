@@ -49,6 +49,7 @@ _FOUND_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 def gram_counts(sample: DataFrame) -> DataFrame:
     """(lang, length, gram, n) over the sample's columns lang and text."""
 
+    @worker_memory.tidied
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory.enter("language")
         for rb in rows:
@@ -179,6 +180,7 @@ def identify(docs: DataFrame, model: LanguageFilter, *, text: str = "text", into
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(FOUND)
+    @worker_memory.tidied
     def decide(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
         worker_memory.enter("language")
         for texts in rows:

@@ -111,6 +111,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """The context vectors of all rows, each of length one or zero, summed over the whole of docs (text)."""
     names = [f"c{k}" for k in range(DIM)]
 
+    @worker_memory.tidied
     def sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DIM << BITS, np.int64)
         for rb in rows:
@@ -242,6 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Mo
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
+    @worker_memory.tidied
     def pool(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory.enter("quality")
         for rb in rows:
@@ -268,6 +270,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "sco
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(DoubleType())
+    @worker_memory.tidied
     def scores(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
         worker_memory.enter("quality")
         for texts in rows:

@@ -63,9 +63,11 @@ def fingerprint(text: str | None) -> int:
 
 
 @F.arrow_udf(LongType())
-def _fingerprints(texts: pa.Array) -> pa.Array:
+@worker_memory.tidied
+def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     worker_memory.enter("simhash")
-    return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
+    for texts in batches:
+        yield pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
 
 def with_fingerprints(docs: DataFrame, *, text: str = "text", into: str = "fp") -> DataFrame:
@@ -154,6 +156,7 @@ def _units(starts: np.ndarray, depths: np.ndarray, budget: int):
     Fingerprints of one leaf are packed in one row per unit and batch.
     """
 
+    @worker_memory.tidied
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partners: dict[int, np.ndarray] = {}
         for batch in batches:

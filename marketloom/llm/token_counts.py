@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from . import worker_memory
 from .pretokens import batches_by_size, pieces
 from .tables import with_result
 from .vocab import SharedFile
@@ -132,6 +133,7 @@ def token_counter(spark: SparkSession, vocab_path: str):
     shared = SharedFile(spark, vocab_path)
 
     @F.arrow_udf(LongType())
+    @worker_memory.tidied
     def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = shared.built(MergeCounter)
         for batch in batches:

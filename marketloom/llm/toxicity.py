@@ -139,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_c
     rows_of = {int(r["toxic"]): r["n"] for r in drawn.groupBy("toxic").agg(F.sum("rows").alias("n")).collect()}
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
 
+    @worker_memory.tidied
     def presence(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in rows:
             toxic = rb.column("toxic").to_numpy(zero_copy_only=False)
@@ -172,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_c
     place = np.full(1 << BITS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
 
+    @worker_memory.tidied
     def sparse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory.enter("toxicity")
         for rb in rows:
@@ -199,6 +201,7 @@ def score(docs: DataFrame, model: Classifier, *, text: str = "text", into: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(DoubleType())
+    @worker_memory.tidied
     def scores(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
         worker_memory.enter("toxicity")
         for texts in rows:
