@@ -55,6 +55,17 @@ def all_regressions(df: DataFrame) -> DataFrame:
     return df.withColumn("score", (F.exp(252 * F.col("slope")) - 1) * F.col("r2"))
 
 
+def scores_beside(df: DataFrame) -> DataFrame:
+    """The score of every length of ``LENGTHS`` as a column of its own."""
+    y, t = F.ln("price"), F.col("t").cast("double")
+    out = {}
+    for n in LENGTHS:
+        w = by_symbol().rowsBetween(-(n - 1), 0)
+        score = (F.exp(252 * F.regr_slope(y, t).over(w)) - 1) * F.coalesce(F.regr_r2(y, t).over(w), F.lit(0.0))
+        out[f"score_{n}"] = F.when(F.count(F.lit(1)).over(w) == n, score)
+    return df.withColumns(out)
+
+
 def reg_sql(n: int) -> str:
     return f"""{PRICES_SQL}, reg AS (SELECT *, CASE WHEN count(*) OVER w = {n} THEN regr_slope(ln(price), t) OVER w END AS slope,
   CASE WHEN count(*) OVER w = {n} THEN coalesce(regr_r2(ln(price), t) OVER w, 0) END AS r2 FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
@@ -134,13 +145,21 @@ GRID_SQL = "SELECT * FROM (WITH {bt} SELECT symbol, {n}::BIGINT AS lookback, {t}
 
 @query("backtest_grid", " UNION ALL ".join(GRID_SQL.format(bt=bt_sql(n, t), n=n, t=t) for n in LENGTHS for t in THRESHOLDS))
 def bt_grid(spark: SparkSession, d: str) -> DataFrame:
-    """All lookbacks and thresholds in one pass: the grid is part of the symbol key."""
-    rows = all_regressions(prices(spark, d)).withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
-    rows = rows.withColumn("symbol", F.struct("symbol", "lookback", "threshold"))
-    rows = rows.withColumn("score", F.when(F.col("score") > F.col("threshold"), 1.0).otherwise(-1.0))
-    last = F.max_by("equity", "d")
-    each = backtest(rows).groupBy("symbol").agg(F.round(last - 1, 5).alias("total_return"), F.round(F.min("drawdown"), 5).alias("max_drawdown"))
-    return each.select("symbol.*", "total_return", "max_drawdown")
+    """All lookbacks and thresholds beside each other in the rows of a symbol, so one sort of its days serves the whole grid."""
+    w = by_symbol()
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    cells = [(n, k, t) for n in LENGTHS for k, t in enumerate(THRESHOLDS)]
+    each = {f"{n}_{k}": (F.col(f"score_{n}"), t) for n, k, t in cells}
+    df = scores_beside(prices(spark, d)).withColumn("ret", F.coalesce(F.col("price") / F.lag("price").over(w) - 1, F.lit(0.0)))
+    df = df.withColumns({f"target_{c}": F.coalesce((score > t).cast("double"), F.lit(0.0)) for c, (score, t) in each.items()})
+    before = lambda c, n: F.coalesce(F.lag(f"target_{c}", n).over(w), F.lit(0.0))
+    df = df.withColumns({f"net_{c}": before(c, 2) * F.col("ret") - COST * F.abs(before(c, 1) - before(c, 2)) for c in each})
+    df = df.withColumns({f"equity_{c}": F.exp(F.sum(F.ln(1 + F.col(f"net_{c}"))).over(upto)) for c in each})
+    df = df.withColumns({f"drawdown_{c}": F.col(f"equity_{c}") / F.max(f"equity_{c}").over(upto) - 1 for c in each})
+    results = [F.struct((F.max_by(f"equity_{c}", "d") - 1).alias("total"), F.min(f"drawdown_{c}").alias("worst")).alias(f"r_{c}") for c in each]
+    rows = F.array(*[F.struct(F.lit(n).cast("long").alias("lookback"), F.lit(t).alias("threshold"), F.col(f"r_{n}_{k}").alias("r")) for n, k, t in cells])
+    out = df.groupBy("symbol").agg(*results).select("symbol", F.inline(rows))
+    return out.select("symbol", "lookback", "threshold", F.round("r.total", 5).alias("total_return"), F.round("r.worst", 5).alias("max_drawdown"))
 
 
 @query("expanding_quantile_cutoff", f"WITH {REG_SQL} SELECT symbol, d, round(CASE WHEN count(score) OVER p >= {LEAST_HISTORY} THEN quantile_cont(score, 0.5) OVER p END, 5) + 0.0::DOUBLE AS cutoff FROM scored WINDOW p AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")

@@ -10,10 +10,10 @@ from ..operators.ordered import top_per_group
 from ..registry import query
 from ..sources.tables import MONTHLY_SQL, monthly_prices, table
 from .options import CHAIN_SQL, chain
-from .pairs import ADF_SQL, FORMATION, P_SQL, p_value, screened
+from .pairs import ADF_SQL, FORMATION, P_SQL, Z_WINDOW, p_value, screened
 
 SUGGEST_SQL = f"""{ADF_SQL}, pv AS (SELECT a, b, t, {P_SQL} AS p FROM adf), ar AS (SELECT a, b, regr_slope(s, s1) AS phi FROM lagged WHERE s1 IS NOT NULL GROUP BY 1, 2),
-lz AS (SELECT a, b, t, beta, s, (s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0) AS z FROM spread WINDOW w AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+lz AS (SELECT a, b, t, beta, s, (s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0) AS z FROM spread WINDOW w AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN {Z_WINDOW - 1} PRECEDING AND CURRENT ROW)),
 sug AS (SELECT pv.a, pv.b, p, z, beta, CASE WHEN phi > 0 AND phi < 1 THEN ln(0.5) / ln(phi) END AS half_life, CASE WHEN z <= -1 THEN 'long_spread' WHEN z >= 1 THEN 'short_spread' ELSE 'watch' END AS signal
  FROM pv JOIN ar USING (a, b) JOIN lz ON lz.a = pv.a AND lz.b = pv.b AND lz.t = {FORMATION})"""
 

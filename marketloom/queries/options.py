@@ -200,21 +200,35 @@ def legs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Prices of a payoff grid, two apart from 60 on.
+GRID = 41
+
+
+def payoffs(spark: SparkSession, d: str) -> DataFrame:
+    """(trade, payoffs): each trade's payoff at every price of the grid; a trade's legs are summed before the shuffle, no leg becomes rows."""
+    def at(x: float) -> F.Column:
+        value = F.greatest(F.lit(0.0), F.when(F.col("is_call"), x - F.col("strike")).otherwise(F.col("strike") - x))
+        return F.sum(F.col("side") * (value - F.col("premium")))
+
+    sums = legs(spark, d).groupBy("trade").agg(*[at(60 + 2.0 * i).alias(f"p{i}") for i in range(GRID)])
+    return sums.select("trade", F.array(*[F.round(f"p{i}", 6) for i in range(GRID)]).alias("payoffs"))
+
+
 @query("payoff_grid", f"""WITH {LEGS_SQL} SELECT trade, x, round(sum(side * (CASE WHEN is_call THEN greatest(x - strike, 0) ELSE greatest(strike - x, 0) END - premium)), 6) AS payoff
 FROM legs CROSS JOIN (SELECT 60 + 2.0::DOUBLE * unnest(range(0, 41)) AS x) GROUP BY 1, 2""")
 def payoff_grid(spark: SparkSession, d: str) -> DataFrame:
-    grid = legs(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("x", 60 + 2.0 * F.col("i"))
-    value = F.greatest(F.lit(0.0), F.when(F.col("is_call"), F.col("x") - F.col("strike")).otherwise(F.col("strike") - F.col("x")))
-    return grid.groupBy("trade", "x").agg(F.round(F.sum(F.col("side") * (value - F.col("premium"))), 6).alias("payoff"))
+    points = F.array(*[F.struct(F.lit(60 + 2.0 * i).alias("x"), F.get("payoffs", F.lit(i)).alias("payoff")) for i in range(GRID)])
+    return payoffs(spark, d).select("trade", F.inline(points))
 
 
 @query("strategy_extremes", f"""WITH {LEGS_SQL}, g AS (SELECT trade, x, sum(side * (CASE WHEN is_call THEN greatest(x - strike, 0) ELSE greatest(strike - x, 0) END - premium)) AS p
 FROM legs CROSS JOIN (SELECT 60 + 2.0::DOUBLE * unnest(range(0, 41)) AS x) GROUP BY 1, 2), l AS (SELECT *, lag(p) OVER (PARTITION BY trade ORDER BY x) AS p0 FROM g)
 SELECT trade, round(max(p), 6) AS best, round(greatest(-min(p), 0), 6) AS at_risk, count(*) FILTER (p0 * p < 0) AS break_evens FROM l GROUP BY 1""")
 def strategy_extremes(spark: SparkSession, d: str) -> DataFrame:
-    p0 = F.lag("payoff").over(Window.partitionBy("trade").orderBy("x"))
-    g = payoff_grid(spark, d).withColumn("p0", p0)
-    return g.groupBy("trade").agg(F.round(F.max("payoff"), 6).alias("best"), F.round(F.greatest(-F.min("payoff"), F.lit(0.0)), 6).alias("at_risk"), F.count_if(F.col("p0") * F.col("payoff") < 0).alias("break_evens"))
+    p = F.col("payoffs")
+    turns = F.filter(F.sequence(F.lit(1), F.lit(GRID - 1)), lambda i: F.get(p, i - 1) * F.get(p, i) < 0)
+    best, worst = F.array_max(p), F.greatest(-F.array_min(p), F.lit(0.0))
+    return payoffs(spark, d).select("trade", F.round(best, 6).alias("best"), F.round(worst, 6).alias("at_risk"), F.size(turns).cast("long").alias("break_evens"))
 
 
 @query("strategy_mark", f"""WITH {LEGS_SQL}, q AS (SELECT DISTINCT p_size AS k, first_value(p_retailprice) OVER (PARTITION BY p_size ORDER BY p_partkey) / 1000 AS bid FROM part), m AS (SELECT trade, side, premium, bid FROM legs LEFT JOIN q ON k = strike - 79)

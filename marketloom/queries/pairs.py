@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import engle_granger_p, engle_granger_p_sql
 from ..operators.fdr import benjamini_hochberg
+from ..operators.ordered import top_per_group
 from ..operators.pair_blocks import pair_statistics
 from ..registry import query
 from ..sources.shared import cut_lineage
-from ..sources.tables import MONTHLY_SQL, monthly_prices, table
+from ..sources.tables import MONTHLY_SQL, WEEKLY_SQL, monthly_prices, table, weekly_prices
 
-FORMATION = 60
+#: The surveyed windows: observations of a screen, and of a z-score.
+FORMATION, Z_WINDOW = 250, 60
 
-PAIR_SQL = f"""{MONTHLY_SQL}, tk AS (SELECT DISTINCT ticker FROM monthly), ids AS (SELECT a.ticker AS a, b.ticker AS b FROM tk a JOIN tk b ON a.ticker < b.ticker),
-al AS (SELECT i.a, i.b, x.d, ln(x.close) AS la, ln(y.close) AS lb, row_number() OVER (PARTITION BY i.a, i.b ORDER BY x.d DESC) AS back FROM ids i JOIN monthly x ON x.ticker = i.a JOIN monthly y ON y.ticker = i.b AND y.d = x.d),
+PAIR_SQL = f"""{WEEKLY_SQL}, tk AS (SELECT DISTINCT ticker FROM weekly), ids AS (SELECT a.ticker AS a, b.ticker AS b FROM tk a JOIN tk b ON a.ticker < b.ticker),
+al AS (SELECT i.a, i.b, x.d, ln(x.close) AS la, ln(y.close) AS lb, row_number() OVER (PARTITION BY i.a, i.b ORDER BY x.d DESC) AS back FROM ids i JOIN weekly x ON x.ticker = i.a JOIN weekly y ON y.ticker = i.b AND y.d = x.d),
 form AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY d) AS t FROM al WHERE back <= {FORMATION}),
 fit AS (SELECT a, b, regr_slope(la, lb) AS beta, regr_intercept(la, lb) AS alpha, corr(la, lb) AS cor, count(*) AS n FROM form GROUP BY 1, 2 HAVING count(*) = {FORMATION}),
 spread AS (SELECT f.a, f.b, d, t, la, lb, la - alpha - beta * lb AS s, beta, alpha FROM form f JOIN fit USING (a, b)),
@@ -24,8 +26,8 @@ lagged AS (SELECT *, lag(s) OVER w AS s1, s - lag(s) OVER w AS ds, lag(s) OVER w
 
 def screened(spark: SparkSession, d: str, *, series: bool = False) -> DataFrame:
     """Statistics of every pair of tickers over its last common observations, by pairs of blocks of tickers."""
-    closes = monthly_prices(spark, d).select("ticker", "d", F.ln("close").alias("x"))
-    return pair_statistics(closes, formation=FORMATION, series=series)
+    closes = weekly_prices(spark, d).select("ticker", "d", F.ln("close").alias("x"))
+    return pair_statistics(closes, formation=FORMATION, window=Z_WINDOW, series=series)
 
 
 @query("pair_regression", f"WITH {PAIR_SQL} SELECT a, b, round(beta, 6) AS beta, round(alpha, 6) AS alpha, round(cor, 6) AS cor FROM fit")
@@ -33,8 +35,8 @@ def regression(spark: SparkSession, d: str) -> DataFrame:
     return screened(spark, d).select("a", "b", *[F.round(c, 6).alias(c) for c in ("beta", "alpha", "cor")])
 
 
-@query("pair_spread_z", f"""WITH {PAIR_SQL} SELECT a, b, d, round(CASE WHEN count(s) OVER w = 20 THEN (s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0) END, 5) AS z FROM spread
-WINDOW w AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+@query("pair_spread_z", f"""WITH {PAIR_SQL} SELECT a, b, d, round(CASE WHEN count(s) OVER w = {Z_WINDOW} THEN (s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0) END, 5) AS z FROM spread
+WINDOW w AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN {Z_WINDOW - 1} PRECEDING AND CURRENT ROW)""")
 def spread_z(spark: SparkSession, d: str) -> DataFrame:
     rows = screened(spark, d, series=True).select("a", "b", F.inline(F.arrays_zip("d", F.col("zs").alias("z"))))
     return rows.select("a", "b", "d", F.round("z", 5).alias("z"))
@@ -110,9 +112,9 @@ def topn_union(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("k", k).where("k <= 200").select("a", "b", F.round("p", 6).alias("p")).distinct()
 
 
-@query("pair_entry_events", f"""WITH {PAIR_SQL}, z AS (SELECT a, b, t, (s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0) AS z, count(s) OVER w AS n FROM spread WINDOW w AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-c AS (SELECT *, lag(CASE WHEN n = 20 THEN z END) OVER (PARTITION BY a, b ORDER BY t) AS z1 FROM z)
-SELECT a, b, min(t) AS first_entry, round(arg_min(z, t), 5) AS z FROM c WHERE abs(z1) < 2 AND abs(z) >= 2 GROUP BY 1, 2""")
+@query("pair_entry_events", f"""WITH {PAIR_SQL}, z AS (SELECT a, b, t, (s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0) AS z, count(s) OVER w AS n FROM spread WINDOW w AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN {Z_WINDOW - 1} PRECEDING AND CURRENT ROW)),
+c AS (SELECT *, lag(CASE WHEN n = {Z_WINDOW} THEN z END) OVER (PARTITION BY a, b ORDER BY t) AS z1 FROM z)
+SELECT a, b, min(t) AS first_entry, round(arg_min(z, t), 5) AS z FROM c WHERE n = {Z_WINDOW} AND abs(z1) < 2 AND abs(z) >= 2 GROUP BY 1, 2""")
 def entry_events(spark: SparkSession, d: str) -> DataFrame:
     met = screened(spark, d).where("first_entry IS NOT NULL")
     return met.select("a", "b", "first_entry", F.round("first_z", 5).alias("z"))
@@ -126,10 +128,16 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
     return screened(spark, d).select("a", "b", F.round(-F.col("s") / scale, 6).alias("move_a"), F.round(F.col("beta") * F.col("s") / scale, 6).alias("move_b"), F.round(back, 5).alias("convergence"))
 
 
-@query("indexed_series", f"WITH {MONTHLY_SQL} SELECT ticker, d, round(close / first_value(close) OVER (PARTITION BY ticker ORDER BY d) * 100, 5) AS idx FROM monthly")
+#: Observations of a chart.
+CHART = 126
+
+
+@query("indexed_series", f"WITH {WEEKLY_SQL}, last AS (SELECT * FROM weekly QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY d DESC) <= {CHART}) SELECT ticker, d, round(close / first_value(close) OVER (PARTITION BY ticker ORDER BY d) * 100, 5) AS idx FROM last")
 def indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The last 126 closes, the first of them as 100."""
+    last = top_per_group(weekly_prices(spark, d), ["ticker"], [F.desc("d")], CHART)
     w = Window.partitionBy("ticker").orderBy("d")
-    return monthly_prices(spark, d).select("ticker", "d", F.round(F.col("close") / F.first("close").over(w) * 100, 5).alias("idx"))
+    return last.select("ticker", "d", F.round(F.col("close") / F.first("close").over(w) * 100, 5).alias("idx"))
 
 
 @query("median_traded_value", f"WITH {MONTHLY_SQL} SELECT ticker, round(quantile_cont(close * volume, 0.5), 4) AS median_value FROM (SELECT * FROM monthly QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY d DESC) <= 60) GROUP BY 1")

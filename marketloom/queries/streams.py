@@ -55,7 +55,7 @@ def stream_marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Micro-batches of the replays below.
-BATCHES = 5
+BATCHES = 3
 
 
 def replayed(spark: SparkSession, d: str, work: str) -> DataFrame:
