@@ -31,17 +31,34 @@ def yoy(current: Column, previous: Column) -> Column:
     return ratio(current - previous, F.abs(previous)) * 100
 
 
-# Abramowitz and Stegun 7.1.26.
-ERF_P = 0.3275911
-ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+# W. J. Cody's rational approximations of the error function, near zero and beyond.
+ERF_NEAR = 0.46875
+ERF_A = (3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03, 1.85777706184603153e-1)
+ERF_B = (2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03)
+ERF_C = (
+    5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e01, 2.98635138197400131e02, 8.81952221241769090e02,
+    1.71204761263407058e03, 2.05107837782607147e03, 1.23033935479799725e03, 2.15311535474403846e-8,
+)
+ERF_D = (
+    1.57449261107098347e01, 1.17693950891312499e02, 5.37181101862009858e02, 1.62138957456669019e03, 3.29079923573345963e03,
+    4.36261909014324716e03, 3.43936767414372164e03, 1.23033935480374942e03,
+)
+
+
+def _rational(x: Column, above: tuple[float, ...], below: tuple[float, ...]) -> Column:
+    """above[-1] leads the numerator's polynomial, one the denominator's."""
+    top, bottom = F.lit(above[-1]) * x, x
+    for p, q in zip(above[:-2], below[:-1], strict=True):
+        top, bottom = (top + p) * x, (bottom + q) * x
+    return (top + above[-2]) / (bottom + below[-1])
 
 
 def erf(x: Column) -> Column:
-    t = 1 / (1 + ERF_P * F.abs(x))
-    poly = F.lit(ERF_A[4])
-    for a in reversed(ERF_A[:4]):
-        poly = poly * t + a
-    return F.signum(x) * (1 - poly * t * F.exp(-x * x))
+    """The error function, within 1e-15 of its value."""
+    a = F.abs(x)
+    near = x * _rational(x * x, ERF_A, ERF_B)
+    far = F.signum(x) * (1 - F.exp(-x * x) * _rational(F.least(a, F.lit(6.0)), ERF_C, ERF_D))
+    return F.when(a <= ERF_NEAR, near).when(a < 6, far).otherwise(F.signum(x))
 
 
 def norm_cdf(x: Column) -> Column:
@@ -52,16 +69,11 @@ def norm_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / 2.5066282746310002
 
 
-def erf_sql(x: str) -> str:
-    t = f"(1 / (1 + {ERF_P} * abs({x})))"
-    poly = f"{ERF_A[4]}::DOUBLE"
-    for a in reversed(ERF_A[:4]):
-        poly = f"({poly} * {t} + ({a}))"
-    return f"(sign({x}) * (1 - {poly} * {t} * exp(-({x}) * ({x}))))"
-
-
 def norm_cdf_sql(x: str) -> str:
-    return f"(0.5 * (1 + {erf_sql(f'(({x}) / 1.4142135623730951)')}))"
+    """By its power series x + x^3 / 3 + x^5 / (3 * 5) + ..., which shares nothing with ``norm_cdf``."""
+    term = "exp((2 * k + 1) * ln(greatest(abs(v), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))"
+    series = f"0.5 + sign(v) * exp(-v * v / 2) / 2.5066282746310002 * list_sum(list_transform(range(0, 150), lambda k: {term}))"
+    return f"(list_transform([({x})::DOUBLE], lambda v: CASE WHEN v > 8.4 THEN 1.0 WHEN v < -8.4 THEN 0.0 WHEN v IS NOT NULL THEN {series} END)[1])"
 
 
 def norm_pdf_sql(x: str) -> str:

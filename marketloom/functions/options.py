@@ -40,19 +40,45 @@ def prob_above(s: Column, k: Column, t: Column, r: Column, v: Column) -> Column:
     return norm_cdf(d1(s, k, t, r, v) - v * F.sqrt(t))
 
 
-def implied_vol(premium: Column, s: Column, k: Column, t: Column, r: Column, call: Column, steps: int = 70) -> Column:
-    """Volatility in [0.005, 5] by bisection, a fold of ``steps`` halvings; null outside the bounds."""
-    low, high = F.lit(0.005), F.lit(5.0)
-    at = lambda v: price(s, k, t, r, v, call)
+# Volatilities between which a quote is inverted, percents that count, and what a quote may lie below its bound.
+LOW_VOL, HIGH_VOL, LEAST_PERCENT, MOST_PERCENT, SLACK, HALVINGS = 0.005, 5.0, 1.0, 250.0, 0.05, 70
+
+
+def implied_vol(premium: Column, s: Column, k: Column, t: Column, r: Column, call: Column, steps: int = HALVINGS) -> Column:
+    """Volatility by bisection, a fold of ``steps`` halvings.
+
+    Null where the quote doesn't tell it: not positive, under its intrinsic value or the price at ``LOW_VOL`` by more than ``SLACK``, at or over what the
+    option can be worth, over the price at ``HIGH_VOL``, or a result outside of ``LEAST_PERCENT`` to ``MOST_PERCENT``.
+    """
+    low, high = F.lit(LOW_VOL), F.lit(HIGH_VOL)
     start = F.struct(low.alias("lo"), high.alias("hi"))
+    bond = k * F.exp(-r * t)
+    sign = F.when(call, 1.0).otherwise(-1.0)
+    # folds run without common subexpressions: a one-element transform works its argument out once
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def at(v: Column) -> Column:
+        spread = v * F.sqrt(t)
+        first = F.ln(s / k) / spread + (r * t) / spread + spread / 2
+        return once(F.struct(first.alias("a"), spread.alias("w"), sign.alias("g")), lambda x: x["g"] * (s * once(x["g"] * x["a"], norm_cdf) - bond * once(x["g"] * (x["a"] - x["w"]), norm_cdf)))
+
+    intrinsic = F.greatest(F.lit(0.0), F.when(call, s - bond).otherwise(bond - s))
 
     def halve(b: Column, _: Column) -> Column:
-        m = (b["lo"] + b["hi"]) / 2
-        above = at(m) > premium
-        return F.struct(F.when(above, b["lo"]).otherwise(m).alias("lo"), F.when(above, m).otherwise(b["hi"]).alias("hi"))
+        return once((b["lo"] + b["hi"]) / 2, lambda m: F.when(at(m) < premium, F.struct(m.alias("lo"), b["hi"].alias("hi"))).otherwise(F.struct(b["lo"].alias("lo"), m.alias("hi"))))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda b: (b["lo"] + b["hi"]) / 2)
-    return F.when((premium >= at(low)) & (premium <= at(high)), found)
+    told = (F.least(premium, s, k, t) > 0) & (premium >= intrinsic - SLACK) & (premium < F.when(call, s).otherwise(bond)) & (premium >= at(low) - SLACK) & (premium <= at(high))
+    return F.when(told, F.when((found * 100 >= LEAST_PERCENT) & (found * 100 <= MOST_PERCENT), found))
+
+
+def implied_sql(source: str, keep: str) -> str:
+    """CTEs (recursive) that invert ``premium`` of the rows of ``source``, told apart by id; ``implied`` has id, ``keep`` and vol."""
+    at = lambda v: price_sql("s", "strike", "t", "r", v, "sg")
+    return f"""bisect AS (SELECT *, {LOW_VOL}::DOUBLE AS lo, {HIGH_VOL}::DOUBLE AS hi, 0 AS step, greatest(0, sg * (s - strike * exp(-r * t))) AS intrinsic, {at(LOW_VOL)} AS cheapest, {at(HIGH_VOL)} AS dearest FROM {source}
+ UNION ALL SELECT * EXCLUDE (under) REPLACE (CASE WHEN under THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN under THEN hi ELSE (lo + hi) / 2 END AS hi, step + 1 AS step) FROM (SELECT *, {at('((lo + hi) / 2)')} < premium AS under FROM bisect WHERE step < {HALVINGS})),
+implied AS (SELECT id, {keep}, CASE WHEN premium > 0 AND s > 0 AND strike > 0 AND t > 0 AND premium >= intrinsic - {SLACK} AND premium < CASE WHEN sg > 0 THEN s ELSE strike * exp(-r * t) END AND premium >= cheapest - {SLACK} AND premium <= dearest
+ AND (lo + hi) * 50 BETWEEN {LEAST_PERCENT} AND {MOST_PERCENT} THEN (lo + hi) / 2 END AS vol FROM bisect WHERE step = {HALVINGS})"""
 
 
 def d1_sql(s: str, k: str, t: str, r: str, v: str) -> str:
@@ -64,4 +90,4 @@ def price_sql(s: str, k: str, t: str, r: str, v: str, sign: str) -> str:
     return f"({sign} * ({s} * {norm_cdf_sql(f'{sign} * {a}')} - {k} * exp(-{r} * {t}) * {norm_cdf_sql(f'{sign} * ({a} - {v} * sqrt({t}))')}))"
 
 
-__all__ = ["d1", "d1_sql", "greeks", "implied_vol", "norm_pdf_sql", "price", "price_sql", "prob_above"]
+__all__ = ["d1", "d1_sql", "greeks", "implied_sql", "implied_vol", "norm_pdf_sql", "price", "price_sql", "prob_above"]

@@ -55,3 +55,29 @@ def first_words(text: Column, n: int) -> Column:
     """The first n words, with an ellipsis if there are more."""
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     return F.concat(F.array_join(F.slice(words, 1, n), " "), F.when(F.size(words) > n, "…").otherwise(""))
+
+
+#: Marks that a clipped text doesn't end with (fixed values), and how much of a text and of a line is kept.
+_TAIL = " ,;:-"
+CLIP, LINE, LINE_WORDS, LINES = 800, 500, 24, 3
+
+
+def clipped(text: Column, width: int) -> Column:
+    """White space as single blanks, and at most ``width`` characters: cut after a whole word, with an ellipsis, if there were more."""
+    flat = F.btrim(F.regexp_replace(text, SPACE, " "), F.lit(" "))
+    head = F.regexp_replace(F.left(flat, F.lit(width + 1)), r" [^ ]*$", "")
+    return F.when(F.length(flat) <= width, flat).otherwise(F.concat(F.rtrim(head, F.lit(_TAIL)), F.lit("…")))
+
+
+def summary_line(text: Column) -> Column:
+    """A clipped text of at most ``LINE_WORDS`` words."""
+    line = clipped(text, LINE)
+    words = F.split(line, " ")
+    short = F.rtrim(F.array_join(F.slice(words, 1, LINE_WORDS), " "), F.lit(_TAIL + "."))
+    return F.when(F.size(words) <= LINE_WORDS, line).otherwise(F.concat(short, F.lit("…")))
+
+
+def first_sentences(text: Column) -> Column:
+    """The first ``LINES`` sentences of a clipped text as summary lines; they end at ., ! or ? before white space."""
+    parts = F.filter(F.split(clipped(text, CLIP), r"(?<=[.!?]) +"), lambda s: s != "")
+    return F.transform(F.slice(parts, 1, LINES), summary_line)

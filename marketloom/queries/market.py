@@ -10,7 +10,7 @@ from ..functions.numeric import yoy
 from ..registry import query
 from ..sources.tables import table
 from .facts import QUARTERS_SQL, YOY_SQL, quarters, year_before
-from .options import CHAIN_SQL, chain
+from .options import QUOTED_SQL, quoted
 from .pairs import LOTS_SQL, hedge_lots
 
 
@@ -205,17 +205,15 @@ def paper_mark(spark: SparkSession, d: str) -> DataFrame:
     return pair_mark(legs).select("a", "b", "long_pnl", "short_pnl", "total_pnl", "return_percent", "current_gross_notional")
 
 
-@query("leg_iv_reconstruction", f"WITH {CHAIN_SQL} SELECT id, round(vol * 100, 1) AS iv_percent, CASE WHEN id % 3 = 0 THEN 'saved' ELSE 'reconstructed' END AS iv_source FROM chain WHERE strike BETWEEN 90 AND 115")
+@query("leg_iv_reconstruction", f"""WITH RECURSIVE {QUOTED_SQL}, q AS (SELECT id, s, strike, t, r, sg, premium, CASE WHEN id % 3 = 0 THEN of_vol END AS saved FROM quoted), {opt.implied_sql('q', 'saved')}
+SELECT id, round(coalesce(saved, vol) * 100, 3) AS iv_percent, CASE WHEN saved IS NOT NULL THEN 'saved' WHEN vol IS NOT NULL THEN 'reconstructed' END AS iv_source FROM implied""")
 def leg_iv(spark: SparkSession, d: str) -> DataFrame:
-    """Saved volatilities stay; missing ones follow from the quote and the underlying that were saved with the mark.
-
-    Strikes far from the spot have quotes that no longer tell the volatility, so the comparison is on near ones.
-    """
+    """Saved volatilities stay; missing ones follow from the quote and the underlying that were saved with the mark, where these tell them."""
     s, k, t, r, v = (F.col(c) for c in ("s", "strike", "t", "r", "vol"))
-    legs = chain(spark, d).where(k.between(90, 115)).withColumns({"quote": opt.price(s, k, t, r, v, F.col("is_call")), "saved": F.when(F.col("id") % 3 == 0, v)})
-    found = opt.implied_vol(F.col("quote"), s, k, t, r, F.col("is_call"))
+    legs = quoted(spark, d).withColumn("saved", F.when(F.col("id") % 3 == 0, v))
+    found = opt.implied_vol(F.col("premium"), s, k, t, r, F.col("is_call"))
     source = F.when(F.col("saved").isNotNull(), "saved").when(found.isNotNull(), "reconstructed")
-    return legs.select("id", F.round(F.coalesce("saved", found) * 100, 1).alias("iv_percent"), source.alias("iv_source"))
+    return legs.select("id", F.round(F.coalesce("saved", found) * 100, 3).alias("iv_percent"), source.alias("iv_source"))
 
 
 @query("sd_quartiles", """WITH r AS (SELECT l_suppkey, l_discount - l_tax AS x FROM lineitem), s AS (SELECT l_suppkey, avg(x) AS m, stddev_samp(x) AS sd FROM r GROUP BY 1)

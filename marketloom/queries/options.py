@@ -50,12 +50,20 @@ def option_price(spark: SparkSession, d: str) -> DataFrame:
     return chain(spark, d).select("id", F.round(opt.price(*_args(), F.col("is_call")), 5).alias("price"), F.round(opt.prob_above(*_args()), 6).alias("prob_above"))
 
 
-@query("implied_volatility", f"WITH {CHAIN_SQL} SELECT id, round(vol, 3) AS implied FROM chain WHERE strike BETWEEN 90 AND 115")
+#: Quotes in whole cents, moved by up to 15 of them, so that some tell no volatility.
+QUOTED_SQL = f"""{CHAIN_SQL}, quoted AS (SELECT *, greatest(0, floor({opt.price_sql('s', 'strike', 't', 'r', 'vol', 'sg')} * 100 + 1e-6) / 100 + (id % 7 - 3) * 0.05::DOUBLE) AS premium, vol AS of_vol FROM chain)"""
+
+
+def quoted(spark: SparkSession, d: str) -> DataFrame:
+    cents = F.floor(opt.price(*_args(), F.col("is_call")) * 100 + 1e-6) / 100
+    return chain(spark, d).withColumn("premium", F.greatest(F.lit(0.0), cents + (F.col("id") % 7 - 3) * 0.05))
+
+
+@query("implied_volatility", f"WITH RECURSIVE {QUOTED_SQL}, q AS (SELECT id, s, strike, t, r, sg, premium FROM quoted), {opt.implied_sql('q', 'premium')} SELECT id, round(vol, 5) AS implied FROM implied")
 def implied(spark: SparkSession, d: str) -> DataFrame:
-    """Inverts the model's own price, so the volatility comes back."""
-    near = chain(spark, d).where(F.col("strike").between(90, 115)).withColumn("premium", opt.price(*_args(), F.col("is_call")))
+    """The volatility of every quote, null where the quote doesn't tell it."""
     s, k, t, r, _ = _args()
-    return near.select("id", F.round(opt.implied_vol(F.col("premium"), s, k, t, r, F.col("is_call")), 3).alias("implied"))
+    return quoted(spark, d).select("id", F.round(opt.implied_vol(F.col("premium"), s, k, t, r, F.col("is_call")), 5).alias("implied"))
 
 
 @query("oi_summary", """WITH o AS (SELECT p_brand AS symbol, p_partkey % 2 = 0 AS is_call, l_quantity AS oi, CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END AS change FROM lineitem JOIN part ON l_partkey = p_partkey),

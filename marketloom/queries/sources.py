@@ -10,6 +10,7 @@ from ..operators.ordered import top_per_group
 from ..operators.tolerance import first_within, within
 from ..registry import query
 from ..sources import shapes
+from ..sources.shared import new_folder
 from ..sources.tables import CANDLES_SQL, COMPANIES_SQL, candles, companies, table
 
 
@@ -85,6 +86,26 @@ def strike_lookup(spark: SparkSession, d: str) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("id"), k.alias("k")).join(quotes, "k").select("id", "quote")
 
 
+@query("csv_round_trip", f"WITH {COMPANIES_SQL} SELECT company_id, name, sector, round(market_cap / 1e6, 9) AS millions FROM companies WHERE company_id % 9 > 0")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A statement in millions, exported as headed CSV to the shared folder and read back with a fixed schema; rows without an id are left out there."""
+    path = new_folder(spark, "csv")
+    rows = companies(spark, d).select(F.when(F.col("company_id") % 9 > 0, F.col("company_id")).alias("company_id"), F.concat(F.lit("  "), "name", F.lit(" ")).alias("name"), "sector", F.col("market_cap").alias("millions"))
+    shapes.write_csv(shapes.scaled_statement(rows, "millions", crore=False), path)
+    back = shapes.read_csv(spark, path, "company_id LONG, name STRING, sector STRING, millions DOUBLE", {"company_id", "name"})
+    return back.where("company_id IS NOT NULL").select("company_id", "name", "sector", F.round("millions", 9).alias("millions"))
+
+
+@query("json_round_trip", f"WITH {COMPANIES_SQL} SELECT sector, count(*) AS n, list(ticker ORDER BY ticker)::VARCHAR[] AS tickers, round(sum(market_cap), 2) AS total FROM companies GROUP BY 1")
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Reports with nested lists, exported as lines of JSON to the shared folder and read back."""
+    path = new_folder(spark, "json")
+    rows = companies(spark, d).groupBy("sector").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("ticker")).alias("tickers"), F.sum("market_cap").alias("total"))
+    shapes.write_json(rows, path)
+    back = spark.read.schema("sector STRING, n LONG, tickers ARRAY<STRING>, total DOUBLE").json(path)
+    return back.select("sector", "n", "tickers", F.round("total", 2).alias("total"))
+
+
 TOLERANCE = 0.01
 
 

@@ -47,6 +47,20 @@ def first_of_each(spark: SparkSession, d: str) -> DataFrame:
     return r.orderBy("position", "domain").limit(30).select("domain", "page_id", "position")
 
 
+_FLAT_SQL = "trim(regexp_replace(replace(replace(text, chr(133), ' '), chr(160), ' '), '[\\t-\\r\\x1c-\\x20]+', ' ', 'g'), ' ')"
+_SENTENCE_SQL = f"""c AS (SELECT doc_id, f, CASE WHEN length(f) <= {tx.CLIP} THEN f ELSE rtrim(regexp_replace(f[1:{tx.CLIP + 1}], ' [^ ]*$', ''), ' ,;:-') || '…' END AS t FROM (SELECT doc_id, {_FLAT_SQL} AS f FROM documents)),
+p AS (SELECT doc_id, length(f) > {tx.CLIP} AS cut, list_filter(string_split(regexp_replace(t, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')[1:{tx.LINES}] AS parts FROM c),
+l AS (SELECT doc_id, cut, list_transform(parts, lambda x: CASE WHEN length(x) <= {tx.LINE} THEN x ELSE rtrim(regexp_replace(x[1:{tx.LINE + 1}], ' [^ ]*$', ''), ' ,;:-') || '…' END) AS ls FROM p)"""
+
+
+@query("fallback_lines", f"""WITH {_SENTENCE_SQL} SELECT doc_id, cut, list_transform(ls, lambda x: CASE WHEN len(string_split(x, ' ')) <= {tx.LINE_WORDS} THEN x ELSE rtrim(array_to_string(string_split(x, ' ')[1:{tx.LINE_WORDS}], ' '), ' ,;:-.') || '…' END) AS lines FROM l""")
+def fallback_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The first three sentences of every document as lines of at most 24 words, and whether its text was clipped."""
+    docs = table(spark, d, "documents")
+    flat = F.btrim(F.regexp_replace("text", tx.SPACE, " "), F.lit(" "))
+    return docs.select("doc_id", (F.length(flat) > tx.CLIP).alias("cut"), tx.first_sentences(F.col("text")).alias("lines"))
+
+
 NEWS_SQL = f"""{CANON_SQL}, n AS (SELECT page_id, domain, canonical, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1), ''), 'other') AS topic,
  trim(regexp_replace(lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '[^a-z0-9]+', ' ', 'g')) AS title FROM urls JOIN (SELECT page_id, html FROM pages) USING (page_id)),
 o AS (SELECT *, row_number() OVER (ORDER BY position, topic) AS k FROM (SELECT n.*, row_number() OVER (PARTITION BY topic ORDER BY page_id) AS position FROM n)),

@@ -85,7 +85,7 @@ def test_greeks_of_known_values(spark):
     row = one.select(*[c.alias(n) for n, c in opt.greeks(*args, F.lit(True)).items()]).first()
     assert (row.delta, row.gamma, row.vega, row.rho) == pytest.approx((0.636831, 0.018762, 0.37524, 0.532325), abs=1e-5)
     back = one.select(opt.implied_vol(opt.price(*args, F.lit(False)), *args[:4], F.lit(False)).alias("v"), norm_cdf(F.lit(1.0)).alias("n")).first()
-    assert back.v == pytest.approx(0.2, abs=1e-6) and back.n == pytest.approx(0.5 * (1 + math.erf(1 / math.sqrt(2))), abs=2e-7)
+    assert back.v == pytest.approx(0.2, abs=1e-6) and back.n == pytest.approx(0.5 * (1 + math.erf(1 / math.sqrt(2))), abs=1e-14)
 
 
 def test_filters_keep_what_is_not_verified(spark):
