@@ -69,8 +69,9 @@ def whole(spark, tmp_path_factory):
         ("tenor_interpolation", "symbol", 60),
         ("expiry_common_nearest", "left_id", 59),
         ("isotonic_exceedance", "x", 45),
-        ("yeo_johnson_walk", "d", 450 - 1 - 60),
-        ("ewm_std_21", "d", 450),
+        ("ewm_std_21", "symbol", 60),
+        ("backtest_metrics", "symbol", 60),
+        ("backtest_grid", "symbol", 60),
     ],
 )
 def test_no_key_is_left_out(spark, whole, name, key, n):
@@ -78,11 +79,28 @@ def test_no_key_is_left_out(spark, whole, name, key, n):
 
 
 def test_ewm_std_of_every_day_equals_its_definition(spark, whole):
+    """Each supplier by itself."""
     pd = pytest.importorskip("pandas")
-    x = pd.Series([math.log(100.0 + k % 7) for k in range(450)])
-    got = [r.ewm_std for r in QUERIES["ewm_std_21"](spark, whole).orderBy("d").collect()]
-    want = x.ewm(span=21, adjust=False, min_periods=21).std().tolist()
-    assert got[:20] == [None] * 20 and got[20:] == pytest.approx(want[20:], abs=2e-6)
+    got = {}
+    for r in QUERIES["ewm_std_21"](spark, whole).orderBy("d").collect():
+        got.setdefault(r.symbol, []).append(r.ewm_std)
+    assert len(got) == 60
+    for s, found in got.items():
+        x = pd.Series([math.log(100 * ((100.0 + s) / (1.0 + k % 5) / 1000) ** 0.05) for k in range(60)])
+        want = x.ewm(span=21, adjust=False, min_periods=21).std().tolist()
+        assert found[:20] == [None] * 20 and found[20:] == pytest.approx(want[20:], abs=2e-6)
+
+
+def test_walks_of_every_symbol_begin_after_504_returns(spark, tmp_path):
+    rng = random.Random(2)
+    days = [dt.date(1992, 1, 1) + dt.timedelta(days=k) for k in range(520)]
+    items = [(s, day, 100.0 * rng.uniform(0.5, 2), 1.0) for s in (1, 2, 3) for day in (days if s < 3 else days[:505])]
+    spark.createDataFrame(items, "l_suppkey long, l_shipdate date, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {}
+    for r in QUERIES["yeo_johnson_walk"](spark, str(tmp_path)).collect():
+        assert 0 < r.p < 1
+        got.setdefault(r.symbol, []).append(r.d)
+    assert {s: sorted(v) for s, v in got.items()} == {str(s): days[505:] for s in (1, 2)}
 
 
 def test_texts_of_any_script_are_clipped_and_keyed(spark, tmp_path):
