@@ -9,8 +9,10 @@ from ..functions import options as opt
 from ..functions.numeric import norm_cdf_sql
 from ..operators import curves
 from ..operators import distribution as dist
+from ..operators import iv_surface as ivs
 from ..registry import query
 from ..sources.tables import table
+from .options import CHAIN_SQL, chain
 
 QUOTES_SQL = """traded AS (SELECT l_partkey AS id, sum(CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN l_quantity ELSE 0 END)::DOUBLE AS volume,
  sum(CASE WHEN l_linenumber = 2 AND l_returnflag = 'A' THEN l_quantity ELSE 0 END)::DOUBLE AS oi FROM lineitem GROUP BY 1),
@@ -110,3 +112,28 @@ def monotone_exceedance(spark: SparkSession, d: str) -> DataFrame:
     points = rows.select("symbol", F.inline(F.arrays_zip(F.col("strikes").alias("x"), F.col("above").alias("y"))))
     curve = curves.monotone_curve(points, "symbol")
     return curve.select("symbol", "i", F.round("x", 4).alias("price"), F.round(100 * F.col("y"), 5).alias("percent"))
+
+
+SURFACE_SQL = f"""{CHAIN_SQL}, w AS (SELECT id, symbol, strike, sg, is_call, 100.0::DOUBLE AS s, [9, 40, 100, 160][(id // 2 % 4 + 1)::INT] AS days, id % 3 AS volume, id % 5 AS oi, vol AS of_vol FROM chain),
+w2 AS (SELECT *, days / {ivs.YEAR}::DOUBLE AS t, {ivs.RATE}::DOUBLE AS r FROM w),
+q AS (SELECT id, s, strike, t, r, sg, floor({opt.price_sql('s', 'strike', 't', 'r', 'of_vol', 'sg')} * 100 + 1e-6) / 100 AS premium, symbol, is_call, days, (volume + oi)::DOUBLE AS liquid FROM w2
+ WHERE days BETWEEN {ivs.LEAST_DAYS} AND {ivs.MOST_DAYS} AND volume + oi > 0 AND CASE WHEN is_call THEN strike >= {ivs.CALL_FROM} * s ELSE strike <= {ivs.PUT_TO} * s END),
+{opt.implied_sql('q', 'symbol, is_call, days, liquid, s, strike, t, r')},
+dl AS (SELECT *, abs({norm_cdf_sql(opt.d1_sql('s', 'strike', 't', 'r', 'vol'))} - CASE WHEN is_call THEN 0 ELSE 1 END) AS delta FROM implied WHERE vol IS NOT NULL),
+b AS (SELECT symbol, days, count(*) AS n, {", ".join(f"CASE WHEN min(round(abs(delta - {x}), 9)) FILTER ({'is_call' if call else 'NOT is_call'} AND delta BETWEEN {ivs.LEAST_DELTA} AND {ivs.MOST_DELTA}) <= {ivs.NEAREST} THEN 100 * arg_min(vol, (round(abs(delta - {x}), 9), -liquid, id)) FILTER ({'is_call' if call else 'NOT is_call'} AND delta BETWEEN {ivs.LEAST_DELTA} AND {ivs.MOST_DELTA}) END AS {name}" for name, call, x in ivs.BUCKETS)} FROM dl GROUP BY 1, 2),
+sm AS (SELECT symbol, days, unnest([0, 1, 2, 3, 4]) AS j, unnest([put_10, put_25, CASE WHEN put_50 IS NULL THEN call_50 WHEN call_50 IS NULL THEN put_50 ELSE (put_50 + call_50) / 2 END, call_25, call_10]) AS v FROM b
+ WHERE n >= {ivs.LEAST_QUOTES} AND put_10 IS NOT NULL AND put_25 IS NOT NULL AND coalesce(put_50, call_50) IS NOT NULL AND call_25 IS NOT NULL AND call_10 IS NOT NULL),
+tn AS (SELECT symbol, j, i, x, max(days) FILTER (days <= x) AS a, arg_max(v, days) FILTER (days <= x) AS va, min(days) FILTER (days > x) AS c, arg_min(v, days) FILTER (days > x) AS vc, count(*) AS m
+ FROM sm CROSS JOIN (SELECT unnest(range({len(ivs.TENORS)})) AS i, unnest({list(ivs.TENORS)}::DOUBLE[]) AS x) GROUP BY ALL)"""
+
+
+@query("iv_surface_build", f"WITH RECURSIVE {SURFACE_SQL} SELECT symbol, 5 * i + j AS k, round(CASE WHEN a IS NULL THEN vc WHEN c IS NULL THEN va ELSE va + (vc - va) * (x - a) / (c - a) END, 5) AS iv FROM tn WHERE m >= {ivs.LEAST_EXPIRIES}")
+def iv_surface_build(spark: SparkSession, d: str) -> DataFrame:
+    """Surfaces of 4 tenors by 5 delta buckets from quotes in whole cents, of four expiries of which one is too far."""
+    day = F.lit("2024-01-01").cast("date")
+    rows = chain(spark, d).withColumns({"d": day, "expiry": F.date_add(day, F.get(F.array(*map(F.lit, (9, 40, 100, 160))), (F.floor(F.col("id") / 2) % 4).cast("int")))})
+    t = F.datediff("expiry", "d") / ivs.YEAR
+    cents = F.floor(opt.price(F.col("s"), F.col("strike"), t, F.lit(ivs.RATE), F.col("vol"), F.col("is_call")) * 100 + 1e-6) / 100
+    rows = rows.select("id", "symbol", "d", "expiry", "strike", "is_call", cents.alias("price"), F.col("s").alias("spot"), (F.col("id") % 3).cast("double").alias("volume"), (F.col("id") % 5).cast("double").alias("oi"))
+    out = ivs.surfaces(rows)
+    return out.select("symbol", F.posexplode_outer("values").alias("k", "iv")).select("symbol", F.col("k").cast("long").alias("k"), F.round("iv", 5).alias("iv"))
