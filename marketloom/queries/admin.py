@@ -172,3 +172,12 @@ def definitive(spark: SparkSession, d: str) -> DataFrame:
 def preserving_dedupe(spark: SparkSession, d: str) -> DataFrame:
     first = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("t"))
     return first.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("t", "role")))["role"], ",").alias("roles"))
+
+
+@query("worker_confidence", """WITH c AS (SELECT o_custkey, avg((o_orderstatus <> 'P')::INT) AS definitive, bool_or(o_orderkey % 29 = 0) AS timed_out FROM orders GROUP BY 1)
+SELECT c_custkey, round(coalesce(definitive, 1.0) * CASE WHEN timed_out THEN 0.7 ELSE 1.0 END, 6) AS confidence FROM customer LEFT JOIN c ON o_custkey = c_custkey""")
+def worker_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The share of conditions with an answer, times 0.7 after a timeout; 1 without conditions."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg((F.col("o_orderstatus") != "P").cast("int")).alias("definitive"), F.bool_or(F.col("o_orderkey") % 29 == 0).alias("timed_out"))
+    each = table(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left")
+    return each.select("c_custkey", F.round(F.coalesce("definitive", F.lit(1.0)) * F.when(F.col("timed_out"), 0.7).otherwise(1.0), 6).alias("confidence"))

@@ -6,7 +6,7 @@ are bounded (a few thousand).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
@@ -162,6 +162,38 @@ def bt_grid(spark: SparkSession, d: str) -> DataFrame:
     return out.select("symbol", "lookback", "threshold", F.round("r.total", 5).alias("total_return"), F.round("r.worst", 5).alias("max_drawdown"))
 
 
+def _versus(net: str, equity: str, drawdown: str) -> dict[str, Column]:
+    """The four measures that signal and benchmark are compared by."""
+    n, root = F.count(F.lit(1)), 252.0**0.5
+    down = F.sqrt(F.avg(F.pow(F.least(net, F.lit(0.0)), 2.0)))
+    return {"cagr": F.pow(F.max_by(equity, "d"), 252.0 / n) - 1, "sharpe": ratio(F.avg(net), F.stddev_samp(net)) * root, "sortino": ratio(F.avg(net) * 252, down * root), "drawdown": F.min(drawdown)}
+
+
+def _versus_sql(net: str, equity: str, drawdown: str, suffix: str) -> str:
+    return f"""pow(arg_max({equity}, d), 252.0 / count(*)) - 1 AS cagr{suffix}, avg({net}) / nullif(stddev_samp({net}), 0) * sqrt(252.0) AS sharpe{suffix},
+ avg({net}) * 252 / nullif(sqrt(avg(pow(least({net}, 0), 2))) * sqrt(252.0), 0) AS sortino{suffix}, min({drawdown}) AS drawdown{suffix}"""
+
+
+MEASURES = ("cagr", "sharpe", "sortino", "drawdown")
+
+
+@query("cross_market_report", f"""WITH {BT_SQL}, hold AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY d ROWS UNBOUNDED PRECEDING)) AS held FROM bt), h2 AS (SELECT *, held / max(held) OVER (PARTITION BY symbol ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS fall FROM hold),
+m AS (SELECT symbol, {_versus_sql('net', 'equity', 'drawdown', '')}, {_versus_sql('ret', 'held', 'fall', '_b')} FROM h2 GROUP BY 1), v AS (SELECT symbol % 5 AS market, {', '.join(f'{c} - {c}_b AS {c}_delta' for c in MEASURES)} FROM m)
+SELECT market, count(*) AS n, {', '.join(f'round(avg(coalesce({c}_delta > 0, false)::INT), 6) AS {c}_win_rate, round(quantile_cont({c}_delta, 0.5), 5) AS median_{c}_delta' for c in MEASURES)} FROM v GROUP BY 1""")
+def cross_market_report(spark: SparkSession, d: str) -> DataFrame:
+    """By market: how often the signal beats holding, and by how much at the median."""
+    upto = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    df = tested(spark, d).withColumn("held", F.exp(F.sum(F.ln(1 + F.col("ret"))).over(upto)))
+    df = df.withColumn("fall", F.col("held") / F.max("held").over(upto) - 1)
+    own, bench = _versus("net", "equity", "drawdown"), _versus("ret", "held", "fall")
+    deltas = df.groupBy("symbol").agg(*[(own[c] - bench[c]).alias(f"{c}_delta") for c in MEASURES]).withColumn("market", F.col("symbol") % 5)
+    out = []
+    for c in MEASURES:
+        delta = F.col(f"{c}_delta")
+        out += [F.round(F.avg(F.coalesce(delta > 0, F.lit(False)).cast("int")), 6).alias(f"{c}_win_rate"), F.round(F.percentile(delta, F.lit(0.5)), 5).alias(f"median_{c}_delta")]
+    return deltas.groupBy("market").agg(F.count(F.lit(1)).alias("n"), *out)
+
+
 @query("expanding_quantile_cutoff", f"WITH {REG_SQL} SELECT symbol, d, round(CASE WHEN count(score) OVER p >= {LEAST_HISTORY} THEN quantile_cont(score, 0.5) OVER p END, 5) + 0.0::DOUBLE AS cutoff FROM scored WINDOW p AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def expanding(spark: SparkSession, d: str) -> DataFrame:
     p = by_symbol().rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import options as opt
-from ..functions.numeric import yoy
+from ..functions.numeric import ratio, yoy
 from ..registry import query
 from ..sources.tables import table
 from .facts import QUARTERS_SQL, YOY_SQL, quarters, year_before
@@ -225,3 +225,65 @@ def sd_quartiles(spark: SparkSession, d: str) -> DataFrame:
     g = r.join(s, "l_suppkey").groupBy("l_suppkey").agg(F.first("p").alias("p"), F.avg(inside).alias("w"))
     near = lambda i: F.round(F.col("p")[i], 6) + 0.0
     return g.select("l_suppkey", near(0).alias("p25"), near(1).alias("p75"), F.round("w", 6).alias("within_3"))
+
+
+# Scored forecasts that a verdict needs, and the percents that it asks of variance, improvement and direction.
+EVIDENCE, VARIANCE, IMPROVEMENT, DIRECTION = 100, 95, 10, 55
+VERDICTS = ("Collecting evidence", "Review FPCA representation", "VAR is not adding value", "Promising forecasting edge", "Weak or inconclusive edge")
+
+
+def evaluation_report(records: DataFrame, group: str) -> DataFrame:
+    """By group: averages that skip nulls, improvement, win rate, covered symbols and a verdict.
+
+    records: ``group``, symbol, status (scored or pending), model_rmse, baseline_rmse, explained, reconstruction and direction.  Averages of a group
+    without values are null, as is the win rate without scored forecasts; a record without both errors is no win.
+    """
+    scored = F.col("status") == "scored"
+    of = lambda c: F.avg(F.when(scored, F.col(c)))
+    g = records.groupBy(group).agg(
+        F.count_if(scored).alias("scored"),
+        F.count_if(F.col("status") == "pending").alias("pending"),
+        F.count_distinct("symbol").alias("symbols"),
+        of("model_rmse").alias("model_rmse"),
+        of("baseline_rmse").alias("baseline_rmse"),
+        of("direction").alias("direction"),
+        F.avg("explained").alias("explained"),
+        F.avg("reconstruction").alias("reconstruction"),
+        F.count_if(scored & (F.col("model_rmse") < F.col("baseline_rmse"))).alias("wins"),
+    )
+    g = g.withColumn("improvement", ratio(F.col("baseline_rmse") - F.col("model_rmse"), F.col("baseline_rmse")) * 100)
+    edge = (F.col("improvement") >= IMPROVEMENT) & (F.coalesce("direction", F.lit(0.0)) >= DIRECTION)
+    rules = (F.col("scored") < EVIDENCE, F.col("explained") < VARIANCE, F.col("improvement") <= 0, edge)
+    verdict = F.lit(VERDICTS[-1])
+    for rule, name in reversed(list(zip(rules, VERDICTS, strict=False))):
+        verdict = F.when(rule, name).otherwise(verdict)
+    return g.withColumns({"win_rate": 100 * F.col("wins") / F.nullif("scored", F.lit(0)), "verdict": verdict}).drop("wins")
+
+
+RECORDS_SQL = """rec AS (SELECT l_suppkey AS symbol, s_nationkey AS market, date_trunc('month', l_shipdate) AS d, CASE WHEN count(*) >= 3 THEN 'scored' ELSE 'pending' END AS status, 100 * sqrt(avg(pow(l_tax - l_discount, 2))) AS model_rmse,
+ CASE WHEN l_suppkey % 13 > 0 THEN 100 * sqrt(avg(pow(l_quantity % 10 / 100 - l_discount, 2))) END AS baseline_rmse, 100 * avg((l_tax > l_discount)::INT) FILTER (l_quantity > 25) AS direction,
+ CASE WHEN l_suppkey % 7 > 0 THEN 91 + l_suppkey % 9 END::DOUBLE AS explained, 10 * avg(l_tax) AS reconstruction FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_suppkey, s_nationkey, date_trunc('month', l_shipdate))"""
+
+
+@query("iv_evaluation_report", f"""WITH {RECORDS_SQL}, g AS (SELECT market, count(*) FILTER (status = 'scored') AS scored, count(*) FILTER (status = 'pending') AS pending, count(DISTINCT symbol) AS symbols, avg(model_rmse) FILTER (status = 'scored') AS model_rmse,
+ avg(baseline_rmse) FILTER (status = 'scored') AS baseline_rmse, avg(direction) FILTER (status = 'scored') AS direction, avg(explained) AS explained, avg(reconstruction) AS reconstruction, count(*) FILTER (status = 'scored' AND model_rmse < baseline_rmse) AS wins FROM rec GROUP BY 1),
+i AS (SELECT *, (baseline_rmse - model_rmse) / nullif(baseline_rmse, 0) * 100 AS improvement FROM g)
+SELECT market, scored, pending, symbols, round(model_rmse, 5) AS model_rmse, round(baseline_rmse, 5) AS baseline_rmse, round(direction, 5) AS direction, round(explained, 5) AS explained, round(reconstruction, 5) AS reconstruction, round(improvement, 5) AS improvement,
+ round(100.0 * wins / nullif(scored, 0), 5) AS win_rate, CASE WHEN scored < {EVIDENCE} THEN '{VERDICTS[0]}' WHEN explained < {VARIANCE} THEN '{VERDICTS[1]}' WHEN improvement <= 0 THEN '{VERDICTS[2]}' WHEN improvement >= {IMPROVEMENT} AND coalesce(direction, 0) >= {DIRECTION} THEN '{VERDICTS[3]}' ELSE '{VERDICTS[4]}' END AS verdict FROM i""")
+def iv_evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly forecasts of every supplier, reported by nation."""
+    items, owner = table(spark, d, "lineitem"), table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_nationkey").alias("market"))
+    c, s = F.col, F.col("l_suppkey")
+    off = lambda x: 100 * F.sqrt(F.avg(F.pow(x - c("l_discount"), 2.0)))
+    g = items.groupBy(s.alias("symbol"), F.trunc("l_shipdate", "month").alias("d")).agg(
+        F.when(F.count(F.lit(1)) >= 3, "scored").otherwise("pending").alias("status"),
+        off(c("l_tax")).alias("model_rmse"),
+        off(c("l_quantity") % 10 / 100).alias("base"),
+        (100 * F.avg(F.when(c("l_quantity") > 25, (c("l_tax") > c("l_discount")).cast("int")))).alias("direction"),
+        (10 * F.avg("l_tax")).alias("reconstruction"),
+    )
+    k = c("symbol")
+    records = g.join(owner, "symbol").withColumns({"baseline_rmse": F.when(k % 13 > 0, c("base")), "explained": F.when(k % 7 > 0, 91 + k % 9).cast("double")})
+    out = evaluation_report(records, "market")
+    rounded = ("model_rmse", "baseline_rmse", "direction", "explained", "reconstruction", "improvement", "win_rate")
+    return out.select("market", "scored", "pending", "symbols", *[F.round(x, 5).alias(x) for x in rounded], "verdict")
