@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.shared import new_folder
-from ..sources.tables import table
+from ..sources.tables import nearest_second, table
 from ..streaming import live as lv
 from ..streaming import ticks as tk
 
@@ -121,6 +121,6 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 def sliding_rate(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    ev = table(spark, d, "events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
+    ev = table(spark, d, "events").select("user_id", "event_id", nearest_second(F.col("ts")).alias("s"))
     w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-86400, 0)
     return ev.select("user_id", "event_id", F.count(F.lit(1)).over(w).alias("in_a_day"))
