@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import latest_per_key
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import nearest_second, table
 
 MARKS_SQL = """raw AS (SELECT l_orderkey AS trade, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq,
   l_extendedprice / l_quantity AS price, l_discount AS p, (l_tax - 0.04) * 50 AS z FROM lineitem),
@@ -72,7 +72,7 @@ def thinning(spark: SparkSession, d: str) -> DataFrame:
 
     Equal seconds count once, so a user's array grows with the time covered and not with the rows.
     """
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    seconds = nearest_second(F.col("ts"))
     e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_set(seconds)).alias("t"))
     zero = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
 
