@@ -29,8 +29,15 @@ def near_candidates(k: DataFrame) -> DataFrame:
     return long.join(short, ["n", "i", "part"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_titles(k: DataFrame) -> DataFrame:
-    """(a, b) with a < b: the ids of k (page_id, title), of distinct titles that are not empty, that conflict."""
-    a, b = k.select(F.col("page_id").alias("a"), F.col("title").alias("ta")), k.select(F.col("page_id").alias("b"), F.col("title").alias("tb"))
-    ratio = 1 - F.levenshtein("ta", "tb") / F.greatest(F.length("ta"), F.length("tb")).cast("double")
+def near_titles(k: DataFrame, *, octets: bool = False) -> DataFrame:
+    """(a, b) with a < b: the ids of k (page_id, title), of distinct titles that are not empty, that conflict.
+
+    With ``octets`` edits are counted in UTF-8 bytes, lengths in characters still; candidates then meet on bytes, which allow no fewer edits.
+    """
+    size = F.length("title")
+    if octets:
+        k = k.select("page_id", size.alias("size"), F.decode(F.encode("title", "UTF-8"), "ISO-8859-1").alias("title"))
+        size = F.col("size")
+    a, b = (k.select(F.col("page_id").alias(x), F.col("title").alias(f"t{x}"), size.alias(f"n{x}")) for x in "ab")
+    ratio = 1 - F.levenshtein("ta", "tb") / F.greatest("na", "nb").cast("double")
     return near_candidates(k).join(a, "a").join(b, "b").where(ratio >= RATIO).select("a", "b")
