@@ -132,10 +132,10 @@ def two_leg(spark: SparkSession, d: str) -> DataFrame:
 
 @query("position_rejoin", f"WITH {COMPANIES_SQL}, r AS (SELECT company_id, row_number() OVER (PARTITION BY country ORDER BY company_id) - 1 AS position, country FROM companies) SELECT company_id, position FROM r WHERE position IN (0, 2)")
 def position_rejoin(spark: SparkSession, d: str) -> DataFrame:
-    """Model output by position joins its sources; positions out of range match nothing."""
+    """Model output by position joins its sources; a position that no table has (-1) matches nothing."""
     w = Window.partitionBy("country").orderBy("company_id")
     r = companies(spark, d).withColumn("position", F.row_number().over(w).cast("long") - 1)
-    wanted = spark.createDataFrame([(0,), (2,), (999,)], "position long")
+    wanted = spark.createDataFrame([(0,), (2,), (-1,)], "position long")
     return r.join(F.broadcast(wanted), "position").select("company_id", "position")
 
 
