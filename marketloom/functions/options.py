@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import norm_cdf, norm_cdf_sql, norm_pdf, norm_pdf_sql
+from .numeric import finite, norm_cdf, norm_cdf_array, norm_cdf_sql, norm_pdf, norm_pdf_sql
 
 
 def d1(s: Column, k: Column, t: Column, r: Column, v: Column) -> Column:
@@ -44,32 +46,40 @@ def prob_above(s: Column, k: Column, t: Column, r: Column, v: Column) -> Column:
 LOW_VOL, HIGH_VOL, LEAST_PERCENT, MOST_PERCENT, SLACK, HALVINGS = 0.005, 5.0, 1.0, 250.0, 0.05, 70
 
 
+def invert(premium: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, r: np.ndarray, sign: np.ndarray, steps: int) -> np.ndarray:
+    """Volatilities by ``steps`` halvings of all rows at once (sign: 1 for calls, -1 for puts); NaN where a quote doesn't tell one."""
+    with np.errstate(all="ignore"):
+        root, drift, bond = np.sqrt(t), np.log(s / k) + r * t, k * np.exp(-r * t)
+
+        def at(v: np.ndarray | float) -> np.ndarray:
+            spread = v * root
+            a = drift / spread + spread / 2
+            return sign * (s * norm_cdf_array(sign * a) - bond * norm_cdf_array(sign * (a - spread)))
+
+        told = (np.fmin(np.fmin(premium, s), np.fmin(k, t)) > 0) & (premium >= np.maximum(0.0, sign * (s - bond)) - SLACK) & (premium < np.where(sign > 0, s, bond))
+        told &= (premium >= at(LOW_VOL) - SLACK) & (premium <= at(HIGH_VOL))
+        low, high = np.full(len(s), LOW_VOL), np.full(len(s), HIGH_VOL)
+        for _ in range(steps):
+            middle = (low + high) / 2
+            under = at(middle) < premium
+            low, high = np.where(under, middle, low), np.where(under, high, middle)
+        found = (low + high) / 2
+        return np.where(told & (found * 100 >= LEAST_PERCENT) & (found * 100 <= MOST_PERCENT), found, np.nan)
+
+
 def implied_vol(premium: Column, s: Column, k: Column, t: Column, r: Column, call: Column, steps: int = HALVINGS) -> Column:
-    """Volatility by bisection, a fold of ``steps`` halvings.
+    """Volatility by bisection, ``steps`` halvings, a batch of rows at once in NumPy (a fold of built-in functions runs uncompiled, 70 times a row).
 
     Null where the quote doesn't tell it: not positive, under its intrinsic value or the price at ``LOW_VOL`` by more than ``SLACK``, at or over what the
     option can be worth, over the price at ``HIGH_VOL``, or a result outside of ``LEAST_PERCENT`` to ``MOST_PERCENT``.
     """
-    low, high = F.lit(LOW_VOL), F.lit(HIGH_VOL)
-    start = F.struct(low.alias("lo"), high.alias("hi"))
-    bond = k * F.exp(-r * t)
-    sign = F.when(call, 1.0).otherwise(-1.0)
-    # folds run without common subexpressions: a one-element transform works its argument out once
-    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-
-    def at(v: Column) -> Column:
-        spread = v * F.sqrt(t)
-        first = F.ln(s / k) / spread + (r * t) / spread + spread / 2
-        return once(F.struct(first.alias("a"), spread.alias("w"), sign.alias("g")), lambda x: x["g"] * (s * once(x["g"] * x["a"], norm_cdf) - bond * once(x["g"] * (x["a"] - x["w"]), norm_cdf)))
-
-    intrinsic = F.greatest(F.lit(0.0), F.when(call, s - bond).otherwise(bond - s))
 
-    def halve(b: Column, _: Column) -> Column:
-        return once((b["lo"] + b["hi"]) / 2, lambda m: F.when(at(m) < premium, F.struct(m.alias("lo"), b["hi"].alias("hi"))).otherwise(F.struct(b["lo"].alias("lo"), m.alias("hi"))))
+    @F.pandas_udf("double")
+    def inverted(premium: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, sign: pd.Series) -> pd.Series:
+        return pd.Series(invert(*(c.to_numpy(float) for c in (premium, s, k, t, r, sign)), steps))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda b: (b["lo"] + b["hi"]) / 2)
-    told = (F.least(premium, s, k, t) > 0) & (premium >= intrinsic - SLACK) & (premium < F.when(call, s).otherwise(bond)) & (premium >= at(low) - SLACK) & (premium <= at(high))
-    return F.when(told, F.when((found * 100 >= LEAST_PERCENT) & (found * 100 <= MOST_PERCENT), found))
+    doubles = [c.cast("double") for c in (premium, s, k, t, r)]
+    return finite(inverted(*doubles, F.when(call, 1.0).otherwise(-1.0)))
 
 
 def implied_sql(source: str, keep: str) -> str:
