@@ -23,7 +23,7 @@ def suggestions(spark: SparkSession, d: str) -> DataFrame:
     phi = F.col("phi")
     signal = F.when(F.col("z") <= -1, "long_spread").when(F.col("z") >= 1, "short_spread").otherwise("watch")
     life = F.when((phi > 0) & (phi < 1), F.log(F.lit(0.5)) / F.ln(phi))
-    both = screened(spark, d).where("adf_t IS NOT NULL").withColumn("p", p_value("adf_t"))
+    both = screened(spark, d, "adf_t", "phi", "z", "beta").where("adf_t IS NOT NULL").withColumn("p", p_value("adf_t"))
     return both.withColumns({"half_life": life, "signal": signal})
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import options as opt
+from marketloom.operators import pair_blocks
 
 
 def test_quotes_are_inverted_by_the_batch(spark):
@@ -28,3 +31,30 @@ def test_quotes_are_inverted_by_the_batch(spark):
         assert row.v == (None if row.want is None else pytest.approx(row.want, abs=1e-7))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+
+def test_series_are_dealt_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    """A series is shuffled once for each block: their number stops at ``MOST_BLOCKS``, whatever the series; pairs stay whole."""
+    rng = np.random.default_rng(5)
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=j), float(x)) for k in range(40) for j, x in enumerate(rng.standard_normal(12).cumsum()) if k < 38 or j > 1]
+    df = spark.createDataFrame(rows, "ticker int, d date, x double")
+    monkeypatch.setattr(pair_blocks, "BLOCK", 1)
+    made = pair_blocks.pair_statistics(df, formation=11, least=8, window=5)
+    assert "sequence(0, 15" in made._jdf.queryExecution().analyzed().toString()
+    got = {(r.a, r.b): r for r in made.collect()}
+    assert sorted(got) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    x = {k: np.array([r[2] for r in rows if r[0] == k]) for k in range(40)}
+    for (a, b), r in got.items():
+        n = min(11, len(x[a]), len(x[b]))
+        assert (r.n, r.beta) == (n, pytest.approx(np.polyfit(x[b][-n:], x[a][-n:], 1)[0]))
+
+
+def test_rolling_z_equals_its_frames():
+    rng = np.random.default_rng(6)
+    s = np.vstack([rng.standard_normal((5, 80)).cumsum(axis=1) + 1e4, np.full((1, 80), 3.1), np.r_[np.full(40, 0.1), rng.standard_normal(40)][None, :], np.r_[[1e8], rng.standard_normal(79)][None, :]])
+    got = pair_blocks.rolling_z(s, 20)
+    for i, row in enumerate(s):
+        for j in range(80):
+            frame = row[j - 19 : j + 1]
+            sd = frame.std(ddof=1) if j >= 19 else 0.0
+            assert (np.isnan(got[i, j])) if j < 19 or np.ptp(frame) == 0 else got[i, j] == pytest.approx((row[j] - frame.mean()) / sd, abs=1e-6)
