@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import options as opt
 from marketloom.operators import pair_blocks
+from marketloom.queries import admin, sources
+from marketloom.registry import QUERIES
 
 
 def test_quotes_are_inverted_by_the_batch(spark):
@@ -58,3 +60,53 @@ def test_rolling_z_equals_its_frames():
             frame = row[j - 19 : j + 1]
             sd = frame.std(ddof=1) if j >= 19 else 0.0
             assert (np.isnan(got[i, j])) if j < 19 or np.ptp(frame) == 0 else got[i, j] == pytest.approx((row[j] - frame.mean()) / sd, abs=1e-6)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_lots_of_a_pair_stay_in_its_row(spark, tmp_path):
+    """No 144 rows a pair; the best cell by fewest contracts, error and lots; null prices give one lot each."""
+    price = {1: 10.0, 2: 31.0, 3: 1.0, 4: 400.0, 5: None, 6: 7.0}
+    spark.createDataFrame(list(price.items()), "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["hedge_lots"](spark, str(tmp_path))
+    assert "explode" not in plan_of(got)
+    for r in got.collect():
+        x, y = ((25 * (1 + k % 8)) * price[k] if price[k] else None for k in (r.a, r.b))
+        if x is None or y is None:
+            assert (r.lots_a, r.lots_b, r.error) == (1, 1, None)
+            continue
+        cells = [(m, n, abs(m * x - n * y) / (m * x)) for m in range(1, 13) for n in range(1, 13)]
+        best = min((c for c in cells if c[2] <= 0.15), key=lambda c: (c[0] + c[1], c[2], c[0]), default=None) or min(cells, key=lambda c: (c[2], c[0] + c[1], c[0]))
+        assert (r.lots_a, r.lots_b, r.error) == (*best[:2], pytest.approx(best[2], abs=1e-6))
+
+
+def test_repeated_strikes_meet_once(spark, tmp_path):
+    """Equal strikes of a symbol are one row in the join, so n copies don't make n * n pairs."""
+    rows = [(k, "B", 30.0 + (k % 3) * 0.03) for k in range(60)] + [(60, None, 30.0), (61, "C", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    seen = []
+    real = sources.within
+    sources.within = lambda *a: seen.append(real(*a)) or seen[-1]
+    try:
+        got = {r.id: (r.quote, r.quotes) for r in QUERIES["strike_within_tolerance"](spark, str(tmp_path)).collect()}
+    finally:
+        sources.within = real
+    assert seen[0].count() < 60
+    for k, symbol, price in rows:
+        near = [(p / 3, j) for j, s, p in rows if price is not None and s == symbol == "B" and p is not None and abs(price / 3 + k % 5 * 0.004 - p / 3) <= 0.01]
+        assert got[k] == ((min(near)[1] if near else None), len(near))
+
+
+def test_common_months_are_bits(spark, tmp_path, monkeypatch):
+    """A supplier's months are one row, so pairs don't meet once a month; months beyond a word count too."""
+    rng = np.random.default_rng(8)
+    rows = [(int(s), dt.datetime(1995, 6, 1) + dt.timedelta(days=int(x))) for s in range(9) for x in rng.integers(0, 5000, 6)] + [(None, dt.datetime(1999, 1, 1)), (1, None)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(admin, "MONTHS", 20, raising=False)
+    got = QUERIES["expiry_common_nearest"](spark, str(tmp_path))
+    assert "bit_or" in plan_of(got)
+    months = {s: {d.date().replace(day=1) for k, d in rows if k == s and d and d.year >= 1996} for s in range(9)}
+    want = {(a, b): min(months[a] & months[b]) for a in range(9) for b in range(a + 1, 9) if months[a] & months[b]}
+    assert {(r.left_id, r.right_id): r.expiry for r in got.collect()} == want and want
