@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from ..operators.ordered import top_per_group
-from ..operators.tolerance import first_within, within
+from ..operators.tolerance import within
 from ..registry import query
 from ..sources import shapes
 from ..sources.shared import new_folder
@@ -116,9 +116,11 @@ def strike_within(spark: SparkSession, d: str) -> DataFrame:
     part, price = table(spark, d, "part"), F.col("p_retailprice") / 3
     wanted = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("symbol"), (price + F.col("p_partkey") % 5 * 0.004).alias("strike"))
     listed = part.select(F.col("p_partkey").alias("quote"), F.col("p_brand").alias("symbol"), price.alias("listed"))
-    found = first_within(wanted, listed, ["symbol"], "strike", "listed", TOLERANCE, "id", "quote")
-    counts = within(wanted, listed, ["symbol"], "strike", "listed", TOLERANCE).groupBy("id").agg(F.count(F.lit(1)).alias("quotes"))
-    return found.join(counts, "id", "left").select("id", "quote", F.coalesce("quotes", F.lit(0).cast("long")).alias("quotes"))
+    # equal strikes of a symbol meet as one row, so repeated ones don't multiply
+    once = listed.groupBy("symbol", "listed").agg(F.min("quote").alias("quote"), F.count(F.lit(1)).alias("n"))
+    met = within(wanted.select("symbol", "strike").distinct(), once, ["symbol"], "strike", "listed", TOLERANCE)
+    found = met.groupBy("symbol", "strike").agg(F.min_by("quote", F.struct("listed", "quote")).alias("quote"), F.sum("n").alias("quotes"))
+    return wanted.join(found, ["symbol", "strike"], "left").select("id", "quote", F.coalesce("quotes", F.lit(0).cast("long")).alias("quotes"))
 
 
 @query("two_leg_quotes", """WITH q AS (SELECT l_suppkey AS ticker, date_trunc('month', l_shipdate)::DATE AS expiry, avg(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2)
