@@ -15,6 +15,8 @@ from ..sources.tables import table
 COLUMNS = ("FinInstrmTp", "TckrSymb", "FinInstrmNm", "XpryDt", "StrkPric", "OptnTp", "ClsPric", "OpnPric", "SttlmPric", "NewBrdLotQty", "TtlTradgVol", "SctySrs", "UndrlygPric", "OpnIntrst")
 #: Every tenth day's archive loses its end.
 CUT = 10
+#: Shares that the days are dealt to: what a worker is sent at once is the days of one.
+SHARES = 192
 
 
 def archives(spark: SparkSession, d: str) -> DataFrame:
@@ -39,12 +41,13 @@ def archives(spark: SparkSession, d: str) -> DataFrame:
         "OpnIntrst": F.when(k % 8 > 0, (k % 17).cast("string")),
     }
     text = F.concat_ws(",", *[F.coalesce(fields[c], F.lit("")) for c in COLUMNS])
-    days = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.concat_ws("\n", F.sort_array(F.collect_list(text))).alias("text"))  # a day's report is one file
+    lines = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day"), text.alias("line")).repartition(SHARES, "day")
+    days = lines.groupBy("day").agg(F.concat_ws("\n", F.sort_array(F.collect_list("line"))).alias("text"))  # a day's report is one file
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = ",".join(COLUMNS) + "\n"
         for rb in batches:
-            for day, body in zip(rb.column("day").to_pylist(), rb.column("text").to_pylist(), strict=True):
+            for day, body in zip(rb.column("day").to_pylist(), (x.as_py() for x in rb.column("text")), strict=True):  # one text at a time
                 data = bhavcopy.zip_report("report.csv", head + body + "\n")
                 data = data[: len(data) * 2 // 3] if day.toordinal() % CUT == 0 else data
                 yield pa.RecordBatch.from_arrays([pa.array([f"BhavCopy_{day:%Y%m%d}_F_0000.csv.zip"]), pa.array([data], pa.binary())], ["path", "content"])

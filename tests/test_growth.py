@@ -110,3 +110,72 @@ def test_common_months_are_bits(spark, tmp_path, monkeypatch):
     months = {s: {d.date().replace(day=1) for k, d in rows if k == s and d and d.year >= 1996} for s in range(9)}
     want = {(a, b): min(months[a] & months[b]) for a in range(9) for b in range(a + 1, 9) if months[a] & months[b]}
     assert {(r.left_id, r.right_id): r.expiry for r in got.collect()} == want and want
+
+
+def test_days_are_dealt_to_many_small_shares(spark, tmp_path):
+    """What a worker is sent at once is the days of one share, not all days of a partition."""
+    rows = [(k, 1, k % 9, 1 + k % 7, 5.0, 50.0, dt.datetime(2024, 1, 1 + k % 20)) for k in range(60)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert "RepartitionByExpression" in plan_of(QUERIES["report_futures"](spark, str(tmp_path)))
+
+
+def test_medians_are_kept_in_order(spark, tmp_path):
+    from marketloom.queries.backtest import expanding_medians
+
+    rng = np.random.default_rng(9)
+    scores = [None if x > 1.5 else math.nan if x < -2 else float(x) for x in rng.standard_normal(300)]
+    for at, got in enumerate(expanding_medians(scores, least=10)):
+        known = sorted((x for x in scores[:at] if x is not None), key=lambda x: (x != x, x))
+        want = None if len(known) < 10 else 0.5 * known[(len(known) - 1) // 2] + 0.5 * known[len(known) // 2]
+        assert got == want or got == pytest.approx(want, nan_ok=True)
+
+
+@pytest.mark.parametrize(("words", "end", "plain"), [("ADVERSE", False, "ADVERSE_RE"), ("CAUSAL", True, "CAUSAL_RE")])
+def test_words_grouped_by_letter_match_the_same(words, end, plain):
+    import random
+    import re
+
+    from marketloom.queries import market
+
+    grouped, rng = re.compile(market._whole_words(getattr(market, words), end=end)), random.Random(2)
+    parts = [*getattr(market, words).split("|"), "x", " ", "_", "\n", "é", ".", "de", "con", "s", "because", "9"]
+    found = 0
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(5)))
+        want = re.search(getattr(market, plain), text) is not None
+        found += want
+        assert (grouped.search(text) is not None) == want
+    assert 500 < found < 4500
+
+
+def test_a_fit_of_lambda_takes_one_loss_a_round(monkeypatch):
+    from marketloom.models import fits
+
+    calls, real = [], fits.yeo_johnson
+    monkeypatch.setattr(fits, "yeo_johnson", lambda x, lam: calls.append(lam) or real(x, lam))
+    fits.fit_lambda(np.random.default_rng(3).standard_normal(200))
+    assert len(calls) <= 42
+
+
+def test_variances_run_over_plain_numbers():
+    from time import perf_counter
+
+    from marketloom.models import fits
+
+    def by_items(r, omega, alpha, beta):
+        out = np.empty(len(r) + 1)
+        out[0] = r.var() + 1e-12
+        for i, x in enumerate(r):
+            out[i + 1] = omega + alpha * x * x + beta * out[i]
+        return out
+
+    r, took = np.random.default_rng(4).standard_normal(5000), {}
+    for f in (by_items, fits.garch_variances):
+        times = []
+        for _ in range(5):
+            begin = perf_counter()
+            f(r, 0.1, 0.1, 0.8)
+            times.append(perf_counter() - begin)
+        took[f.__name__] = min(times)
+    assert np.array_equal(by_items(r, 0.1, 0.1, 0.8), fits.garch_variances(r, 0.1, 0.1, 0.8))
+    assert took["garch_variances"] < 0.75 * took["by_items"]
