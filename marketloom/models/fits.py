@@ -44,11 +44,10 @@ def simplex(f, start: np.ndarray, rounds: int = 200) -> np.ndarray:
 
 
 def garch_variances(r: np.ndarray, omega: float, alpha: float, beta: float) -> np.ndarray:
-    out = np.empty(len(r) + 1)
-    out[0] = r.var() + 1e-12
-    for i, x in enumerate(r):
-        out[i + 1] = omega + alpha * x * x + beta * out[i]
-    return out
+    out = [float(r.var()) + 1e-12]
+    for x in (omega + alpha * r * r).tolist():  # plain floats: a recursion over an array's items is several times slower
+        out.append(x + beta * out[-1])
+    return np.array(out)
 
 
 def fit_garch(r: np.ndarray) -> tuple[float, float, float]:
@@ -141,17 +140,21 @@ def yeo_johnson(x: np.ndarray, lam: float) -> np.ndarray:
 def fit_lambda(x: np.ndarray, low: float = -2.0, high: float = 4.0, rounds: int = 40) -> float:
     """Maximum likelihood by golden section."""
 
+    jacobian = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+
     def loss(lam: float) -> float:
-        y = yeo_johnson(x, lam)
-        return len(x) / 2 * math.log(y.var() + 1e-300) - (lam - 1) * float((np.sign(x) * np.log1p(np.abs(x))).sum())
+        return len(x) / 2 * math.log(yeo_johnson(x, lam).var() + 1e-300) - (lam - 1) * jacobian
 
     g = (math.sqrt(5) - 1) / 2
     a, b = high - g * (high - low), low + g * (high - low)
-    for _ in range(rounds):
-        if loss(a) < loss(b):
+    at_a, at_b = loss(a), loss(b)
+    for _ in range(rounds):  # one of the two places is kept, so one loss is new
+        if at_a < at_b:
             high, b, a = b, a, b - g * (b - low)
+            at_a, at_b = loss(a), at_a
         else:
             low, a, b = a, b, a + g * (high - a)
+            at_a, at_b = at_b, loss(b)
     return (low + high) / 2
 
 
