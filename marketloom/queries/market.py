@@ -94,10 +94,19 @@ CAUSAL = "due to|driven by|because|attributable to|resulted from|reflecting"
 ADVERSE_RE, CAUSAL_RE = rf"(^|[^a-z0-9_])({ADVERSE})", rf"(^|[^a-z0-9_])({CAUSAL})($|[^a-z0-9_])"
 
 
+def _whole_words(alternatives: str, *, end: bool) -> str:
+    """What ``ADVERSE_RE`` and ``CAUSAL_RE`` match, with the alternatives grouped by their first letter, so a word is tried against few of them."""
+    first: dict[str, list[str]] = {}
+    for word in alternatives.split("|"):
+        first.setdefault(word[0], []).append(word[1:])
+    grouped = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(first.items()))
+    return rf"(?<![a-z0-9_])(?=[{''.join(sorted(first))}])(?:{grouped})" + ("(?![a-z0-9_])" if end else "")
+
+
 @query("language_gates", f"SELECT doc_id, regexp_matches(t, '{ADVERSE_RE}') AS adverse, regexp_matches(t, '{CAUSAL_RE}') AS causal FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def language_gates(spark: SparkSession, d: str) -> DataFrame:
     t = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", t.rlike(ADVERSE_RE).alias("adverse"), t.rlike(CAUSAL_RE).alias("causal"))
+    return table(spark, d, "documents").select("doc_id", t.rlike(_whole_words(ADVERSE, end=False)).alias("adverse"), t.rlike(_whole_words(CAUSAL, end=True)).alias("causal"))
 
 
 #: Cues of a business description and their weights, and the keywords of industry labels in order.
