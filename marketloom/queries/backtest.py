@@ -6,6 +6,10 @@ are bounded (a few thousand).
 
 from __future__ import annotations
 
+import math
+from bisect import insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -194,10 +198,34 @@ def cross_market_report(spark: SparkSession, d: str) -> DataFrame:
     return deltas.groupBy("market").agg(F.count(F.lit(1)).alias("n"), *out)
 
 
+def expanding_medians(scores: list[float | None], least: int = LEAST_HISTORY) -> list[float | None]:
+    """The median of the known scores before each place, NaN counting as the largest; null before ``least`` of them."""
+    held: list[float] = []
+    unordered, out = 0, []
+    for x in scores:
+        n = len(held) + unordered
+        low, high = (n - 1) // 2, n // 2
+        place = lambda k: held[k] if k < len(held) else math.nan
+        out.append(None if n < least else place(low) if low == high else 0.5 * place(low) + 0.5 * place(high))
+        if x is not None and x != x:
+            unordered += 1
+        elif x is not None:
+            insort(held, x)
+    return out
+
+
 @query("expanding_quantile_cutoff", f"WITH {REG_SQL} SELECT symbol, d, round(CASE WHEN count(score) OVER p >= {LEAST_HISTORY} THEN quantile_cont(score, 0.5) OVER p END, 5) + 0.0::DOUBLE AS cutoff FROM scored WINDOW p AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def expanding(spark: SparkSession, d: str) -> DataFrame:
-    p = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
-    return regressions(prices(spark, d)).select("symbol", "d", (F.round(F.when(F.count("score").over(p) >= LEAST_HISTORY, F.percentile("score", F.lit(0.5)).over(p)), 5) + F.lit(0.0)).alias("cutoff"))
+    """The median of all scores before each day: a symbol's scores are kept in order as they come, where a window would sort them anew each day."""
+    rows = regressions(prices(spark, d)).select("symbol", F.to_date("d").alias("d"), "score")
+
+    def medians(t: pa.Table) -> pa.Table:
+        t = t.sort_by("d")
+        return pa.table({"symbol": t.column("symbol"), "d": t.column("d"), "cutoff": pa.array(expanding_medians(t.column("score").to_pylist()), pa.float64())})
+
+    kind = rows.schema["symbol"].dataType.simpleString()
+    out = rows.groupBy("symbol").applyInArrow(medians, f"symbol {kind}, d date, cutoff double")
+    return out.select("symbol", "d", (F.round("cutoff", 5) + F.lit(0.0)).alias("cutoff"))
 
 
 @query("entries_exits", f"WITH {BT_SQL} SELECT symbol, count(*) FILTER (position > p) AS entries, count(*) FILTER (position < p) AS exits, round(sum(turnover), 6) AS turnover FROM (SELECT *, lag(position, 1, 0.0) OVER (PARTITION BY symbol ORDER BY d) AS p FROM bt) GROUP BY 1")
