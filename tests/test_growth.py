@@ -179,3 +179,20 @@ def test_variances_run_over_plain_numbers():
         took[f.__name__] = min(times)
     assert np.array_equal(by_items(r, 0.1, 0.1, 0.8), fits.garch_variances(r, 0.1, 0.1, 0.8))
     assert took["garch_variances"] < 0.75 * took["by_items"]
+
+
+def test_the_lab_keeps_no_tests_but_the_best_without_q(spark, monkeypatch):
+    from marketloom.operators import pair_lab as lab
+
+    rng = np.random.default_rng(12)
+    base = 100 + rng.standard_normal(60).cumsum()
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=j), float(base[j] * (1 + k / 10) + rng.standard_normal())) for k in range(6) for j in range(60)]
+    df = spark.createDataFrame(rows, "ticker int, d date, x double")
+    kept, real = [], lab.cut_lineage
+    monkeypatch.setattr(lab, "cut_lineage", lambda x: kept.append(real(x)) or kept[-1])
+    sizes = {"formation": 40, "least": 30, "windows": 2, "deep": 3}
+    with_q = lab.pair_lab(df, **sizes)
+    assert kept[0].count() == 15 and "q" in with_q.columns
+    kept.clear()
+    without = lab.pair_lab(df, q=False, **sizes)
+    assert len(kept) == 1 and kept[0].count() <= 3 and without.collect() == with_q.drop("q").collect()
