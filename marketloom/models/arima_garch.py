@@ -6,12 +6,16 @@ variance, and are seeded by the symbol, its last day and close, so results repea
 
 Defined results: closes that are null, NaN, infinite or not positive are left out; of several closes of a day the last by value counts; a symbol uses its newest
 ``MOST`` closes; symbols with fewer than ``LEAST`` closes or constant ones give no row; an empty table gives an empty table.
+
+Symbols are fitted a batch at a time, a day of all of them as one array (``fit_armas``, ``fit_garches_t``); ``fit_arma`` and
+``fit_garch_t`` fit one series by itself to the same digits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import top_per_group
-from .fits import QUANTILES, simplex
+from .fits import QUANTILES, simplex, simplexes
 
 LEAST, MOST = 100, 1300
+#: Series fitted at once.
+BATCH = 128
 SESSIONS = 252
 #: Bounds of the lag coefficients in simulations, of the persistence, and the least degrees of freedom (fixed values).
 LAG_BOUND, PERSISTENCE, LEAST_FREEDOM = 0.98, 0.999, 2.05
@@ -45,6 +51,70 @@ def arma_errors(r: np.ndarray, mean: float, ar: float, ma: float) -> np.ndarray:
     return np.array(out)
 
 
+#: Where the fits start from; the surface of the first has a ridge at ar = -ma.
+ARMA_STARTS = ((0.0, 0.0, 0.0), (0.0, 0.8, -0.5), (0.0, -0.8, 0.5))
+GARCH_STARTS = ((0.0, 2.5, -2.0, 1.8), (0.0, 0.0, 0.0, 1.8))
+ARMA_ROUNDS, GARCH_ROUNDS = 120, 250
+
+
+def each(f, x: np.ndarray) -> np.ndarray:
+    """A function of one number, of all numbers of an array."""
+    return np.array([f(v) for v in x.tolist()])
+
+
+def beside(series: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Series as the columns of a matrix, zeros below the shorter ones; and their lengths."""
+    sizes = np.array([len(x) for x in series])
+    out = np.zeros((sizes.max(), len(series)))
+    for k, x in enumerate(series):
+        out[: len(x), k] = x
+    return out, sizes
+
+
+def totals(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each column's first ``sizes`` numbers, added in the order in which the sum of one series is; ``sizes`` ascends."""
+    rows, out = np.ascontiguousarray(x.T), np.empty(len(sizes))
+    edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        out[a:b] = rows[a:b, : sizes[a]].sum(axis=1)
+    return out
+
+
+def fit_all(loss, count: int, starts: tuple[tuple[float, ...], ...], rounds: int) -> np.ndarray:
+    """The best point of each of ``count`` functions over all starts, the earlier of equals; ``loss(points, which)``."""
+    n = len(starts)
+    points, values = simplexes(lambda p, which: loss(p, which // n), np.tile(np.array(starts), (count, 1)), rounds)
+    points, values = points.reshape(count, n, -1), values.reshape(count, n)
+    at = np.zeros(count, dtype=int)
+    for k in range(1, n):
+        at = np.where(values[:, k] < values[np.arange(count), at], k, at)
+    return points[np.arange(count), at]
+
+
+def fit_armas(series: Sequence[np.ndarray]) -> list[tuple[float, float, float]]:
+    """``fit_arma`` of each series; the lengths ascend."""
+    r, sizes = beside(series)
+    centre, scale = np.array([x.mean() for x in series]), np.array([x.std() for x in series])
+
+    def unpack(p: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return centre[which] + scale[which] * p[:, 0], 0.999 * each(math.tanh, p[:, 1]), 0.999 * each(math.tanh, p[:, 2])
+
+    def loss(p: np.ndarray, which: np.ndarray) -> np.ndarray:
+        mean, ar, ma = unpack(p, which)
+        off = np.take(r, which, axis=1)
+        off -= mean
+        e = off.copy()
+        e[1:] -= ar * off[:-1]
+        step = np.empty_like(mean)
+        for last, now in zip(e[:-1], e[1:], strict=True):
+            np.multiply(ma, last, out=step)
+            now -= step
+        return np.log(totals(e[1:] ** 2, sizes[which] - 1))
+
+    every = np.arange(len(series))
+    return list(zip(*(x.tolist() for x in unpack(fit_all(loss, len(series), ARMA_STARTS, ARMA_ROUNDS), every)), strict=True))
+
+
 def fit_arma(r: np.ndarray) -> tuple[float, float, float]:
     """(mean, ar, ma), stationary and invertible."""
     centre, scale = float(r.mean()), float(r.std())
@@ -53,8 +123,7 @@ def fit_arma(r: np.ndarray) -> tuple[float, float, float]:
         return centre + scale * float(p[0]), _bounded(float(p[1]), 0.999), _bounded(float(p[2]), 0.999)
 
     loss = lambda p: float(np.log((arma_errors(r, *unpack(p))[1:] ** 2).sum()))
-    starts = [np.array([0.0, a, b]) for a, b in ((0.0, 0.0), (0.8, -0.5), (-0.8, 0.5))]  # the surface has a ridge at ar = -ma
-    return unpack(min((simplex(loss, s, 120) for s in starts), key=loss))
+    return unpack(min((simplex(loss, np.array(s), ARMA_ROUNDS) for s in ARMA_STARTS), key=loss))
 
 
 def variances(e: np.ndarray, omega: float, alpha: float, beta: float) -> np.ndarray:
@@ -84,8 +153,45 @@ def fit_garch_t(e: np.ndarray) -> tuple[float, float, float, float]:
         omega, alpha, beta, freedom = unpack(p)
         return -t_log_likelihood(e, variances(e, omega, alpha, beta), freedom)
 
-    starts = [np.array([0.0, a, b, 1.8]) for a, b in ((2.5, -2.0), (0.0, 0.0))]
-    return unpack(min((simplex(loss, s, 250) for s in starts), key=loss))
+    return unpack(min((simplex(loss, np.array(s), GARCH_ROUNDS) for s in GARCH_STARTS), key=loss))
+
+
+def fit_garches_t(series: Sequence[np.ndarray]) -> list[tuple[float, float, float, float]]:
+    """``fit_garch_t`` of each series of errors; the lengths ascend."""
+    e, sizes = beside(series)
+    first = np.array([float(x.var()) + 1e-12 for x in series])
+
+    def unpack(p: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        p = np.clip(p, -30, 30)
+        persistence, share = PERSISTENCE * (1 / (1 + each(math.exp, -p[:, 1]))), 1 / (1 + each(math.exp, -p[:, 2]))
+        freedom = LEAST_FREEDOM + each(math.exp, np.minimum(p[:, 3], 6.0))
+        return first[which] * each(math.exp, p[:, 0]) * (1 - persistence), persistence * share, persistence * (1 - share), freedom
+
+    def loss(p: np.ndarray, which: np.ndarray) -> np.ndarray:
+        omega, alpha, beta, freedom = unpack(p, which)
+        x = np.take(e, which, axis=1)
+        v = np.empty_like(x)  # in place from here on, as memory is dear to get
+        v[0], shocks = first[which], v[1:]
+        np.multiply(alpha, x[:-1], out=shocks)
+        shocks *= x[:-1]
+        shocks += omega
+        step = np.empty_like(beta)
+        for last, now in zip(v[:-1], v[1:], strict=True):
+            np.multiply(beta, last, out=step)
+            now += step
+        constant = each(lambda f: math.lgamma((f + 1) / 2) - math.lgamma(f / 2) - 0.5 * math.log(math.pi * (f - 2)), freedom)
+        x *= x
+        x /= (freedom - 2) * v
+        np.log1p(x, out=x)
+        x *= (freedom + 1) / 2
+        np.log(v, out=v)
+        v *= 0.5
+        np.subtract(constant, v, out=v)
+        v -= x
+        return -totals(v, sizes[which])
+
+    every = np.arange(len(series))
+    return list(zip(*(x.tolist() for x in unpack(fit_all(loss, len(series), GARCH_STARTS, GARCH_ROUNDS), every)), strict=True))
 
 
 def simulate(r: np.ndarray, arma: tuple[float, float, float], garch: tuple[float, float, float, float], days: int, paths: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,12 +216,9 @@ NAMES = [f"q{int(q * 100):02d}" for q in QUANTILES]
 COLUMNS = {"day": pa.int32(), "last_price": pa.float64()} | dict.fromkeys([*NAMES, "p_above", "volatility", "drift", "ar", "ma", "omega", "alpha", "beta", "freedom", "long_run_volatility"], pa.float64()) | {"closes": pa.int32()}
 
 
-def forecast(symbol: str, day: object, close: np.ndarray, days: int, paths: int) -> list[dict]:
+def forecast(symbol: str, day: object, close: np.ndarray, arma: tuple[float, float, float], garch: tuple[float, float, float, float], days: int, paths: int) -> list[dict]:
     r = np.diff(np.log(close))
-    if r.std() <= 1e-8:
-        return []
-    arma = fit_arma(r)
-    omega, alpha, beta, freedom = garch = fit_garch_t(arma_errors(r, *arma) * 100)
+    omega, alpha, beta, freedom = garch
     seed = int.from_bytes(hashlib.sha256(f"{symbol}|{day}|{close[-1]:.8f}|{days}|{paths}".encode()).digest()[:8], "big")
     steps, spread = simulate(r, arma, garch, days, paths, seed)
     price = close[-1] * np.exp(np.clip(steps, -50, 50))
@@ -128,20 +231,37 @@ def forecast(symbol: str, day: object, close: np.ndarray, days: int, paths: int)
     ]
 
 
+def forecasts(symbols: pa.Array, last: list, closes: list[np.ndarray], days: int, paths: int) -> Iterator[tuple[pa.Scalar, dict]]:
+    """The rows of each symbol, ``BATCH`` symbols fitted at once; shortest series first, so those of a batch are of like lengths."""
+    returns = [np.diff(np.log(x)) for x in closes]
+    order = sorted((k for k, r in enumerate(returns) if r.std() > 1e-8), key=lambda k: len(returns[k]))
+    for at in range(0, len(order), BATCH):
+        some = order[at : at + BATCH]
+        armas = fit_armas([returns[k] for k in some])
+        garches = fit_garches_t([arma_errors(returns[k], *arma) * 100 for k, arma in zip(some, armas, strict=True)])
+        for k, arma, garch in zip(some, armas, garches, strict=True):
+            for row in forecast(str(symbols[k].as_py()), last[k], closes[k], arma, garch, days, paths):
+                yield symbols[k], row
+
+
 def arima_garch_forecast(closes: DataFrame, *, days: int = 10, paths: int = 1000) -> DataFrame:
     """``days`` rows for each symbol of closes (symbol, d, close): quantiles of simulated closes, P(above), volatility and the parameters."""
     x = F.col("close")
     good = closes.where((x > 0) & ~F.isnan(x) & (x < float("inf")) & F.col("symbol").isNotNull() & F.col("d").isNotNull())
-    each = good.groupBy("symbol", F.to_date("d").alias("d")).agg(F.max("close").alias("close"))
-    newest = top_per_group(each, ["symbol"], [F.desc("d")], MOST).select("symbol", "d", "close")  # what a group holds is bounded
+    each_day = good.groupBy("symbol", F.to_date("d").alias("d")).agg(F.max("close").alias("close"))
+    newest = top_per_group(each_day, ["symbol"], [F.desc("d")], MOST).select("symbol", F.struct("d", F.col("close").cast("double").alias("close")).alias("v"))  # what a row holds is bounded
+    series = newest.groupBy("symbol").agg(F.sort_array(F.collect_list("v")).alias("v")).where(F.size("v") >= LEAST)
+    series = series.select("symbol", F.element_at("v.d", -1).alias("d"), F.col("v.close").alias("close"))
+    # the work is in the fits, not in the bytes by which partitions would be merged: two shares a core
+    dealt = series.repartition(2 * closes.sparkSession.sparkContext.defaultParallelism, "symbol")
     kind = closes.schema["symbol"].dataType.simpleString()
 
-    def fit(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("d")
-        close = rows.column("close").to_numpy()
-        made = forecast(str(key[0].as_py()), rows.column("d")[-1].as_py(), close, days, paths) if len(close) >= LEAST else []
-        names = pa.array([key[0].as_py()] * len(made), rows.schema.field("symbol").type)
-        return pa.table({"symbol": names} | {n: pa.array([m[n] for m in made], t) for n, t in COLUMNS.items()})
+    def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            symbols = rows.column("symbol")
+            made = list(forecasts(symbols, rows.column("d").to_pylist(), [x.values.to_numpy() for x in rows.column("close")], days, paths))
+            names = pa.array([name.as_py() for name, _ in made], symbols.type)
+            yield pa.RecordBatch.from_pydict({"symbol": names} | {n: pa.array([m[n] for _, m in made], t) for n, t in COLUMNS.items()})
 
     ddl = ", ".join(f"{n} {'int' if t == pa.int32() else 'double'}" for n, t in COLUMNS.items())
-    return newest.groupBy("symbol").applyInArrow(fit, f"symbol {kind}, {ddl}")
+    return dealt.mapInArrow(fit, f"symbol {kind}, {ddl}")

@@ -43,6 +43,40 @@ def simplex(f, start: np.ndarray, rounds: int = 200) -> np.ndarray:
     return points[int(np.argmin(values))]
 
 
+def simplexes(f, starts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """``simplex`` from each row of ``starts``, all at once and step by step the same: (points, values).
+
+    ``f(points, which)`` gives for each row of points the value of the function numbered as its start; ``which`` ascends.
+    """
+    m, n = starts.shape
+    every = np.arange(m)
+    points = np.stack([starts, *[starts + 0.1 * (np.abs(starts[:, i : i + 1]) + 0.1) * np.eye(n)[i] for i in range(n)]], axis=1)
+    values = f(points.reshape(-1, n), np.repeat(every, n + 1)).reshape(m, n + 1)
+    for _ in range(rounds):
+        order = np.argsort(values, axis=1)
+        points, values = np.take_along_axis(points, order[:, :, None], axis=1), np.take_along_axis(values, order, axis=1)
+        worst = points[:, -1].copy()
+        middle = sum((points[:, i] for i in range(1, n)), points[:, 0]) / n
+        mirrored = 2 * middle - worst
+        at = f(mirrored, every)
+        best = at < values[:, 0]
+        kept = ~best & (at < values[:, -2])
+        again = np.flatnonzero(~kept)
+        second, value = np.where(best[:, None], 3 * middle - 2 * worst, 0.5 * (middle + worst)), np.full(m, np.nan)
+        if len(again):
+            value[again] = f(second[again], again)
+        better = ~kept & (value < np.where(best, at, values[:, -1]))
+        kept |= best & ~better
+        points[:, -1] = np.where(better[:, None], second, np.where(kept[:, None], mirrored, worst))
+        values[:, -1] = np.where(better, value, np.where(kept, at, values[:, -1]))
+        shrunk = np.flatnonzero(~better & ~kept)
+        points[shrunk, 1:] = 0.5 * (points[shrunk, :1] + points[shrunk, 1:])
+        if len(shrunk):
+            values[shrunk, 1:] = f(points[shrunk, 1:].reshape(-1, n), np.repeat(shrunk, n)).reshape(-1, n)
+    least = values.argmin(axis=1)
+    return points[every, least], values[every, least]
+
+
 def garch_variances(r: np.ndarray, omega: float, alpha: float, beta: float) -> np.ndarray:
     out = [float(r.var()) + 1e-12]
     for x in (omega + alpha * r * r).tolist():  # plain floats: a recursion over an array's items is several times slower

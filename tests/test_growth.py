@@ -196,3 +196,32 @@ def test_the_lab_keeps_no_tests_but_the_best_without_q(spark, monkeypatch):
     kept.clear()
     without = lab.pair_lab(df, q=False, **sizes)
     assert len(kept) == 1 and kept[0].count() <= 3 and without.collect() == with_q.drop("q").collect()
+
+
+@pytest.mark.parametrize("sizes", [[120], [100, 137, 137, 300, 131]])
+def test_series_are_fitted_together_to_the_digits_of_one(sizes):
+    from marketloom.models import arima_garch as ag
+
+    rng = np.random.default_rng(14)
+    rs = sorted((rng.standard_t(5, n) / 50 for n in sizes), key=len)
+    armas = [ag.fit_arma(r) for r in rs]
+    assert ag.fit_armas(rs) == armas
+    errors = [ag.arma_errors(r, *p) * 100 for r, p in zip(rs, armas, strict=True)]
+    assert ag.fit_garches_t(errors) == [ag.fit_garch_t(e) for e in errors]
+
+
+def test_forecasts_of_symbols_share_their_fits(spark):
+    """One fit for a batch, dealt to a number of shares that small partitions don't lower; rows don't depend on the batch."""
+    from marketloom.models import arima_garch as ag
+
+    rng = np.random.default_rng(15)
+    closes = [100 * np.exp(rng.standard_t(5, 100 + k % 3).cumsum() / 50) for k in range(5)]
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=j), float(x)) for k, c in enumerate(closes) for j, x in enumerate(c)]
+    made = ag.arima_garch_forecast(spark.createDataFrame(rows, "symbol int, d date, close double"), days=2, paths=50)
+    plan = plan_of(made)
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "RepartitionByExpression [symbol#" in plan
+    got = {r.symbol: (r.ar, r.ma, r.omega, r.freedom) for r in made.collect() if r.day == 2}
+    for k, c in enumerate(closes):
+        arma = ag.fit_arma(np.diff(np.log(c)))
+        garch = ag.fit_garch_t(ag.arma_errors(np.diff(np.log(c)), *arma) * 100)
+        assert got[k] == (*arma[1:], garch[0], garch[3])
