@@ -37,37 +37,85 @@ def prices(spark: SparkSession, d: str) -> DataFrame:
 PRICES_SQL = f"""{SUPPLIER_DAYS_SQL}, prices AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) AS t FROM supplier_days)"""
 
 
+#: Sums over a window of the rows that have a price, with j rows back from its last one and c the log price: of 1, j, j * j, c, j * c, c * c; and the least and greatest c.
+SUMS = ("n", "j", "jj", "c", "jc", "cc")
+STATE = (*SUMS, "low", "high")
+
+
+def joined(parts: list[dict[str, Column]], length: int) -> dict[str, Column]:
+    """The sums of neighbouring windows of ``length`` rows, the newest first, as those of one window."""
+    out = dict(parts[0])
+    for k, p in enumerate(parts[1:], 1):
+        back = float(k * length)
+        moved = p | {"j": p["j"] + back * p["n"], "jj": p["jj"] + 2 * back * p["j"] + back * back * p["n"], "jc": p["jc"] + back * p["c"]}
+        out |= {name: out[name] + moved[name] for name in SUMS}
+    return out | {"low": F.least(*[p["low"] for p in parts]), "high": F.greatest(*[p["high"] for p in parts])}
+
+
+def with_sums(df: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """``SUMS`` over the last rows of every length, each of which divides the next, as columns ``<sum>_<length>``; whole from row ``length`` of a symbol on.
+
+    A window is put together from shorter ones some rows back (21 rows are 7 times 3, 252 are 2 times 126), so a row costs a
+    few lags, not a pass over its window, and nothing is subtracted that would be left over from earlier rows.
+    """
+    w = by_symbol()
+    y = F.ln("price")
+    base = F.first(F.when(F.abs(y) < float("inf"), y), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_c", y - F.coalesce(base, F.lit(0.0)))
+    c, zero = F.coalesce("_c", F.lit(0.0)), F.lit(0.0)
+    one = {"n": F.col("_c").isNotNull().cast("double"), "j": zero, "jj": zero, "c": c, "jc": zero, "cc": c * c, "low": F.col("_c"), "high": F.col("_c")}
+    df, length = df.withColumns({f"_{name}": v for name, v in one.items()}), 1
+    own = {name: F.col(f"_{name}") for name in STATE}
+    for n in lengths:
+        times, left = n // length, 2
+        while times > 1:
+            left = next(k for k in range(left, times + 1) if times % k == 0)
+            back = [f"_s{k}" for k in range(1, left)]
+            packed = F.struct(*[v.alias(name) for name, v in own.items()])
+            df = df.withColumns({name: F.lag(packed, k * length).over(w) for k, name in enumerate(back, 1)})
+            parts = [own, *[{name: F.col(s)[name] for name in STATE} for s in back]]
+            df = df.withColumns({f"_{name}": v for name, v in joined(parts, length).items()}).drop(*back)  # plain columns: fields of a struct would be worked out again at each use
+            times, length = times // left, length * left
+        df = df.withColumns({f"{name}_{n}": v for name, v in own.items()})
+    return df.drop(*[f"_{name}" for name in STATE])
+
+
+def sums_of(*lengths: int) -> list[str]:
+    return [f"{name}_{n}" for n in lengths for name in STATE]
+
+
+def fitted(n: int) -> tuple[Column, Column]:
+    """Slope and R2 of log price on time over ``n`` rows, from their sums; no slope without two prices, and equal prices fit."""
+    s = {name: F.col(f"{name}_{n}") for name in STATE}
+    full, equal = (F.col("t") >= n) & (s["n"] >= 2), (s["low"] == s["high"]) & (s["high"] < float("inf"))
+    both, time, price = s["j"] * s["c"] - s["n"] * s["jc"], s["n"] * s["jj"] - s["j"] * s["j"], s["n"] * s["cc"] - s["c"] * s["c"]
+    slope = F.when(full, F.when(equal, 0.0).otherwise(ratio(both, time)))
+    r2 = F.when(full & equal, 1.0).when(full, ratio(both * both, time * F.greatest(price, F.lit(0.0))))
+    return slope, F.when(F.col("t") >= n, F.coalesce(r2, F.lit(0.0)))
+
+
 def regressions(df: DataFrame, length: int = LENGTH) -> DataFrame:
     """Slope and R2 of log price on time over ``length`` rows, and their product as the score."""
-    w = by_symbol().rowsBetween(-(length - 1), 0)
-    y, t = F.ln("price"), F.col("t").cast("double")
-    full = F.count(F.lit(1)).over(w) == length
-    df = df.withColumns({"slope": F.when(full, F.regr_slope(y, t).over(w)), "r2": F.when(full, F.coalesce(F.regr_r2(y, t).over(w), F.lit(0.0)))})
+    slope, r2 = fitted(length)
+    df = with_sums(df, (length,)).withColumns({"slope": slope, "r2": r2}).drop(*sums_of(length))
     return df.withColumn("score", (F.exp(252 * F.col("slope")) - 1) * F.col("r2"))
 
 
 def all_regressions(df: DataFrame) -> DataFrame:
     """``regressions`` of every length of ``LENGTHS`` as rows with their ``lookback``, over one sort of the series."""
-    y, t = F.ln("price"), F.col("t").cast("double")
     fits = []
     for n in LENGTHS:
-        w = by_symbol().rowsBetween(-(n - 1), 0)
-        full = F.count(F.lit(1)).over(w) == n
-        slope, r2 = F.when(full, F.regr_slope(y, t).over(w)), F.when(full, F.coalesce(F.regr_r2(y, t).over(w), F.lit(0.0)))
+        slope, r2 = fitted(n)
         fits.append(F.struct(F.lit(n).cast("long").alias("lookback"), slope.alias("slope"), r2.alias("r2")))
-    df = df.select("*", F.array(*fits).alias("fits")).select("symbol", "d", "price", "t", F.inline("fits"))
+    df = with_sums(df, LENGTHS).select("symbol", "d", "price", "t", F.inline(F.array(*fits)))
     return df.withColumn("score", (F.exp(252 * F.col("slope")) - 1) * F.col("r2"))
 
 
 def scores_beside(df: DataFrame) -> DataFrame:
     """The score of every length of ``LENGTHS`` as a column of its own."""
-    y, t = F.ln("price"), F.col("t").cast("double")
-    out = {}
-    for n in LENGTHS:
-        w = by_symbol().rowsBetween(-(n - 1), 0)
-        score = (F.exp(252 * F.regr_slope(y, t).over(w)) - 1) * F.coalesce(F.regr_r2(y, t).over(w), F.lit(0.0))
-        out[f"score_{n}"] = F.when(F.count(F.lit(1)).over(w) == n, score)
-    return df.withColumns(out)
+    fits = {n: fitted(n) for n in LENGTHS}
+    df = with_sums(df, LENGTHS).withColumns({f"score_{n}": (F.exp(252 * slope) - 1) * r2 for n, (slope, r2) in fits.items()})
+    return df.drop(*sums_of(*LENGTHS))
 
 
 def reg_sql(n: int) -> str:

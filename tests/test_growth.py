@@ -225,3 +225,31 @@ def test_forecasts_of_symbols_share_their_fits(spark):
         arma = ag.fit_arma(np.diff(np.log(c)))
         garch = ag.fit_garch_t(ag.arma_errors(np.diff(np.log(c)), *arma) * 100)
         assert got[k] == (*arma[1:], garch[0], garch[3])
+
+
+def test_regressions_don_t_pass_over_their_windows(spark):
+    """No sliding frame of an aggregate is left; fits are those of NumPy, with missing, equal and unknown prices."""
+    from marketloom.queries import backtest as bt
+
+    rng = np.random.default_rng(16)
+    prices = {"whole": 100 * np.exp(rng.standard_normal(300).cumsum() / 50), "flat": np.full(260, 7.3), "gaps": 100 * np.exp(rng.standard_normal(280) / 9), "nan": 100 * np.exp(rng.standard_normal(90) / 9)}
+    prices["flat"][5], prices["nan"][40] = 9.0, math.nan
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=k), None if s == "gaps" and k % 4 == 1 else float(x), k + 1) for s, v in prices.items() for k, x in enumerate(v)]
+    made = bt.all_regressions(spark.createDataFrame(rows, "symbol string, d date, price double, t int"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regr_" not in plan and "RowFrame, -20" not in plan and "lag(" in plan
+    got = {(r.symbol, r.t, r.lookback): r for r in made.collect()}
+    assert len(got) == 4 * len(rows)
+    for (symbol, t, n), r in got.items():
+        if t < n:
+            assert (r.slope, r.r2) == (None, None)
+            continue
+        y = np.log(prices[symbol][t - n : t])
+        x = np.arange(n)[[not (symbol == "gaps" and (t - n + k) % 4 == 1) for k in range(n)]]
+        y = y[x]
+        if np.isnan(y).any():
+            assert math.isnan(r.slope) and math.isnan(r.r2)
+        elif np.ptp(y) == 0:
+            assert (r.slope, r.r2) == (0.0, 1.0)
+        else:
+            assert r.slope == pytest.approx(np.polyfit(x, y, 1)[0], rel=1e-6, abs=1e-12) and r.r2 == pytest.approx(np.corrcoef(x, y)[0, 1] ** 2, rel=1e-6, abs=1e-12)
