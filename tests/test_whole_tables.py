@@ -10,6 +10,7 @@ import random
 import pytest
 
 import marketloom.queries  # noqa: F401
+from marketloom.queries import pairs
 from marketloom.registry import QUERIES
 
 N = 13  # suppliers of the fixture
@@ -155,3 +156,14 @@ def test_top_pairs_of_a_threshold_are_not_five(spark, suppliers):
     near = {(r.a, r.b) for r in QUERIES["pair_adf_t"](spark, suppliers).collect() if r.p <= 0.5}
     assert 20 < len(near) <= 200
     assert {(r.a, r.b) for r in QUERIES["threshold_topn_union"](spark, suppliers).collect()} == near
+
+
+def test_top_pairs_of_a_threshold_are_told_apart_below_1e_16(spark, monkeypatch):
+    # statistics whose p are 2e-16 to 2e-17, later pairs the smaller, and some under the SQL's bound of -8.4, where all p are 0
+    t = {(1, b): -10.0 - 0.4 * b / 300 for b in range(2, 302)} | {(0, b): -10.5 - b / 4 for b in range(1, 31)}
+    df = spark.createDataFrame([(a, b, x) for (a, b), x in t.items()], "a long, b long, adf_t double")
+    monkeypatch.setattr(pairs, "screened", lambda *_: df)
+    x = {k: 2.92 + 1.5012 * v + 0.039796 * v * v for k, v in t.items()}
+    p = {k: 0.0 if v < -8.4 else 0.5 * math.erfc(-v / math.sqrt(2)) for k, v in x.items()}
+    assert {(r.a, r.b) for r in pairs.topn_union(spark, "").collect()} == set(sorted(p, key=lambda k: (p[k], k))[:200])
+    assert {(r.a, r.b): r.p for r in pairs.engle_granger(spark, "").collect()} == pytest.approx(p, rel=1e-11, abs=0)
