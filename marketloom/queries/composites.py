@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cosine, ratio
+from ..functions.numeric import cosine, ratio, with_engle_granger_p
 from ..operators.ordered import top_per_group
 from ..registry import query
 from ..sources.tables import MONTHLY_SQL, monthly_prices, table
 from .options import CHAIN_SQL, chain
-from .pairs import ADF_SQL, FORMATION, P_SQL, Z_WINDOW, p_value, screened
+from .pairs import ADF_SQL, FORMATION, P_SQL, Z_WINDOW, screened
 
 SUGGEST_SQL = f"""{ADF_SQL}, pv AS (SELECT a, b, t, {P_SQL} AS p FROM adf), ar AS (SELECT a, b, regr_slope(s, s1) AS phi FROM lagged WHERE s1 IS NOT NULL GROUP BY 1, 2),
 lz AS (SELECT a, b, t, beta, s, (s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0) AS z FROM spread WINDOW w AS (PARTITION BY a, b ORDER BY t ROWS BETWEEN {Z_WINDOW - 1} PRECEDING AND CURRENT ROW)),
@@ -23,7 +23,7 @@ def suggestions(spark: SparkSession, d: str) -> DataFrame:
     phi = F.col("phi")
     signal = F.when(F.col("z") <= -1, "long_spread").when(F.col("z") >= 1, "short_spread").otherwise("watch")
     life = F.when((phi > 0) & (phi < 1), F.log(F.lit(0.5)) / F.ln(phi))
-    both = screened(spark, d, "adf_t", "phi", "z", "beta").where("adf_t IS NOT NULL").withColumn("p", p_value("adf_t"))
+    both = with_engle_granger_p(screened(spark, d, "adf_t", "phi", "z", "beta").where("adf_t IS NOT NULL"), "adf_t")
     return both.withColumns({"half_life": life, "signal": signal})
 
 

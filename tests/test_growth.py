@@ -253,3 +253,57 @@ def test_regressions_don_t_pass_over_their_windows(spark):
             assert (r.slope, r.r2) == (0.0, 1.0)
         else:
             assert r.slope == pytest.approx(np.polyfit(x, y, 1)[0], rel=1e-6, abs=1e-12) and r.r2 == pytest.approx(np.corrcoef(x, y)[0, 1] ** 2, rel=1e-6, abs=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["noise", "walks", "alike"])
+def test_tiles_equal_plain_statistics(kind):
+    """Products of matrices give the statistics of the spreads themselves; a pair they can't tell is unsure."""
+    from marketloom.operators.pair_tiles import Tile
+
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((30, 120)) if kind == "noise" else rng.standard_normal((30, 120)).cumsum(axis=1) + 1000
+    if kind == "alike":
+        x = 50 + rng.standard_normal(120).cumsum() * (1 + rng.random((30, 1))) + 2 * rng.standard_normal((30, 120))
+        x[3], x[4], x[6] = 5.0, x[5], 3 * x[7] + 2
+    wanted = frozenset(pair_blocks.NUMBERS) | {"first_entry"}
+    with np.errstate(all="ignore"):
+        for names in (wanted, wanted - {"kss_t"}):
+            tile = Tile(x, x, 20, names)
+            pairs = np.arange(30)[:, None] < np.arange(30)
+            tile.first_entries(pairs, 20)
+            i, j = np.nonzero(pairs & ~tile.unsure)
+            plain, _, first = pair_blocks.statistics(x[i], x[j], 20)
+            assert (tile.numbers["first_entry"][i, j] == first).all()
+            for n in set(tile.numbers) - {"first_entry"}:
+                np.testing.assert_allclose(tile.numbers[n][i, j], plain[n], rtol=1e-8, atol=1e-9)
+            assert len(i) == 435 if kind != "alike" else 435 > len(i) > 100 and tile.unsure[3, 4] and tile.unsure[4, 5] and tile.unsure[6, 7]
+
+
+def test_only_dates_that_count_travel(spark):
+    """Series that have all newest dates travel without older ones; one that lacks a date brings them back, with the same pairs of the others."""
+    rng = np.random.default_rng(8)
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=j), float(v)) for k in range(6) for j, v in enumerate(rng.standard_normal(40 + k))]
+    rows = [(k, d + dt.timedelta(days=5 - k), v) for k, d, v in rows]
+    rows += [(9, d, v) for k, d, v in rows[:20]]  # too short for any pair
+    whole = pair_blocks.pair_statistics(spark.createDataFrame(rows, "ticker int, d date, x double"), formation=30, window=5)
+    assert "slice(x" in plan_of(whole)
+    got = {(r.a, r.b): r for r in whole.collect()}
+    assert sorted(got) == [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    lacking = [r for r in rows if r[0] != 5 or r[1] != dt.date(2024, 2, 1)]
+    cut = pair_blocks.pair_statistics(spark.createDataFrame(lacking, "ticker int, d date, x double"), formation=30, window=5)
+    assert "slice(x" not in plan_of(cut)
+    again = {(r.a, r.b): r for r in cut.collect()}
+    assert sorted(again) == sorted(got) and all(again[k] == got[k] for k in got if 5 not in k)
+    x = {k: np.array([r[2] for r in lacking if r[0] == k]) for k in (0, 5)}
+    days = {k: [r[1] for r in lacking if r[0] == k] for k in (0, 5)}
+    common = sorted(set(days[0]) & set(days[5]))[-30:]
+    a, b = (x[k][[d in common for d in days[k]]] for k in (0, 5))
+    assert again[0, 5].beta == pytest.approx(np.polyfit(b, a, 1)[0])
+
+
+def test_p_is_worked_out_once_below_a_filter(spark):
+    from marketloom.functions.numeric import with_engle_granger_p
+
+    df = with_engle_granger_p(spark.range(3).selectExpr("id - 3.5 AS t"), "t").where("p <= 0.5 AND p >= 0")
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("exp(") == 2
+    assert df.columns == ["t", "p"] and df.count() == 2
