@@ -307,3 +307,16 @@ def test_p_is_worked_out_once_below_a_filter(spark):
     df = with_engle_granger_p(spark.range(3).selectExpr("id - 3.5 AS t"), "t").where("p <= 0.5 AND p >= 0")
     assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("exp(") == 2
     assert df.columns == ["t", "p"] and df.count() == 2
+
+
+def test_the_top_of_all_thresholds_is_the_top_of_the_widest(spark, monkeypatch):
+    """No row a cut, and no sort of all pairs; pairs over the widest cut stay out."""
+    from marketloom.queries import pairs
+
+    t = {(1, b): -4.0 + b * 0.01 for b in range(2, 302)}
+    df = spark.createDataFrame([(a, b, x) for (a, b), x in t.items()], "a long, b long, adf_t double")
+    monkeypatch.setattr(pairs, "screened", lambda *_: df)
+    top = pairs.topn_union(spark, "")
+    assert "Window" not in plan_of(top) and "Explode" not in plan_of(top) and "Generate explode" not in plan_of(top)
+    p = sorted((r.p, r.a, r.b) for r in pairs.engle_granger(spark, "").collect() if r.p <= 0.5)
+    assert {(r.a, r.b) for r in top.collect()} == {(a, b) for _, a, b in p[:200]} and 100 < len(p)
