@@ -320,3 +320,24 @@ def test_the_top_of_all_thresholds_is_the_top_of_the_widest(spark, monkeypatch):
     assert "Window" not in plan_of(top) and "Explode" not in plan_of(top) and "Generate explode" not in plan_of(top)
     p = sorted((r.p, r.a, r.b) for r in pairs.engle_granger(spark, "").collect() if r.p <= 0.5)
     assert {(r.a, r.b) for r in top.collect()} == {(a, b) for _, a, b in p[:200]} and 100 < len(p)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "mixed", "tiny", "ties"])
+def test_rounded_q_of_buckets_equals_plain_q(spark, monkeypatch, kind):
+    """Buckets decide what they can; only the tests of the others are kept, and every q is the rounded plain one."""
+    from marketloom.operators import fdr
+
+    rng = np.random.default_rng(9)
+    u = rng.random(3000)
+    p = {"uniform": u, "mixed": np.where(u < 0.8, u * 1e-9, u), "tiny": u * 1e-12, "ties": np.round(u, 2)}[kind].tolist()
+    df = spark.createDataFrame(list(enumerate([*p, None, float("nan"), 0.0, 1.0])), "k int, p double")
+    kept, real = [], fdr.cut_lineage
+    monkeypatch.setattr(fdr, "cut_lineage", lambda x: kept.append(real(x)) or kept[-1])
+    got = {r.k: r.q for r in fdr.rounded_benjamini_hochberg(df, "p", 6).collect()}
+    assert sum(x.count() for x in kept) < {"uniform": 3003, "mixed": 900, "tiny": 2, "ties": 3003}[kind]
+    p = [*p, None, None, 0.0, 1.0]
+    known = np.sort([x for x in p if x is not None])
+    raw = known * len(known) / np.searchsorted(known, known, "right")
+    q = np.minimum(np.minimum.accumulate(raw[::-1])[::-1], 1.0)
+    want = {k: None if x is None else float(f"{q[np.searchsorted(known, x)]:.6f}") for k, x in enumerate(p)}
+    assert got == want
