@@ -26,7 +26,7 @@ def near_candidates(k: DataFrame) -> DataFrame:
     short = segments(short).withColumn("move", F.explode(F.expr("sequence(-edits, edits)")))
     short = short.where("abs(move) + abs(m - n - move) <= edits AND start + move >= 0 AND start + move + size <= m")
     short = short.select("y", "n", "i", F.expr("substring(title, start + move + 1, size)").alias("part"))
-    return long.join(short, ["n", "i", "part"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return long.hint("merge").join(short, ["n", "i", "part"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_titles(k: DataFrame, *, octets: bool = False) -> DataFrame:
@@ -40,4 +40,5 @@ def near_titles(k: DataFrame, *, octets: bool = False) -> DataFrame:
         size = F.col("size")
     a, b = (k.select(F.col("page_id").alias(x), F.col("title").alias(f"t{x}"), size.alias(f"n{x}")) for x in "ab")
     ratio = 1 - F.levenshtein("ta", "tb") / F.greatest("na", "nb").cast("double")
-    return near_candidates(k).join(a, "a").join(b, "b").where(ratio >= RATIO).select("a", "b")
+    # titles and their segments grow with the table, so none is sent whole by way of the driver
+    return near_candidates(k).hint("merge").join(a, "a").hint("merge").join(b, "b").where(ratio >= RATIO).select("a", "b")

@@ -341,3 +341,11 @@ def test_rounded_q_of_buckets_equals_plain_q(spark, monkeypatch, kind):
     q = np.minimum(np.minimum.accumulate(raw[::-1])[::-1], 1.0)
     want = {k: None if x is None else float(f"{q[np.searchsorted(known, x)]:.6f}") for k, x in enumerate(p)}
     assert got == want
+
+
+def test_titles_are_not_sent_by_way_of_the_driver(spark, tmp_path):
+    rows = [(k, f"<title>prices of the market on day {k}</title>") for k in range(40)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["title_near_copies"](spark, str(tmp_path))
+    assert len(got.collect()) == 40 * 39 // 2
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
