@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 QUANTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 
@@ -99,13 +101,18 @@ def fit_garch(r: np.ndarray) -> tuple[float, float, float]:
     return unpack(np.clip(simplex(loss, np.array([-1.5, 2.0])), -30, 30))
 
 
-def garch_bands(symbol: str, close: np.ndarray, days: int, paths: int) -> pd.DataFrame:
-    """Quantile bands of simulated closes: AR(1) mean, GARCH(1,1) variance, resampled standardised shocks."""
+def garch_mean(close: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """(returns, demeaned ones, their AR(1) slope, what it leaves) of closes."""
     r = np.diff(np.log(close))
     lag, now = r[:-1] - r.mean(), r[1:] - r.mean()
     phi = float(np.clip((lag @ now) / max(lag @ lag, 1e-12), -0.95, 0.95))
-    shock = now - phi * lag
-    omega, alpha, beta = fit_garch(shock)
+    return r, now, phi, now - phi * lag
+
+
+def garch_bands(symbol: str, close: np.ndarray, days: int, paths: int, mean: tuple | None = None, fitted: tuple[float, float, float] | None = None) -> pd.DataFrame:
+    """Quantile bands of simulated closes: AR(1) mean, GARCH(1,1) variance, resampled standardised shocks."""
+    r, now, phi, shock = mean or garch_mean(close)
+    omega, alpha, beta = fitted or fit_garch(shock)
     variance = garch_variances(shock, omega, alpha, beta)
     z = shock / np.sqrt(variance[:-1])
     rng = np.random.default_rng(int.from_bytes(hashlib.sha256(symbol.encode()).digest()[:8], "big"))
@@ -121,17 +128,60 @@ def garch_bands(symbol: str, close: np.ndarray, days: int, paths: int) -> pd.Dat
     return pd.DataFrame(rows, columns=["symbol", "day", *[f"q{int(q * 100):02d}" for q in QUANTILES], "p_above"])
 
 
+def fit_garches(shocks: list[np.ndarray]) -> list[tuple[float, float, float]]:
+    """``fit_garch`` of each series, all simplexes at once; series run their variances beside each other, the shorter ones on past their end, which doesn't count."""
+    sizes = np.array([len(x) for x in shocks])
+    inside = np.arange(sizes.max())[:, None] < sizes  # a row a date
+    squares = np.zeros(inside.shape)
+    for k, x in enumerate(shocks):
+        squares[: len(x), k] = x * x
+    scale = np.array([x.var() + 1e-12 for x in shocks])
+
+    def unpack(p: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p = np.clip(p, -30, 30)
+        share, persistence = 1 / (1 + np.exp(-p[:, 0])), 0.999 / (1 + np.exp(-p[:, 1]))
+        return scale * (1 - persistence), persistence * share, persistence * (1 - share)
+
+    def loss(p: np.ndarray, which: np.ndarray) -> np.ndarray:
+        omega, alpha, beta = unpack(p, scale[which])
+        r = squares[:, which]
+        v = np.empty(r.shape)
+        v[0] = scale[which]
+        pushed = omega + alpha * r
+        for t in range(1, len(v)):
+            v[t] = pushed[t - 1] + beta * v[t - 1]
+        return np.where(inside[:, which], np.log(v) + r / v, 0.0).sum(axis=0)
+
+    points, _ = simplexes(loss, np.tile([-1.5, 2.0], (len(shocks), 1)))
+    return list(zip(*(x.tolist() for x in unpack(points, scale)), strict=True))
+
+
+#: Series and values that are fitted at once, and shares that symbols are dealt to.
+TOGETHER, VALUES, SHARES = 256, 200_000, 64
+
+
 def garch_forecast(series: DataFrame, *, days: int = 5, paths: int = 500, least: int = 40) -> DataFrame:
     """series: symbol, ts, close.  Seeded by the symbol, so results repeat."""
     schema = "symbol string, day int, " + ", ".join(f"q{int(q * 100):02d} double" for q in QUANTILES) + ", p_above double"
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        close = rows.sort_values("ts").close.to_numpy(float)
-        if len(close) < least:
-            return pd.DataFrame(columns=["symbol", "day", *[f"q{int(q * 100):02d}" for q in QUANTILES], "p_above"])
-        return garch_bands(str(rows.symbol.iloc[0]), close, days, paths)
-
-    return series.groupBy("symbol").applyInPandas(fit, schema)
+    closes = series.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", F.col("close").cast("double").alias("close")))).alias("v"))
+    rows = closes.where(F.size("v") >= least).select("symbol", F.col("v.close").alias("close")).repartition(SHARES, "symbol")
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch.close.map(len)
+            batch, sizes = batch.loc[sizes.sort_values().index], sorted(sizes)  # lengths that meet are alike
+            begin = 0
+            while begin < len(batch):
+                end = begin + 1
+                while end < len(batch) and end - begin < TOGETHER and sizes[end] * (end - begin + 1) <= VALUES:
+                    end += 1
+                some, begin = batch.iloc[begin:end], end
+                symbols, prices = [str(s) for s in some.symbol], [np.asarray(c, float) for c in some.close]
+                means = [garch_mean(c) for c in prices]
+                fits = fit_garches([shock for *_, shock in means])
+                yield pd.concat([garch_bands(s, c, days, paths, mean, fitted) for s, c, mean, fitted in zip(symbols, prices, means, fits, strict=True)])
+
+    return rows.mapInPandas(fit, schema)
 
 
 def fpca_next(x: np.ndarray, components: int = 3, lags: int = 1) -> tuple[np.ndarray, np.ndarray]:

@@ -349,3 +349,19 @@ def test_titles_are_not_sent_by_way_of_the_driver(spark, tmp_path):
     got = QUERIES["title_near_copies"](spark, str(tmp_path))
     assert len(got.collect()) == 40 * 39 // 2
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_garch_of_series_together_equals_each(spark):
+    """Closes of many symbols share their simplexes and give the bands of each by itself."""
+    from marketloom.models import fits
+
+    rng = np.random.default_rng(10)
+    closes = {f"s{k}": 100 * np.exp(np.cumsum(0.02 * rng.standard_normal(40 + k % 5))) for k in range(12)} | {"short": np.ones(39)}
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(days=j), float(x)) for s, c in closes.items() for j, x in enumerate(c)]
+    shocks = [fits.garch_mean(c)[-1] for s, c in closes.items() if s != "short"]
+    np.testing.assert_allclose(fits.fit_garches(shocks), [fits.fit_garch(x) for x in shocks], rtol=1e-3, atol=1e-6)
+    got = fits.garch_forecast(spark.createDataFrame(rows, "symbol string, ts timestamp, close double"), days=2, paths=50).collect()
+    assert len(got) == 24 and {r.symbol for r in got} == set(closes) - {"short"}
+    for r in got:
+        plain = fits.garch_bands(r.symbol, closes[r.symbol], 2, 50)
+        assert list(r)[2:] == pytest.approx(plain[plain.day == r.day].iloc[0].tolist()[2:], rel=1e-5)
